@@ -14,7 +14,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]" + r"[\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hot_rows: int = 1000, hot_share: int = 10_000, salts: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hot_rows: int = 1000, hot_share: int = 10_000, salts: int = 64, with_text: bool = False) -> DataFrame:
     """Mark each row with the smallest id that carries the same normalised text.
 
     Rows are range-partitioned by the normalised text with sampled splitters and sorted inside the
@@ -24,31 +24,32 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hot
     texts can exist, so that list may be broadcast), is first split by a salt on the id; the few runs
     it leaves are merged on the full text.
 
-    Result: all columns of ``docs`` but the text, plus keep_id, group_size, kept, text_sha256.
+    Result: all columns of ``docs`` (the text itself only ``with_text``), plus keep_id, group_size, kept, text_sha256.
     Null text equals empty text. Rows that repeat an id and text count in group_size; of rows
     with the id that stays only one is kept. A null id sorts last, so it stays only in a group of null ids.
     An empty table gives an empty result; columns named like a result are replaced.
     """
     names = ("keep_id", "group_size", "kept", "text_sha256")
     rest = [c for c in docs.columns if c != text and c not in names]
-    rows = docs.select(*rest, normalised(F.col(text)).alias("__norm"), F.xxhash64(normalised(F.col(text))).alias("__h"))
+    rows = docs.select(*rest, (F.col(text) if with_text else normalised(F.col(text))).alias("__body"), F.xxhash64(normalised(F.col(text))).alias("__h"))
+    norm = normalised(F.col("__body")) if with_text else F.col("__body")
     limit = max(hot_rows, docs.count() // hot_share)
     hot = rows.groupBy("__h").count().where(F.col("count") > limit).select("__h", F.lit(True).alias("__hot"))
     marked = rows.join(F.broadcast(hot), "__h", "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(id_col), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    dealt = marked.select(*rest, "__norm", "__hot", salt.alias("__salt")).repartitionByRange("__norm", "__salt").sortWithinPartitions("__norm", "__salt", F.col(id_col).asc_nulls_last())
-    run = Window.partitionBy("__norm", "__salt").orderBy(F.col(id_col).asc_nulls_last())
+    dealt = marked.select(*rest, "__body", "__hot", salt.alias("__salt")).repartitionByRange(norm, "__salt").sortWithinPartitions(norm, "__salt", F.col(id_col).asc_nulls_last())
+    run = Window.partitionBy(norm, "__salt").orderBy(F.col(id_col).asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = dealt.select(
-        *rest, "__hot", F.sha2("__norm", 256).alias("text_sha256"), F.first(id_col).over(whole).alias("keep_id"),
+        *rest, "__body", "__hot", F.sha2(norm, 256).alias("text_sha256"), F.first(id_col).over(whole).alias("keep_id"),
         F.count(F.lit(1)).over(whole).alias("group_size"), F.row_number().over(run).alias("__at"),
     )
     # Salted runs of a hot text: one row for each text after pre-aggregation, hot_share of them at most.
     merged = (
-        marked.where("__hot").groupBy("__norm").agg(F.min(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size"))
+        marked.where("__hot").groupBy(norm.alias("__norm")).agg(F.min(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size"))
         .select(F.sha2("__norm", 256).alias("text_sha256"), "__keep", "__size")
     )
     out = runs.join(F.broadcast(merged), "text_sha256", "left")
     keep, size = F.when(F.col("__hot"), F.col("__keep")).otherwise(F.col("keep_id")), F.coalesce("__size", "group_size")
     first = (F.col("__at") == 1) & F.col(id_col).eqNullSafe(keep)
-    return out.select(*rest, keep.alias("keep_id"), size.alias("group_size"), first.alias("kept"), "text_sha256")
+    return out.select(*rest, *[F.col("__body").alias(text)] * with_text, keep.alias("keep_id"), size.alias("group_size"), first.alias("kept"), "text_sha256")

@@ -11,7 +11,10 @@ from .exact_dedup import exact_dedup
 from .langid import fit_dictionaries, held_out, identify, training_rows
 from .licenses import scan_licenses
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .sentencepiece_codec import encode_documents, load_codec
+from .substring_dedup import remove_repeated_windows
+from .suffix_dedup import remove_repeated_bytes
 from .token_output import tokenize_documents
 
 
@@ -27,6 +30,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=4)
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), load_codec(_vocabulary("piece_bpe_32k.model")), with_ids=False)
 
@@ -53,11 +64,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeated_bytes(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_sentencepiece, op5_token_output, op6_exact_dedup, op7_fingerprints, op8_mix_sources, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_substring_dedup, op4_sentencepiece, op5_token_output, op6_exact_dedup, op7_fingerprints, op8_mix_sources, op9_suffix_dedup, op10_license_scan)}
 
 OP6_SQL = r"""
 WITH n AS (
