@@ -88,6 +88,10 @@ class Vocabulary:
         return cls(pieces, scores, kinds, prefix)
 
 
+#: Places tried at a time for the children of a state.
+_BLOCK = 1024
+
+
 def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(base, check, value) of a trie over bytes: the child of state s by byte b is t = base[s] + b + 1 if check[t] == s."""
     children: list[dict[int, int]] = [{}]
@@ -101,9 +105,10 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
                 values.append(-1)
             at = children[at][b]
         values[at] = v
-    size = 4 * len(children) + 1024
-    base, check, value, used = [0] * size, [-1] * size, [-1] * size, bytearray(size)
-    used[0] = 1
+    size = 2 * len(children) + 2 * _BLOCK
+    base, check, value = (np.full(size, fill, np.int32) for fill in (0, -1, -1))
+    used = np.zeros(size, bool)
+    used[0] = True
     todo, low = deque([(0, 0)]), 1
     while todo:
         node, state = todo.popleft()
@@ -111,21 +116,28 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
         kids = sorted(children[node])
         if not kids:
             continue
-        while used[low]:
-            low += 1
+        low += int(np.argmin(used[low:]))
         at = max(0, low - kids[0] - 1)
-        while any(used[at + b + 1] for b in kids):
-            at += 1
+        while len(kids) > 1 or at + kids[0] + 1 != low:
+            if at + _BLOCK + 300 > len(used):  # room for every block
+                base, check, value = (np.concatenate([a, np.full(size, fill, np.int32)]) for a, fill in ((base, 0), (check, -1), (value, -1)))
+                used = np.concatenate([used, np.zeros(size, bool)])
+            taken = used[at + kids[0] + 1 : at + kids[0] + 1 + _BLOCK].copy()
+            for b in kids[1:]:
+                taken |= used[at + b + 1 : at + b + 1 + _BLOCK]
+            free = int(np.argmin(taken))
+            if not taken[free]:
+                break
+            at += _BLOCK
+        else:
+            free = 0
+        at += free
         base[state] = at
         for b in kids:
             t = at + b + 1
-            used[t], check[t] = 1, state
+            used[t], check[t] = True, state
             todo.append((children[node][b], t))
-            if t + 300 > len(used):
-                for a, fill in ((base, 0), (check, -1), (value, -1)):
-                    a.extend([fill] * size)
-                used.extend(bytes(size))
-    return np.array(base, np.int32), np.array(check, np.int32), np.array(value, np.int32)
+    return base, check, value
 
 
 class Codec:
