@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,26 +161,100 @@ def _mixed_keys(table: pa.Table) -> pa.Table:
 _MEMBERS = pa.schema([("group", pa.int64()), ("k", pa.int64())])
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of a group within MAX_DISTANCE, of like size and different components, block by block."""
+def _members(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, components, set sizes, signatures) of a group, each id once, by component and id."""
     by = table.sort_by([("comp", "ascending"), ("k", "ascending")])
     ids, comp, n = (by.column(c).to_numpy() for c in ("k", "comp", "n"))
-    keep = np.concatenate([[True], ids[1:] != ids[:-1]])
-    ids, comp, n, sigs = ids[keep], comp[keep], n[keep], _signatures(by.column("sig").combine_chunks())[keep]
-    out_a, out_b = [], []
+    once = np.concatenate([[True], ids[1:] != ids[:-1]])
+    return ids[once], comp[once], n[once], _signatures(by.column("sig").combine_chunks())[once]
+
+
+def _pairs(ids: np.ndarray, p: list[np.ndarray], q: list[np.ndarray]) -> pa.Table:
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (p, q))
+    return pa.Table.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b]))], schema=_PAIRS)
+
+
+def _alike(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def _hubs(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a group's members with their hub, if within MAX_DISTANCE, of like size and in another component.
+
+    A hub is the member nearest to the most frequent value of each place of the signatures, as the origin
+    of a group of copies is; members too far from it have further hubs of their own.
+    """
+    ids, comp, n, sigs = _members(table)
+    left, p, q = np.arange(len(ids)), [], []
+    while len(left) > 1:
+        own = sigs[left]
+        if len(left) <= 64:
+            far = (own[:, None] != own[None]).sum((1, 2))
+        else:
+            usual = []
+            for column in own.T:
+                v, c = np.unique(column, return_counts=True)
+                usual.append(v[np.argmax(c)])
+            far = distance(own, np.array(usual, own.dtype))
+        hub = left[np.argmin(far)]
+        near = (distance(sigs, sigs[hub]) <= MAX_DISTANCE) & _alike(n, n[hub], percent)
+        found = np.flatnonzero(near & (comp != comp[hub]))
+        p.append(found)
+        q.append(np.full(len(found), hub))
+        left = left[~near[left]]
+    return _pairs(ids, p, q)
+
+
+def _across(table: pa.Table, percent: int) -> pa.Table:
+    """All pairs of a group in different components within MAX_DISTANCE whose sizes allow a link, block by block.
+
+    Of n shingles, u are in no other document that is still compared, so two documents have at most
+    min(n - u) in common.
+    """
+    ids, comp, n, sigs = _members(table)
+    by = dict(zip(table.column("k").to_pylist(), table.column("shared").to_pylist(), strict=True))
+    shared = np.array([by[i] for i in ids.tolist()], np.int64)
+    p, q = [], []
     for lo in range(0, len(ids), 512):
         for at in range(lo, len(ids), 4096):
             x, y = slice(lo, lo + 512), slice(at, at + 4096)
             if comp[lo] == comp[min(len(ids), at + 4096) - 1]:
                 continue  # sorted: one component throughout
-            like = (10 * np.minimum(n[x, None], n[None, y]) >= 8 * np.maximum(n[x, None], n[None, y])) & (comp[x, None] < comp[None, y])
-            i, j = np.nonzero(like)
+            most = np.minimum(shared[x, None], shared[None, y])
+            i, j = np.nonzero((100 * most >= percent * (n[x, None] + n[None, y] - most)) & (comp[x, None] < comp[None, y]))
             for s in range(0, len(i), 200_000):
-                p, q = i[s : s + 200_000] + lo, j[s : s + 200_000] + at
-                near = distance(sigs[p], sigs[q]) <= MAX_DISTANCE
-                out_a.append(np.maximum(ids[p[near]], ids[q[near]]))
-                out_b.append(np.minimum(ids[p[near]], ids[q[near]]))
-    return pa.Table.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (out_a, out_b)], schema=_PAIRS)
+                a, b = i[s : s + 200_000] + lo, j[s : s + 200_000] + at
+                near = distance(sigs[a], sigs[b]) <= MAX_DISTANCE
+                p.append(a[near])
+                q.append(b[near])
+    return _pairs(ids, p, q)
+
+
+def _compared(compare: Callable[[pa.Table, int], pa.Table], percent: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: compare(table, percent)
+
+
+def _spread(words: int, buckets: int):
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, parts in chunks(batch.column(1), 2_000_000):
+                sets = shingles(parts, words)
+                hashes = np.concatenate(sets)
+                owner = np.repeat(batch.column(0).slice(first, len(parts)).to_numpy(), [len(s) for s in sets])
+                order = np.argsort(hashes, kind="stable")
+                hashes, owner = hashes[order], owner[order]
+                own, cut = bucket_cuts(hashes, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([pack(hashes[x:y], owner[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["bucket", "blob"])
+
+    return spread
+
+
+def _alone(table: pa.Table) -> pa.Table:
+    """How many shingles of the bucket each document has to itself."""
+    (hashes, owner), _ = unpack_all(table.column("blob").to_pylist(), _U, np.int64)
+    _, at, count = np.unique(hashes, return_index=True, return_counts=True)
+    k, u = np.unique(owner[at[count == 1]], return_counts=True)
+    return pa.Table.from_arrays([pa.array(k), pa.array(u.astype(np.int64))], names=["k", "u"])
 
 
 def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -224,8 +297,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, shin
     """Pairs (a, b) whose full sets are alike. A document with many partners is sent to several groups."""
     fans = pairs.groupBy("b").agg(F.ceil(F.sum("n_a") / shingles_each).cast("int").alias("fans"))
     left = pairs.join(fans, "b").select("b", F.pmod(F.xxhash64("a"), F.col("fans")).cast("int").alias("fan"), "a")
-    left = left.join(texts.select(F.col("k").alias("a"), "text"), "a").select("b", "fan", "a", "text")
-    right = fans.join(texts.select(F.col("k").alias("b"), "text"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.lit(None).cast("long").alias("a"), "text")
+    left = left.join(texts.select(F.col("k").alias("a"), "text").hint("merge"), "a").select("b", "fan", "a", "text")
+    right = fans.join(texts.select(F.col("k").alias("b"), "text").hint("merge"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.lit(None).cast("long").alias("a"), "text")
     return left.unionByName(right).groupBy("b", "fan").applyInArrow(_confirm(words, percent), "a long, b long")
 
 
@@ -236,8 +309,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     sets; component_id is the smallest id reachable. Equal sets are one class, whose smallest id stands for
     it. Signatures meet under CHUNKS * WIDTH keys each; under a key, every class is first compared with the
     smallest (within a task before the shuffle, then across tasks), so a large group yields one pair for
-    each member. Then every key that still joins different components yields all its pairs across them within
-    MAX_DISTANCE, so that no link between them is missed. Candidates are confirmed on the texts.
+    each member. Keys that still join different components compare their members with hubs, twice; what then
+    remains yields all its pairs across components within MAX_DISTANCE, less those that their shingles in
+    no other of these documents rule out, so that no link between them is missed. Candidates are confirmed
+    on the texts.
 
     Null, empty and wordless texts have no shingles and are linked with nothing. Ids are integers; a null id
     counts as the smallest. Rows that share an id share a fate: they are taken as linked. An empty table gives
@@ -251,18 +326,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     local = stage(reps.select("rep", "sig").mapInArrow(_local(buckets), "bucket int, blob binary, a long, b long"), "keys")
     met = local.where("bucket >= 0").select("bucket", "blob").groupBy("bucket").applyInArrow(_meet, "a long, b long")
     pairs = stage(local.where("bucket < 0").select("a", "b").unionByName(met).distinct(), "pairs")
-    likely = stage(_likely(pairs, reps), "likely")
-    links = stage(_verified(likely, texts, words, percent), "links")
-    comp = components(links, "a", "b")
-    met_any = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    known = stage(reps.join(met_any, "rep", "left_semi").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("comp"), "n"), "known")
-    mixed_groups = known.select("rep", "sig", "comp").mapInArrow(_grouped(buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_mixed_keys, "group long, k long")
-    across = mixed_groups.distinct().join(known.withColumnRenamed("rep", "k"), "k").groupBy("group").applyInArrow(_across, "a long, b long").distinct()
-    across = across.join(likely.select("a", "b"), ["a", "b"], "left_anti")
-    sizes = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"))
-    rest = stage(across.join(sizes, "a"), "rest")
-    more = stage(_verified(rest, texts, words, percent), "links")
-    comp = components(links.unionByName(more), "a", "b")
+    met_any = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    # Ids that meet any other; their number follows the input, so they are merged with the texts, not broadcast.
+    texts = stage(texts.hint("merge").join(met_any, "k", "left_semi"), "texts")
+    met_reps = stage(reps.join(met_any.withColumnRenamed("k", "rep"), "rep", "left_semi"), "met")
+    tried = stage(_likely(pairs, met_reps), "likely")
+    links = stage(_verified(tried, texts, words, percent), "links")
+    tried, comp = tried.select("a", "b"), components(links, "a", "b")
+    for final in (False, False, True):
+        known = stage(met_reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("comp"), "n"), "known")
+        groups = known.select("rep", "sig", "comp").mapInArrow(_grouped(buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_mixed_keys, "group long, k long").distinct()
+        members = known.withColumnRenamed("rep", "k")
+        if final:
+            groups = stage(groups, "groups")
+            left = texts.hint("merge").join(groups.select("k").distinct(), "k", "left_semi")
+            alone = left.mapInArrow(_spread(words, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_alone, "k long, u long").groupBy("k").agg(F.sum("u").alias("u"))
+            members = members.join(alone, "k", "left").withColumn("shared", F.col("n") - F.coalesce("u", F.lit(0))).where(F.col("shared") * 100 >= F.col("n") * percent)
+        found = groups.join(members, "k").groupBy("group").applyInArrow(_compared(_across if final else _hubs, percent), "a long, b long").distinct()
+        found = found.join(tried, ["a", "b"], "left_anti").join(reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a")
+        found = stage(found, "found")
+        links = links.unionByName(stage(_verified(found, texts, words, percent), "links"))
+        tried, comp = tried.unionByName(found.select("a", "b")), components(links, "a", "b")
     classes = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("ha", "hb", F.coalesce("component", "rep").alias("component_id"))
     found = signed.where("n > 0").join(classes, ["ha", "hb"]).select("k", "n", "component_id").unionByName(signed.where("n = 0").select("k", "n", F.col("k").alias("component_id")))
     back = lambda c: F.when(F.col(c) != _LOWEST, F.col(c))
