@@ -237,6 +237,8 @@ def extract(code: str, language: str) -> list:
             target_end = k if colon is None else colon
         else:
             begin, target_end = s.chain(k), k
+            if begin == k and s.text[k - 1] == ")" and s.match[k - 1] > 0 and s.text[s.match[k - 1] - 1] == "*":
+                begin = s.match[k - 1]
             while begin and s.text[begin - 1] == "*" and (begin < 2 or s.text[begin - 2] in (";", "{", "}", ")", "*")):
                 begin -= 1
         end = s.statement_end(k + 1)
