@@ -37,7 +37,7 @@ class Runs:
     span: np.ndarray
 
 
-def anchor_runs(values: Callable[[int, int], np.ndarray], offsets: np.ndarray, window: int, gram: int, segment: int = 2_000_000) -> Runs:
+def anchor_runs(values: Callable[[int, int], np.ndarray], offsets: np.ndarray, window: int, gram: int, segment: int = 1_000_000) -> Runs:
     """Runs of all windows of the documents with these ``offsets`` in one row of units.
 
     ``values(a, b)`` gives 64-bit values of units [a, b). Units are taken in segments, so memory doesn't

@@ -44,7 +44,7 @@ def _distinct(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 def _fingerprints(window: int, gram: int, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprints of the windows of a batch, counted once for each group of texts."""
     for batch in batches:
-        for _, parts in chunks(batch.column(0), 4_000_000):
+        for _, parts in chunks(batch.column(0), 2_000_000):
             _, hashes, offsets = _words(parts)
             found = anchor_runs(lambda a, b: hashes[a:b], offsets, window, gram).gram  # noqa: B023
             grams, counts = _distinct(found, np.ones(len(found), np.uint32))
@@ -175,7 +175,7 @@ def _finish(shard: wr.Shard, gone: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(shard.ids, pa.int64()), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans, _RESULT.field(3).type), pa.array(kept, pa.string())], schema=_RESULT)
 
 
-def remove_repeated_windows(docs: DataFrame, index: FingerprintIndex | None = None, text: str = "text", id_col: str = "doc_id", window: int = 35, gram: int = 8, shard_bytes: int = 4_000_000, batches: int = 2, most_spans: int = 20_000) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, index: FingerprintIndex | None = None, text: str = "text", id_col: str = "doc_id", window: int = 35, gram: int = 8, shard_bytes: int = 2_000_000, batches: int = 2, most_spans: int = 20_000) -> DataFrame:
     """Remove each word covered by a ``window``-word window whose words also start anywhere else.
 
     ``index`` must hold ``docs``; without one, an index is built in the shared folder by appending
@@ -189,7 +189,7 @@ def remove_repeated_windows(docs: DataFrame, index: FingerprintIndex | None = No
     """
     spark = docs.sparkSession
     shards = wr.shard_count(docs, text, shard_bytes)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
     if index is None:
         index = FingerprintIndex(spark, shared_path(spark, "index"), buckets, window, gram, fanout=batches)
         for b in range(batches):

@@ -215,7 +215,7 @@ def _finish(shard: wr.Shard, gone: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(shard.ids, pa.int64()), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans, _RESULT.field(3).type), pa.array(kept, pa.binary())], schema=_RESULT)
 
 
-def remove_repeated_bytes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = 100, gram: int = 32, shard_bytes: int = 4_000_000, most_spans: int = 20_000) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = 100, gram: int = 32, shard_bytes: int = 2_000_000, most_spans: int = 20_000) -> DataFrame:
     """Remove each UTF-8 byte covered by a ``window``-byte string that also starts earlier.
 
     Earlier: in a document of smaller id, or in the same one before. Matches don't cross documents and are
@@ -230,7 +230,7 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", id_col: str = "do
     """
     shards = wr.shard_count(docs, text, shard_bytes)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(n, shards // 4)
+    buckets = max(n, shards)
     task = wr.Task(_load, window, gram, True, partial(_meet, window, buckets), partial(_settle, window), _finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", most_spans)
     join = lambda settled: settled.groupBy("bucket", "salt", F.when(F.col("bucket") == 1, F.col("shard")).alias("to")).applyInArrow(lambda table: _merge(window, table), wr.SPARE)
     out = wr.remove_windows(wr.dealt(docs, text, id_col, shards), task, buckets, merge=join)
