@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .ragged import run_hashes
+from .ragged import mixed, run_hashes
 
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -67,7 +67,8 @@ def anchor_runs(values: Callable[[int, int], np.ndarray], offsets: np.ndarray, w
         place = (low[starts] & _PLACE).astype(np.int64)
         cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         first, count = starts[cut], np.diff(np.append(cut, len(starts)))
-        parts.append((first + lo, count, grams[place[cut]], run_hashes(v, first, first + count + window - 1)))
+        # Anchors are small hashes; hashed again they fill all buckets alike.
+        parts.append((first + lo, count, mixed(~grams[place[cut]]), run_hashes(v, first, first + count + window - 1)))
     if not parts:
         return Runs(*(np.zeros(0, k) for k in (np.int64, np.int64, np.uint64, np.uint64)))
     return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
