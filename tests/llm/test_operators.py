@@ -1,0 +1,351 @@
+"""The ten operators against brute force, round trips and held-out rows, on hostile small tables."""
+
+import collections
+import hashlib
+import itertools
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vulnlake.llm import fingerprints, langid, licenses, mixing, near_dedup, queries, sentencepiece_codec, suffix_dedup, token_output
+from vulnlake.llm.common import components, shared_path
+from vulnlake.llm.exact_dedup import exact_dedup
+from vulnlake.llm.substring_dedup import FingerprintIndex, remove_repeated_windows
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id long, text string, lang string, source string, size string, rule string"
+
+
+def made(seed=1, n=60):
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choices("abcdeéß", k=rng.randint(2, 6))) for _ in range(400)]
+    text = lambda k: " ".join(rng.choices(vocab, k=k))
+    passage, base = text(60), text(120)
+    rows = []
+    for i in range(n):
+        t = text(rng.choice([0, 1, 3, 20, 80, 150]))
+        if i % 5 == 0:
+            t = f"{text(10)} {passage}\t\n {text(12)}"
+        if i % 7 == 0:
+            w = base.split()
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = "changed"
+            t = " ".join(w)
+        if i % 11 == 0 and rows:
+            t = rows[0][1]
+        rows.append((i * 3, t))
+    rows += [(500, None), (501, ""), (502, "  \t\n"), (503, "ab " * 200), (504, "x" * 5000), (505, "a b c d"), (506, "A b C d"), (507, "▁ odd ▁")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = made()
+    table = spark.createDataFrame([(i, t, "en" if i % 2 else "fr", f"s{i % 4}" if i % 9 else None, "clash", "clash") for i, t in rows], SCHEMA)
+    return rows, table.repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def brute_windows(rows, size=35):
+    count = collections.Counter(tuple(w[s : s + size]) for _, t in rows for w in [words(t)] for s in range(len(w) - size + 1))
+    out = []
+    for i, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for s in range(len(w) - size + 1):
+            if count[tuple(w[s : s + size])] > 1:
+                gone[s : s + size] = [True] * size
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(out, key=str)
+
+
+def brute_bytes(rows, size=100):
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - size + 1):
+            if b[s : s + size] in seen:
+                gone[s : s + size] = b"\1" * size
+            seen.add(b[s : s + size])
+        out.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(c for c, g in zip(b, gone, strict=True) if not g)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most_spans", [20_000, 2])
+def test_substring_dedup(docs, most_spans):
+    rows, table = docs
+    got = remove_repeated_windows(table, shard_bytes=3000, most_spans=most_spans).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_windows(rows)
+
+
+def test_substring_index_is_incremental(spark, docs):
+    rows, table = docs
+    index = FingerprintIndex(spark, shared_path(spark, "index"), 8, fanout=3)
+    index.append(table.where("doc_id < 60"))
+    fresh = table.where("doc_id >= 60")
+    seen = index.overlap(fresh).agg(F.sum("fingerprints").alias("a"), F.sum("seen").alias("b")).first()
+    assert 0 < seen.b < seen.a
+    index.append(fresh)
+    assert len(index.runs) == 2
+    index.append(table.limit(0))
+    assert len(index.runs) == 1  # compacted
+    again = index.overlap(table).agg(F.sum("fingerprints").alias("a"), F.sum("seen").alias("b")).first()
+    assert again.a == again.b
+    got = remove_repeated_windows(table, index, shard_bytes=5000).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_windows(rows)
+
+
+@pytest.mark.parametrize("most_spans", [20_000, 2])
+def test_suffix_dedup(docs, most_spans):
+    rows, table = docs
+    got = suffix_dedup.remove_repeated_bytes(table, shard_bytes=3000, most_spans=most_spans).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got), key=str) == brute_bytes(rows)
+
+
+def test_repeated_ids_and_nulls(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (1, long), (1, long), (2, None), (2, ""), (2, "short")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = remove_repeated_windows(table).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_windows(rows)
+    got = suffix_dedup.remove_repeated_bytes(table).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got), key=str) == brute_bytes(rows)
+    kept = exact_dedup(table).collect()
+    assert len(kept) == 6 and sum(r.kept for r in kept) == 3 and {r.keep_id for r in kept} == {1, 2}
+    near = near_dedup.near_duplicates(table).collect()
+    assert len(near) == 6 and {r.component_id for r in near if r.n_shingles > 1} == {None}
+
+
+def test_suffix_array_and_prefixes():
+    rng = np.random.default_rng(3)
+    for text in (rng.integers(1, 4, 400), np.ones(300, int), np.array([], int), np.array([5]), np.tile(rng.integers(1, 9, 40), 9)):
+        sa = suffix_dedup.suffix_array(text)
+        want = sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        assert sa.tolist() == want
+        lcp = suffix_dedup.common_prefixes(text.astype(np.int16), sa)
+        for k in range(1, len(text)):
+            a, b = text[sa[k - 1] :].tolist(), text[sa[k] :].tolist()
+            assert lcp[k] == sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(a, b, strict=False)))
+
+
+def brute_near(rows, size, percent=80):
+    sets = {}
+    for i, t in rows:
+        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return sorted((i, len(sets[i]), find(i), find(i) == i) for i in sets)
+
+
+def test_near_dedup(docs):
+    rows, table = docs
+    got = near_dedup.near_duplicates(table, words=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(rows, 4)
+
+
+def test_near_dedup_chains(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):  # copies near a common origin, many not near each other
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(150)] = f"u{i}x{rng.random()}"
+        rows.append((i, " ".join(w)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(rows, 4)
+
+
+def test_pigeonhole():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 65536, (200, near_dedup.VALUES)).astype("<u2")
+    b = a.copy()
+    for row in b:
+        row[rng.choice(near_dedup.VALUES, near_dedup.MAX_DISTANCE, replace=False)] ^= 1
+    assert (near_dedup.distance(a, b) == near_dedup.MAX_DISTANCE).all()
+    assert (near_dedup.chunk_keys(a) == near_dedup.chunk_keys(b)).any(1).all()
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(10, 40)] + [(1, 2), (2, 1), (5, 5), (7, 2)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {**{i: 10 for i in range(10, 41)}, 1: 1, 2: 1, 7: 1}
+
+
+@pytest.mark.parametrize("hot_rows", [1000, 2])
+def test_exact_dedup(docs, hot_rows):
+    rows, table = docs
+    norm = {i: re.sub(r"[\x20\x09-\x0d]+", " ", t or "") for i, t in rows}
+    groups = collections.defaultdict(list)
+    for i, t in norm.items():
+        groups[t].append(i)
+    got = exact_dedup(table, hot_rows=hot_rows, hot_share=1000, with_text=True).collect()
+    want = sorted((i, min(groups[t]), len(groups[t]), min(groups[t]) == i, hashlib.sha256(t.encode()).hexdigest()) for i, t in norm.items())
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
+    assert {r.doc_id: r.text for r in got} == dict(rows) and got[0].rule == "clash"
+
+
+def test_mixing(docs):
+    _, table = docs
+    rows = mixing.mix(table).collect()
+    assert sorted(rows, key=str) == sorted(mixing.mix(table.repartition(7)).collect(), key=str)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+        assert 0 <= r.taken <= 3 * r.size
+    for own in by.values():
+        assert sum(r.size for r in own) == own[0].source_size
+        assert sum(r.taken for r in own) == int(own[0].target) <= 3 * own[0].source_size
+    assert abs(sum(own[0].target for own in by.values()) - sum(r.size for r in rows)) < 1
+    mixed = mixing.mixed_documents(table)
+    assert mixed.columns == table.columns and mixed.count() >= sum(1 for r in rows if r.taken)
+
+
+def test_fingerprints(docs):
+    rows, table = docs
+    order = [t or "" for _, t in sorted(rows)]
+    ids = sorted(i for i, _ in rows)
+    got = {r.doc_id: r for r in fingerprints.neighbour_fingerprints(table, k=16).withColumn("near", fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch"), 16)).collect()}
+    for k, i in enumerate(ids):
+        n = len(order[k]) // 4
+        assert got[i].n_chars == len(order[k]) and got[i].edited_text == order[k][: len(order[k]) - n] + order[(k + 1) % len(ids)][:n]
+        assert 0 <= got[i].near <= 1 and len(got[i].sketch) <= 16
+    assert got[0].near < 1 or not order[0]
+
+
+def test_langid(spark):
+    rng = random.Random(2)
+    vocab = {"aa": ["bonjour", "monde", "cheval", "maison", "soleil"], "bb": ["wasser", "himmel", "strasse", "kirche", "vogel"]}
+    rows = [(i, " ".join(rng.choices(vocab[x], k=30)), x) for i in range(80) for x in ["aa" if i % 3 else "bb"]] + [(900, None, "aa"), (901, "123 ...", "bb"), (902, "", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_dictionaries(langid.training_rows(table))
+    got = {r.doc_id: r for r in langid.identify(table.drop("lang"), model).collect()}
+    assert all(got[i].lang_pred == lang and 0 <= got[i].score <= 1 and not got[i].rejected for i, t, lang in rows[:80])
+    assert all(got[i].lang_pred == "und" and got[i].rejected for i in (900, 901, 902))
+
+
+def test_codec_round_trip(docs, tokenizers):
+    rows, table = docs
+    codec = sentencepiece_codec.load_codec(tokenizers("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in sentencepiece_codec.encode_documents(table, codec).collect()}
+    assert all(r.round_trip == ("▁" not in (dict(rows)[i] or "")) for i, r in got.items())
+    assert got[500].ids == [] and got[501].n_tokens == 0
+
+
+def test_viterbi_is_best():
+    pieces = ["a", "b", "ab", "ba", "aba", "<0x63>"]
+    scores = [-1.0, -2.0, -2.5, -2.2, -5.0, 0.0]
+    names = pieces[:5] + [f"<0x{b:02X}>" for b in range(256)]
+    vocab = sentencepiece_codec.Vocabulary(["<unk>", *names], [0.0, *scores[:5], *[0.0] * 256], [2, *[1] * 5, *[6] * 256], False)
+    codec = sentencepiece_codec.Codec(vocab)
+
+    def best(text):
+        if not text:
+            return 0.0
+        return max([scores[k] + best(text[len(p) :]) for k, p in enumerate(pieces[:5]) if text.startswith(p)], default=-1e9)
+
+    for n in range(1, 8):
+        for letters in itertools.product("ab", repeat=n):
+            ids, _ = codec.encode_batch(["".join(letters)])
+            assert abs(sum(codec.scores[i] for i in ids) - best("".join(letters))) < 1e-9
+    ids, _ = codec.encode_batch(["aéb"])
+    assert codec.decode(ids.tolist()) == "aéb" and len(ids) == 4
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    public = pytest.importorskip("public_tokenizers")
+    return public.path
+
+
+def test_token_output(spark, docs, tokenizers):
+    from tokenizers import Tokenizer
+
+    rows, table = docs
+    model, start = Tokenizer.from_file(tokenizers("word_bpe_49k.json")), 0
+    got = {r.doc_id: r for r in token_output.tokenize_documents(table, tokenizers("word_bpe_49k.json"), shard_tokens=500).collect()}
+    for i, t in sorted(rows):
+        ids = [*model.encode(t or "", add_special_tokens=False).ids, 2]
+        assert got[i].ids == ids and got[i].start == start and got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+
+
+def test_grammar_random_access():
+    rng = np.random.default_rng(0)
+    parts = [np.concatenate([np.tile([5, 6, 7], rng.integers(0, 40)), rng.integers(0, 9, rng.integers(0, 20))]) for _ in range(30)]
+    shard = token_output.Shard(token_output.pack_shard(list(range(30)), parts, 100, min_count=4))
+    assert len(shard.rules) and len(shard.symbols) < sum(map(len, parts))
+    assert (shard.all_tokens() == np.concatenate(parts)).all()
+    for i, p in enumerate(parts):
+        assert shard.document(i).tolist() == p.tolist() and shard.document(i, 1, min(4, len(p))).tolist() == p[1:4].tolist()
+
+
+def test_licenses(spark):
+    text = "Licensed under the Apache License, Version 2.0 (the \"License\"); see MIT license, mit  License GNU general public license"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "apache licenses mit-license")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(rows).collect()}
+    assert got[1].n_base == 4 and got[1].base_labels == "apache,gpl,mit" and "apache-2.0" in got[1].labels and got[1].first_word == 3 and got[1].score == 1.0
+    assert got[2].n_words == 0 and got[2].first_word is None and got[2].labels == "" and got[3].score == 0.0
+    assert got[4].n_base == 1 and got[4].first_word == 2
+    t = licenses.Template("use [[or {{copy|share}}]] {{2}} freely")
+    for tokens, n in (("use freely", 2), ("use or copy it now freely", 6), ("use or freely", 3), ("use it now or freely", 0)):
+        assert t.longest(tokens.split(), 0) == n
+
+
+def test_empty_tables(spark, empty, tokenizers):
+    assert remove_repeated_windows(empty).count() == suffix_dedup.remove_repeated_bytes(empty).count() == near_dedup.near_duplicates(empty).count() == 0
+    assert exact_dedup(empty).count() == mixing.mix(empty).count() == fingerprints.neighbour_fingerprints(empty).count() == licenses.scan_licenses(empty).count() == 0
+    assert langid.identify(empty, langid.fit_dictionaries(langid.training_rows(empty))).count() == 0
+    assert token_output.tokenize_documents(empty, tokenizers("word_bpe_49k.json")).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{os.path.join('/root/testdata/sf0.001', 'documents')}.parquet'")
+    found = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in found.description]
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(*names).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, found.fetchall()))
+
+
+def test_pipeline(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = pipeline.documents(spark, "/root/testdata/sf0.001")
+    ids = {r.doc_id for r in docs.collect()}
+    for name, stage in pipeline.STAGES:
+        path = shared_path(spark, "stage")
+        stage(spark, docs, "").write.parquet(path)
+        after = spark.read.parquet(path)
+        if name != "sentencepiece":
+            assert after.columns == docs.columns
+        now = [r.doc_id for r in after.collect()]
+        assert set(now) <= ids and (len(set(now)) > 0.8 * len(ids) or name == "mix")
+        docs, ids = after, set(now)
+    assert docs.where("not round_trip").count() == 0
