@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -311,7 +312,7 @@ def load_codec(path: str) -> Codec:
 
 
 def _groups(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     cuts = [0, *(np.flatnonzero(np.diff(sizes // limit)) + 1).tolist(), len(texts)]
     return zip(cuts, cuts[1:], strict=False)
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -232,7 +233,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, te
 
         for batch in batches:
             texts, keys = batch.column(1), batch.column(0).to_pylist()
-            sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
             cuts = [0, *(np.flatnonzero(np.diff(sizes // batch_chars)) + 1).tolist(), len(keys)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if hi == lo:
