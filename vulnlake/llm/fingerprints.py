@@ -113,7 +113,7 @@ def neighbour_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "d
     after = successors(docs, "__k")
     need = F.floor(F.char_length("__t") / 4).cast("int")
     wanted = docs.groupBy("__k").agg(F.max(need).alias("__need")).join(after, "__k")
-    one = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy("__t"))).where("__n = 1")
+    one = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy("__t", id_col))).where("__n = 1")
     heads = (
         one.select(F.col("__k").alias("next_key"), F.col("__t").alias("__nt"), F.col("__s").alias("next_sketch"))
         .join(wanted, "next_key").select("__k", F.expr("substring(__nt, 1, __need)").alias("__head"), "next_sketch")
