@@ -43,5 +43,5 @@ def positional_label(file: str = "file", folder: str = "cwe_folder", share: floa
 def routed(documents: DataFrame) -> dict[str, DataFrame]:
     """Documents by split; any other value is an error when the rows are read."""
     known = F.col("split").isin("train", "val", "test")
-    checked = documents.where(F.assert_true(known, F.format_string("unknown split %s", "split")).isNull())
+    checked = documents.withColumn("split", F.when(known, F.col("split")).otherwise(F.raise_error(F.format_string("unknown split %s", "split"))))
     return {s: checked.where(F.col("split") == s) for s in ("train", "val", "test")}
