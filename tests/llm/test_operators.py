@@ -192,6 +192,19 @@ def test_pigeonhole():
     assert (near_dedup.chunk_keys(a) == near_dedup.chunk_keys(b)).any(1).all()
 
 
+def test_common_shingles_are_bounded():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**64, 60_000, dtype=np.uint64)
+    pool[:20_000] >>= np.uint64(20)  # all in the first cell, far over 255
+    sets = [np.unique(rng.choice(pool, n)) for n in (0, 1, 40, 41, 900, 950, 30_000, 50_000)]
+    n = np.array([len(s) for s in sets])
+    cells = np.stack([near_dedup.cell_counts(s) for s in sets])
+    a, b = (x.reshape(-1) for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    bound = near_dedup.most_common(cells, n - cells.sum(1, dtype=np.int64), a, b)
+    assert (bound >= both).all() and (bound[a == b] == n).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(10, 40)] + [(1, 2), (2, 1), (5, 5), (7, 2)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

@@ -23,6 +23,8 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 _TABLE = byte_table(3, lower=True)
 _SEEDS = mixed(np.arange(1, VALUES + 1, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
 _LOWEST = -(2**63)
+#: Cells by the leading bits of a shingle hash, in which the shingles of a document are counted.
+CELL_BITS = 10
 
 
 def shingles(parts: list[bytes], words: int) -> list[np.ndarray]:
@@ -65,6 +67,20 @@ def _sign(words: int):
     return sign
 
 
+def cell_counts(s: np.ndarray) -> np.ndarray:
+    """How many of the hashes lie in each cell, up to 255."""
+    counts = np.bincount((s >> _U(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def most_common(cells: np.ndarray, over: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """No pair of rows (a, b) has more hashes in common: per cell the smaller count, and what counts leave ``over``."""
+    out = np.minimum(over[a], over[b])
+    for i in range(0, len(a), 8192):
+        out[i : i + 8192] += np.minimum(cells[a[i : i + 8192]], cells[b[i : i + 8192]]).sum(1, dtype=np.int64)
+    return out
+
+
 def chunk_keys(sigs: np.ndarray) -> np.ndarray:
     """(rows, CHUNKS * WIDTH) keys: each chunk with each of its values left out in turn."""
     parts = sigs.reshape(-1, CHUNKS, WIDTH).astype(_U)
@@ -209,11 +225,14 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
     """All pairs of a group in different components within MAX_DISTANCE whose sizes allow a link, block by block.
 
     Of n shingles, u are in no other document that is still compared, so two documents have at most
-    min(n - u) in common.
+    min(n - u) in common. Their counts in cells bound it further.
     """
     ids, comp, n, sigs = _members(table)
-    by = dict(zip(table.column("k").to_pylist(), table.column("shared").to_pylist(), strict=True))
-    shared = np.array([by[i] for i in ids.tolist()], np.int64)
+    by = table.sort_by([("comp", "ascending"), ("k", "ascending")])
+    once = np.concatenate([[True], np.diff(by.column("k").to_numpy()) != 0])
+    shared = by.column("shared").to_numpy()[once]
+    cells = np.frombuffer(b"".join(by.column("cells").filter(pa.array(once)).to_pylist()), np.uint8).reshape(len(ids), -1)
+    over = n - cells.sum(1, dtype=np.int64)
     p, q = [], []
     for lo in range(0, len(ids), 512):
         for at in range(lo, len(ids), 4096):
@@ -225,8 +244,11 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
             for s in range(0, len(i), 200_000):
                 a, b = i[s : s + 200_000] + lo, j[s : s + 200_000] + at
                 near = distance(sigs[a], sigs[b]) <= MAX_DISTANCE
-                p.append(a[near])
-                q.append(b[near])
+                a, b = a[near], b[near]
+                common = np.minimum(most_common(cells, over, a, b), np.minimum(shared[a], shared[b]))
+                allowed = 100 * common >= percent * (n[a] + n[b] - common)
+                p.append(a[allowed])
+                q.append(b[allowed])
     return _pairs(ids, p, q)
 
 
@@ -249,6 +271,16 @@ def _spread(words: int, buckets: int):
     return spread
 
 
+def _counted(words: int):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, parts in chunks(batch.column(1), 2_000_000):
+                sets = shingles(parts, words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(parts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([cell_counts(s).tobytes() for s in sets], pa.binary())], names=["k", "n", "cells"])
+
+    return counted
+
+
 def _alone(table: pa.Table) -> pa.Table:
     """How many shingles of the bucket each document has to itself."""
     (hashes, owner), _ = unpack_all(table.column("blob").to_pylist(), _U, np.int64)
@@ -311,8 +343,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     smallest (within a task before the shuffle, then across tasks), so a large group yields one pair for
     each member. Keys that still join different components compare their members with hubs, twice; what then
     remains yields all its pairs across components within MAX_DISTANCE, less those that their shingles in
-    no other of these documents rule out, so that no link between them is missed. Candidates are confirmed
-    on the texts.
+    no other of these documents, or their counts of shingles in cells of the hash range, rule out for certain.
+    Candidates are confirmed on the texts.
 
     Null, empty and wordless texts have no shingles and are linked with nothing. Ids are integers; a null id
     counts as the smallest. Rows that share an id share a fate: they are taken as linked. An empty table gives
@@ -341,7 +373,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             groups = stage(groups, "groups")
             left = texts.hint("merge").join(groups.select("k").distinct(), "k", "left_semi")
             alone = left.mapInArrow(_spread(words, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_alone, "k long, u long").groupBy("k").agg(F.sum("u").alias("u"))
-            members = members.join(alone, "k", "left").withColumn("shared", F.col("n") - F.coalesce("u", F.lit(0))).where(F.col("shared") * 100 >= F.col("n") * percent)
+            members = members.join(alone, "k", "left").withColumn("shared", F.col("n") - F.coalesce("u", F.lit(0))).where(F.col("shared") * 100 >= F.col("n") * percent).drop("u")
+            members = stage(members.join(groups.select("k").distinct(), "k", "left_semi"), "members")
+            left = texts.hint("merge").join(members.select("k").distinct(), "k", "left_semi")
+            members = members.join(left.mapInArrow(_counted(words), "k long, n long, cells binary"), ["k", "n"])
         found = groups.join(members, "k").groupBy("group").applyInArrow(_compared(_across if final else _hubs, percent), "a long, b long").distinct()
         found = found.join(tried, ["a", "b"], "left_anti").join(reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a")
         found = stage(found, "found")
