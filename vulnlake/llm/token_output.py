@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -137,14 +136,22 @@ class Shard:
 
 # --- tokenizer ----------------------------------------------------------------------------------
 
-_SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+#: Plain words: letters that the tokenizer only lower-cases, with the marks that it splits off behind them.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!;:?*%&$#"
+_SIMPLE = f"^[{_LETTERS}]+[{_MARKS}]*$"
+
+
+def _ragged(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum([len(r) for r in rows], out=ends[1:])
+    return np.array([i for r in rows for i in r], np.int32), ends
 
 
 class WordEncoder:
     """Ids of white-space separated words under a tokenizer that drops white space.
 
-    Words are encoded once for a batch. Plain lower-case words, with the marks that may follow them split off, go
-    through the tokenizer many at a time, cut at the pieces that end a word; all others one by one.
+    Words are encoded once for a batch. Plain words, with the marks that may follow them split off, go through
+    the tokenizer many at a time, cut at the pieces that end a word; all others one by one.
     """
 
     def __init__(self, path: str):
@@ -157,49 +164,52 @@ class WordEncoder:
         self.ends_word = np.zeros(self.size, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _plain(self, plain: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def _plain(self, plain: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
             ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, np.int32)
-            pieces = np.split(ids, np.flatnonzero(self.ends_word[ids])[:-1] + 1)
-            if len(pieces) != len(part):  # a piece that ends a word inside one: take the slow way
-                pieces = self._other(part)
-            out += pieces
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                out.append((ids, np.concatenate([[0], ends])))
+            else:  # a piece that ends a word inside one: take the slow way
+                out.append(self._other(part))
         return out
 
-    def _other(self, other: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(other, add_special_tokens=False)]
-
-    def encode(self, distinct: list[str]) -> list[np.ndarray]:
-        plain: dict[str, int] = {}
-        tails: dict[str, int] = {}
-        other: dict[str, int] = {}
-        plan = []
-        for w in distinct:
-            low = w.lower()
-            m = _SIMPLE.match(low)
-            if m and m.end() == len(low):
-                plan.append((plain.setdefault(low, len(plain)), -1))
-            elif m and low[m.end() :].strip(".,!;:?*%&$#") == "":
-                plan.append((plain.setdefault(low[: m.end()], len(plain)), tails.setdefault(low[m.end() :], len(tails))))
-            else:
-                plan.append((-1, other.setdefault(w, len(other))))
-        p, t, o = self._plain(list(plain)), self._other(list(tails)), self._other(list(other))
-        return [o[b] if a < 0 else p[a] if b < 0 else np.concatenate([p[a], t[b]]) for a, b in plan]
+    def _other(self, other: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _ragged([e.ids for e in self.model.encode_batch_fast(other, add_special_tokens=False)])
+
+    def encode(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets of the words) of the words of ``distinct``."""
+        simple = pc.match_substring_regex(distinct, _SIMPLE)
+        low = pc.utf8_lower(distinct.filter(simple))
+        stem = pc.utf8_rtrim(low, characters=_MARKS)
+        stems = stem.dictionary_encode()
+        tails = pc.replace_substring_regex(low, f"^[{_LETTERS}]+", "").dictionary_encode()
+        parts = [*self._plain(stems.dictionary.to_pylist()), self._other(tails.dictionary.to_pylist()), self._other(distinct.filter(pc.invert(simple)).to_pylist()), _ragged([[]])]
+        values = np.concatenate([v for v, _ in parts])
+        offsets = np.zeros(1 + sum(len(e) - 1 for _, e in parts), np.int64)
+        np.cumsum(np.concatenate([np.diff(e) for _, e in parts]), out=offsets[1:])
+        # Each word is two rows of these: letters and marks, or an odd word and nothing.
+        plain = simple.to_numpy(zero_copy_only=False)
+        rows = np.full((len(plain), 2), len(offsets) - 2)
+        rows[plain, 0] = stems.indices.to_numpy()
+        rows[plain, 1] = len(stems.dictionary) + tails.indices.to_numpy()
+        rows[~plain, 0] = len(stems.dictionary) + len(tails.dictionary) + np.arange(len(plain) - plain.sum())
+        ids, at = ragged.gather(values, offsets, rows.reshape(-1))
+        return ids, at[::2]
 
 
 def tokens_of(texts: pa.Array, encoder: WordEncoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, offsets of the texts), the end id after each."""
     offsets, flat = ragged.split_words(texts)
     coded = flat.dictionary_encode()
-    table = encoder.encode(coded.dictionary.to_pylist())
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in table], dtype=np.int64)])
-    values = np.concatenate([*table, np.zeros(0, np.int32)])
-    ids, word_at = ragged.gather(values, starts, coded.indices.to_numpy(zero_copy_only=False))
-    at = word_at[offsets]
-    out = np.insert(ids, at[1:], end_id)
-    return out, at + np.arange(len(at))
+    values, starts = encoder.encode(coded.dictionary)
+    # The end id is one more word.
+    values, starts = np.append(values, np.int32(end_id)), np.append(starts, len(values) + 1)
+    words = np.insert(coded.indices.to_numpy(zero_copy_only=False), offsets[1:], len(starts) - 2)
+    ids, word_at = ragged.gather(values, starts, words)
+    return ids, word_at[offsets + np.arange(len(offsets))]
 
 
 # --- Spark --------------------------------------------------------------------------------------
