@@ -110,6 +110,24 @@ def test_substring_index_is_incremental(spark, docs):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_windows(rows)
 
 
+@pytest.mark.parametrize("most_spans", [20_000, 2])
+def test_substring_dedup_against_history(spark, docs, most_spans):
+    rows, table = docs
+    old, new, last = "doc_id < 15", "doc_id >= 15 and doc_id < 150", "doc_id >= 150"
+    index = FingerprintIndex(spark, shared_path(spark, "index"), 8, fanout=2, shard_bytes=3000, most_spans=most_spans)
+    seen = lambda d: sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in d.collect()), key=str)
+    want = lambda top, keep: [r for r in brute_windows([x for x in rows if x[0] < top]) if keep(r[0])]
+    index.append(table.where(old))
+    assert seen(index.result()) == want(15, lambda i: True)
+    assert seen(remove_repeated_windows(table.where(new), index, held=False)) == want(150, lambda i: i >= 15)
+    index.append(table.where(new))
+    assert len(index.runs) == 1  # compacted
+    assert seen(index.result(1)) == seen(remove_repeated_windows(table.where(new), index)) == want(150, lambda i: i >= 15)
+    index.append(table.where(last))
+    assert seen(index.result(0)) == want(1000, lambda i: i < 15) != want(15, lambda i: True)
+    assert seen(index.result()) == brute_windows(rows)
+
+
 @pytest.mark.parametrize("most_spans", [20_000, 2])
 def test_suffix_dedup(docs, most_spans):
     rows, table = docs

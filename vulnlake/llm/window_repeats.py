@@ -73,10 +73,18 @@ def shard_count(docs: DataFrame, text: str, shard_bytes: int) -> int:
     return 1 + total // shard_bytes
 
 
+def numbered(docs: DataFrame, text: str, id_col: str, shards: int, first: int = 0) -> DataFrame:
+    """(shard, id, text), with numbers of shards from ``first``."""
+    key = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(shards)).cast("int") + F.lit(first)
+    return docs.select(key.alias("shard"), F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+
+
+def by_shard(rows: DataFrame) -> DataFrame:
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
+
+
 def dealt(docs: DataFrame, text: str, id_col: str, shards: int) -> DataFrame:
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(shards)).cast("int")
-    return docs.select(key.alias("shard"), F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).repartition(n, "shard")
+    return by_shard(numbered(docs, text, id_col, shards))
 
 
 def _send(task: Task, buckets: int) -> Callable[[pa.Table], pa.Table]:
@@ -96,18 +104,15 @@ def _send(task: Task, buckets: int) -> Callable[[pa.Table], pa.Table]:
     return send
 
 
-def _answer(task: Task, known: Callable[[np.ndarray, pa.Table], np.ndarray] | None = None) -> Callable[..., pa.Table]:
+def _answer(task: Task) -> Callable[[pa.Table], pa.Table]:
     """Groups a bucket's entries by gram and span and tells each shard what to do with its own."""
 
-    def answer(table: pa.Table, index: pa.Table | None) -> pa.Table:
+    def answer(table: pa.Table) -> pa.Table:
         shards, ats = table.column("shard").to_pylist(), np.array(table.column("at").to_pylist(), np.int64)
         kinds = (np.uint64, np.uint64, np.int64 if task.first_stays else np.uint8)
         (gram, span, extra), row = unpack_all(table.column("blob").to_pylist(), *kinds)
         sizes = np.bincount(row, minlength=len(shards))
         place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + ats[row]
-        if known is not None and index is not None:
-            live = known(gram, index)
-            gram, span, extra, row, place = gram[live], span[live], extra[live], row[live], place[live]
         if not len(gram):
             return message([])
         order = np.lexsort((extra, span, gram) if task.first_stays else (span, gram))
@@ -132,7 +137,7 @@ def _answer(task: Task, known: Callable[[np.ndarray, pa.Table], np.ndarray] | No
             for k, t in zip(rows.tolist(), np.split(told, cut[1:]) if len(rows) else [], strict=True)
         ])
 
-    return answer if known is not None else lambda table: answer(table, None)
+    return answer
 
 
 def _read(task: Task, table: pa.Table, answers: pa.Table) -> tuple[Shard, Runs, Entries, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,8 +153,10 @@ def _ask(task: Task) -> Callable[[pa.Table, pa.Table], pa.Table]:
             return message([])
         shard, runs, e, place, flag, salts = _read(task, table, answers)
         meets = (flag & MEET) > 0
-        order = np.argsort(place[meets], kind="stable")
+        order = np.lexsort((salts[meets], place[meets]))
         entry, salts = place[meets][order], salts[meets][order]
+        last = np.append(entry[1:] != entry[:-1], True) if len(entry) else np.zeros(0, bool)  # answers of several batches: the latest has most salts
+        entry, salts = entry[last], salts[last]
         number = table.column("shard")[0].as_py()
         return message([(b, t, number, most, blob) for b, t, most, blob in task.meet(shard, runs, e.rep[entry], e.gram[entry], salts)])
 
@@ -184,18 +191,20 @@ def sent(base: DataFrame, task: Task, buckets: int) -> DataFrame:
     return base.groupBy("shard").applyInArrow(_send(task, buckets), SPARE)
 
 
-def remove_windows(base: DataFrame, task: Task, buckets: int, index: DataFrame | None = None, known: Callable | None = None, merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The result of ``task`` for every document of ``base``; an index by bucket may rule out entries first."""
-    n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = sent(base, task, buckets)
-    if index is None:
-        answers = entries.groupBy("bucket").applyInArrow(_answer(task), SPARE)
-    else:
-        answers = entries.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_answer(task, known), SPARE)
-    answers = answers.repartition(n, "shard")
+def resolved(base: DataFrame, answers: DataFrame, task: Task, merge: Callable[[DataFrame], DataFrame] | None = None, shards: tuple[int, int] | None = None) -> DataFrame:
+    """The result of ``task`` from the answers to the shards of ``base``; of shards [a, b) alone where these are given."""
+    answers = by_shard(answers)
     asked = base.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_ask(task), SPARE)
     settled = asked.groupBy("bucket", "salt").applyInArrow(_settle(task), SPARE)
     if merge is not None:
         settled = merge(settled)
     messages = answers.unionByName(settled)
+    if shards is not None:
+        base, messages = (x.where((F.col("shard") >= shards[0]) & (F.col("shard") < shards[1])) for x in (base, messages))
     return base.groupBy("shard").cogroup(messages.groupBy("shard")).applyInArrow(_finish(task), task.result)
+
+
+def remove_windows(base: DataFrame, task: Task, buckets: int, merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The result of ``task`` for every document of ``base``."""
+    answers = sent(base, task, buckets).groupBy("bucket").applyInArrow(_answer(task), SPARE)
+    return resolved(base, answers, task, merge)
