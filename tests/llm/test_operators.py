@@ -200,6 +200,45 @@ def test_near_dedup_chains(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(rows, 4)
 
 
+def test_near_dedup_large_groups(spark, monkeypatch):
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randint(1, 9) if i < 120 else 16):  # the last ones barely reach the others
+            w[rng.randrange(150)] = f"u{i}x{rng.random()}"
+        rows.append((i, " ".join(w)))
+    sizes = spark.sparkContext.accumulator(0)
+
+    def compared(compare, percent):
+        def run(table):
+            if table.num_rows > 60:
+                sizes.add(1)
+            return compare(table, percent)
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_compared", compared)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=4, most=12).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(rows, 4)
+    assert sizes.value == 0  # no task is given a whole group
+
+
+def test_block_pairs_meet_once(spark):
+    comp = {k: 1 if k < 50 else 2 if k < 80 else k for k in range(120)}
+    groups = spark.createDataFrame([(7, k) for k in range(120)] + [(8, k) for k in (1, 60, 100)], "group long, k long")
+    known = spark.createDataFrame(list(comp.items()), "rep long, comp long")
+    tasks = collections.defaultdict(list)
+    for r in near_dedup._block_pairs(groups, known, 10).collect():
+        tasks[r.group, r.x, r.y].append((r.k, r.side))
+    met = collections.Counter()
+    for (group, _, _), own in tasks.items():
+        assert len(own) <= 60
+        met.update((group, *sorted((a, b))) for (a, s), (b, t) in itertools.combinations(own, 2) if comp[a] != comp[b] and (s != t or s == 2))
+    want = {(g, a, b) for g, ids in ((7, range(120)), (8, (1, 60, 100))) for a, b in itertools.combinations(ids, 2) if comp[a] != comp[b]}
+    assert set(met) == want and set(met.values()) == {1}
+
+
 def test_pigeonhole():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 65536, (200, near_dedup.VALUES)).astype("<u2")

@@ -222,7 +222,7 @@ def _hubs(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _across(table: pa.Table, percent: int) -> pa.Table:
-    """All pairs of a group in different components within MAX_DISTANCE whose sizes allow a link, block by block.
+    """All pairs of a group, or of both sides of a pair of its blocks, in different components within MAX_DISTANCE whose sizes allow a link.
 
     Of n shingles, u are in no other document that is still compared, so two documents have at most
     min(n - u) in common. Their counts in cells bound it further.
@@ -230,7 +230,7 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
     ids, comp, n, sigs = _members(table)
     by = table.sort_by([("comp", "ascending"), ("k", "ascending")])
     once = np.concatenate([[True], np.diff(by.column("k").to_numpy()) != 0])
-    shared = by.column("shared").to_numpy()[once]
+    shared, side = by.column("shared").to_numpy()[once], by.column("side").to_numpy()[once]
     cells = np.frombuffer(b"".join(by.column("cells").filter(pa.array(once)).to_pylist()), np.uint8).reshape(len(ids), -1)
     over = n - cells.sum(1, dtype=np.int64)
     p, q = [], []
@@ -240,7 +240,7 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
             if comp[lo] == comp[min(len(ids), at + 4096) - 1]:
                 continue  # sorted: one component throughout
             most = np.minimum(shared[x, None], shared[None, y])
-            i, j = np.nonzero((100 * most >= percent * (n[x, None] + n[None, y] - most)) & (comp[x, None] < comp[None, y]))
+            i, j = np.nonzero((100 * most >= percent * (n[x, None] + n[None, y] - most)) & (comp[x, None] < comp[None, y]) & ((side[x, None] != side[None, y]) | (side[x, None] == 2)))
             for s in range(0, len(i), 200_000):
                 a, b = i[s : s + 200_000] + lo, j[s : s + 200_000] + at
                 near = distance(sigs[a], sigs[b]) <= MAX_DISTANCE
@@ -256,6 +256,41 @@ def _compared(compare: Callable[[pa.Table, int], pa.Table], percent: int) -> Cal
     return lambda table: compare(table, percent)
 
 
+def _dealt(groups: DataFrame, most: int, salt: int) -> DataFrame:
+    """Members of groups in blocks of about ``most`` by a hash of the id: (group, k, x, y, side), y always 0."""
+    large = groups.groupBy("group").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("blocks > 1")
+    block = F.pmod(F.xxhash64("k", F.lit(salt)), F.coalesce("blocks", F.lit(1))).cast("int")
+    return groups.join(F.broadcast(large), "group", "left").select("group", "k", block.alias("x"), F.lit(0).alias("y"), F.lit(2).alias("side"))
+
+
+def _block_pairs(groups: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """Members of groups once for each pair of blocks (x, y) to compare: (group, k, x, y, side).
+
+    A group of up to ``most`` members is one block. In others a component of over ``most`` has blocks of its own, by a
+    hash of the id, which aren't compared with each other; smaller components share blocks, by a hash of the component.
+    """
+    alone = lambda rows: rows.select("group", "k", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(2).alias("side"))
+    large = stage(groups.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > most), "large")
+    if large.isEmpty():
+        return alone(groups)
+    own = groups.join(F.broadcast(large), "group").join(known.select(F.col("rep").alias("k"), "comp"), "k")
+    # At most one in ``most`` memberships makes a large group or a large component of one.
+    hot = stage(own.groupBy("group", "comp").agg(F.count("*").alias("n")).where(F.col("n") > most), "hot")
+    rest = large.join(hot.groupBy("group").agg(F.sum("n").alias("hot")), "group", "left").select("group", F.ceil((F.col("size") - F.coalesce("hot", F.lit(0))) / most).cast("int").alias("blocks"))
+    hot = hot.select("group", "comp", F.ceil(F.col("n") / most).cast("int").alias("own"))
+    name = lambda comp, number: F.struct(comp.alias("comp"), number.cast("int").alias("number"))
+    none = F.lit(None).cast("long")
+    block = F.when(F.col("own").isNotNull(), name(F.col("comp"), F.pmod(F.xxhash64("k"), F.col("own")))).otherwise(name(none, F.pmod(F.xxhash64("comp"), F.greatest("blocks", F.lit(1)))))
+    own = stage(own.join(F.broadcast(hot), ["group", "comp"], "left").join(F.broadcast(rest), "group").select("group", "k", block.alias("block")), "blocks")
+    blocks = own.select("group", "block").distinct()
+    pairs = blocks.withColumnRenamed("block", "p").join(blocks.withColumnRenamed("block", "q"), "group").where("p <= q and not (p.comp is not null and q.comp is not null and p.comp = q.comp)")
+    # A pair's numbers only tell pairs of a group apart.
+    pairs = stage(pairs.withColumn("x", F.xxhash64("p", F.lit(1))).withColumn("y", F.xxhash64("q", F.lit(2))), "block-pairs")
+    side = lambda c, s: own.join(pairs.select("group", F.col(c).alias("block"), "x", "y", F.when(F.expr("p = q"), F.lit(2)).otherwise(F.lit(s)).alias("side"), F.expr("p = q").alias("same")), ["group", "block"])
+    both = side("p", 0).unionByName(side("q", 1).where("not same")).select("group", "k", "x", "y", "side")
+    return alone(groups.join(F.broadcast(large), "group", "left_anti")).unionByName(both)
+
+
 def _spread(words: int, buckets: int):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,7 +369,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, shin
     return left.unionByName(right).groupBy("b", "fan").applyInArrow(_confirm(words, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80, most: int = 4096) -> DataFrame:
     """``id_col``, n_shingles, component_id, kept of every document.
 
     Documents are linked when 100 * |common shingles| >= ``percent`` * |all shingles|, confirmed on full
@@ -344,7 +379,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     each member. Keys that still join different components compare their members with hubs, twice; what then
     remains yields all its pairs across components within MAX_DISTANCE, less those that their shingles in
     no other of these documents, or their counts of shingles in cells of the hash range, rule out for certain.
-    Candidates are confirmed on the texts.
+    Members under a key are dealt to tasks in blocks of about ``most``: hubs are found within blocks, dealt anew
+    for the second time, and the last comparison takes pairs of blocks. Candidates are confirmed on the texts.
 
     Null, empty and wordless texts have no shingles and are linked with nothing. Ids are integers; a null id
     counts as the smallest. Rows that share an id share a fate: they are taken as linked. An empty table gives
@@ -365,19 +401,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     tried = stage(_likely(pairs, met_reps), "likely")
     links = stage(_verified(tried, texts, words, percent), "links")
     tried, comp = tried.select("a", "b"), components(links, "a", "b")
-    for final in (False, False, True):
+    for number, final in enumerate((False, False, True)):
         known = stage(met_reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("comp"), "n"), "known")
-        groups = known.select("rep", "sig", "comp").mapInArrow(_grouped(buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_mixed_keys, "group long, k long").distinct()
+        groups = stage(known.select("rep", "sig", "comp").mapInArrow(_grouped(buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_mixed_keys, "group long, k long").distinct(), "groups")
         members = known.withColumnRenamed("rep", "k")
         if final:
-            groups = stage(groups, "groups")
             left = texts.hint("merge").join(groups.select("k").distinct(), "k", "left_semi")
             alone = left.mapInArrow(_spread(words, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_alone, "k long, u long").groupBy("k").agg(F.sum("u").alias("u"))
             members = members.join(alone, "k", "left").withColumn("shared", F.col("n") - F.coalesce("u", F.lit(0))).where(F.col("shared") * 100 >= F.col("n") * percent).drop("u")
             members = stage(members.join(groups.select("k").distinct(), "k", "left_semi"), "members")
             left = texts.hint("merge").join(members.select("k").distinct(), "k", "left_semi")
+            groups = groups.join(members.select("k"), "k", "left_semi")
             members = members.join(left.mapInArrow(_counted(words), "k long, n long, cells binary"), ["k", "n"])
-        found = groups.join(members, "k").groupBy("group").applyInArrow(_compared(_across if final else _hubs, percent), "a long, b long").distinct()
+        dealt = _block_pairs(groups, known, most) if final else _dealt(groups, most, number)
+        found = dealt.join(members, "k").groupBy("group", "x", "y").applyInArrow(_compared(_across if final else _hubs, percent), "a long, b long").distinct()
         found = found.join(tried, ["a", "b"], "left_anti").join(reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a")
         found = stage(found, "found")
         links = links.unionByName(stage(_verified(found, texts, words, percent), "links"))
