@@ -94,6 +94,17 @@ def test_corpus_and_enrichment(spark, tmp_path):
     assert len(rows) == 1 and [f.ruleId for f in rows[0].static_findings] == ["ast-path-traversal"]
 
 
+def test_long_files_are_enriched(spark, tmp_path):
+    (tmp_path / "meta/CWE-22").mkdir(parents=True)
+    (tmp_path / "meta/CWE-22/big.json").write_text(json.dumps({"id": "big", "path": "/big.py", "vulnerabilities": []}))
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code/big.py").write_text("import sys\nopen(sys.argv[1])\n" + "# filler\n" * 120_000)
+    docs, sources = C.parsed(C.read_metadata(spark, str(tmp_path / "meta"))), C.all_sources(spark, str(tmp_path / "code"))
+    assert C.without_code(docs, sources).count() == 0
+    rows = jobs.enrich(docs, sources).collect()
+    assert [r.id for r in rows] == ["big"] and [f.ruleId for f in rows[0].static_findings] == ["ast-path-traversal"]
+
+
 def test_stream_keeps_latest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.py").write_text("hashlib.md5(x)\n")

@@ -24,13 +24,18 @@ def folder_of(path: Column) -> Column:
 
 
 def read_sources(spark: SparkSession, root: str, suffixes: str = "{c,cpp,cc,cxx,h,hpp,java,py}", max_chars: int | None = MAX_CHARS) -> DataFrame:
-    """(file, code, language) of all source files below ``root``, whole; larger files than ``max_chars`` are left out."""
+    """(file, code, language) of source files below ``root``, whole; larger files than ``max_chars`` are left out: see all_sources."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffixes}").text(root, wholetext=True)
     rows = rows.select(relative(F.col("_metadata.file_path"), root).alias("file"), F.col("value").alias("code"))
     rows = rows.withColumn("language", detect_language(F.col("file")))
     return rows if max_chars is None else rows.where(F.char_length("code") <= max_chars)
 
 
+def all_sources(spark: SparkSession, root: str) -> DataFrame:
+    """(file, code, language) of all source files below ``root``, of any size, as batch jobs need them."""
+    return read_sources(spark, root, max_chars=None)
+
+
 def _read_json(spark: SparkSession, root: str, schema: str) -> DataFrame:
     reader = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE")
     return reader.json(root).withColumn("document", relative(F.col("_metadata.file_path"), root)).withColumn("cwe_folder", folder_of(F.col("document")))
