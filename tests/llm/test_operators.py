@@ -239,6 +239,11 @@ def test_block_pairs_meet_once(spark):
     assert set(met) == want and set(met.values()) == {1}
 
 
+def test_near_dedup_refuses_low_percent(empty):
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(empty, percent=60)
+
+
 def test_pigeonhole():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 65536, (200, near_dedup.VALUES)).astype("<u2")

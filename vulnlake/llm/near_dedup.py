@@ -382,10 +382,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     Members under a key are dealt to tasks in blocks of about ``most``: hubs are found within blocks, dealt anew
     for the second time, and the last comparison takes pairs of blocks. Candidates are confirmed on the texts.
 
+    ``percent`` under 80 is an error: MAX_DISTANCE would miss links.
+
     Null, empty and wordless texts have no shingles and are linked with nothing. Ids are integers; a null id
     counts as the smallest. Rows that share an id share a fate: they are taken as linked. An empty table gives
     an empty result; other columns are left out.
     """
+    if percent < 80:
+        raise ValueError("percent under 80: signatures would miss pairs")
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("k"), F.col(text).cast("string").alias("text"))
