@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,6 +41,11 @@ def display_language(path: Column) -> Column:
     return _by_suffix(path, DISPLAY_SUFFIXES)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, also where lambdas inside use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
@@ -58,6 +64,28 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.transform(hits, placed)
 
 
+def lines_of(code: Column, block: int = 256) -> Column:
+    """array<struct<i, raw, offset, line>>: each line with its place and its trimmed text.
+
+    Places are sums of blocks of lines plus sums inside the block, so the work stays in proportion to the text.
+    """
+    length = lambda words: F.aggregate(words, F.lit(0), lambda n, w: n + F.char_length(w) + 1)
+
+    def placed(s: Column) -> Column:
+        def one(raw: Column, i: Column) -> Column:
+            of = F.floor(i / block).cast("int")
+            before = F.aggregate(F.slice(s["sums"], F.lit(1), of), F.lit(0), lambda n, x: n + x)
+            return F.struct(i.alias("i"), raw.alias("raw"), (before + length(F.slice(s["lines"], of * block + 1, i - of * block))).alias("offset"), trim(raw).alias("line"))
+
+        return F.transform(s["lines"], one)
+
+    def summed(lines: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / block).cast("int"))
+        return F.struct(lines.alias("lines"), F.transform(numbers, lambda b: length(F.slice(lines, b * block + 1, F.lit(block)))).alias("sums"))
+
+    return F.when(code.isNotNull(), let(let(F.split(code, "\n", -1), summed), placed))
+
+
 def line_of(code: Column, at: Column) -> Column:
     """1-based line of a 0-based place."""
     return F.size(F.split(F.substring(code, F.lit(1), at), "\n", -1))

@@ -29,12 +29,6 @@ class Pattern:
     unless: Callable[[Column, Column, Column], Column] | None = None  # (code, match, its end) -> suppressed
 
 
-TITLES = {
-    "CWE-22": "Path Traversal", "CWE-78": "OS Command Injection", "CWE-89": "SQL Injection", "CWE-190": "Integer Overflow", "CWE-416": "Use After Free",
-    "CWE-787": "Out-of-bounds Write", "CWE-327": "Use of a Broken or Risky Cryptographic Algorithm",
-}
-
-
 def _plain_argument(code: Column, match: Column, end: Column) -> Column:
     """The call goes on with a list or with a quoted prefix."""
     return F.regexp_like(F.substring(code, end + 1, F.lit(2**30)), F.lit(r"""^\s*(\[|["'][^"']*["'])"""))
@@ -46,7 +40,11 @@ def _literal_source(code: Column, match: Column, end: Column) -> Column:
     return F.coalesce(second.rlike('^L?"[^"]*"$'), F.lit(False))
 
 
-#: Rule names, patterns and messages.
+#: Fixed values from here to RISKY_LINE: titles, rule names, patterns, messages, sources and sinks.
+TITLES = {
+    "CWE-22": "Path Traversal", "CWE-78": "OS Command Injection", "CWE-89": "SQL Injection", "CWE-190": "Integer Overflow", "CWE-416": "Use After Free",
+    "CWE-787": "Out-of-bounds Write", "CWE-327": "Use of a Broken or Risky Cryptographic Algorithm",
+}
 PATTERNS = [
     Pattern("python-md5", "CWE-327", "medium", "python", r"\bhashlib\.md5\s*\(", "hashlib.md5() uses MD5, which is considered cryptographically weak."),
     Pattern("python-sha1", "CWE-327", "medium", "python", r"\bhashlib\.sha1\s*\(", "hashlib.sha1() uses SHA-1, which is considered cryptographically weak."),
@@ -92,24 +90,31 @@ PATH_MESSAGE = "This file operation appears to use a user-controlled path withou
 JAVA_PATH_MESSAGE = "This file or path operation appears to use a user-controlled path without proper validation, which may allow directory traversal or access to unintended files."
 OVERFLOW_MESSAGE = "This arithmetic operation may overflow before being used for allocation, copying, or size calculation."
 FREED_MESSAGE = "This code appears to use a pointer after it was freed. Accessing freed memory can cause crashes or security vulnerabilities."
+VARIABLE_SQL_MESSAGE = 'Possible SQL injection: SQL query variable "%s" appears to be built unsafely before execution.'
 INLINE_SQL_MESSAGE = "Possible SQL injection: query appears to be built inline using unsafe string construction."
 IGNORED_NAMES = ["malloc", "calloc", "realloc", "memcpy", "sizeof", "int", "short", "long", "size_t", "unsigned", "char", "void"]
 RISKY_LINE = r"\bmalloc\s*\([^)]*[+*][^)]*\)|\brealloc\s*\([^,]+,\s*[^)]*[+*][^)]*\)|\bmemcpy\s*\([^,]+,\s*[^,]+,\s*[^)]*[+*][^)]*\)|\b(?:int|short|long|size_t|unsigned|unsigned\s+int|unsigned\s+long)\s+[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*[^;]*[+*][^;]*;"
 
-_RAW = "rule int, ruleId string, cweId string, severity string, message string, at int, evidence string, n int"
+_RAW = "rule int, ruleId string, cweId string, severity string, message string, line int, column int, evidence string, n int"
 
 
-def located(rows: DataFrame) -> DataFrame:
-    """Rows (file, code, rule, ruleId, cweId, severity, message, at, evidence, n) as findings plus the two tie-breakers."""
+def findings(rows: DataFrame) -> DataFrame:
+    """Rows (file, rule, ruleId, cweId, severity, message, line, column, evidence, n) as findings plus the two tie-breakers."""
     title = F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv])[F.col("cweId")]
-    return rows.select(
-        "cweId", "ruleId", title.alias("vulnerability"), "severity", "message", "file", T.line_of(F.col("code"), F.col("at")).alias("line"),
-        T.column_of(F.col("code"), F.col("at")).alias("column"), "evidence", F.col("rule").alias("rule_order"), F.col("n").alias("match_order"),
+    return rows.select("cweId", "ruleId", title.alias("vulnerability"), "severity", "message", "file", "line", "column", "evidence", F.col("rule").alias("rule_order"), F.col("n").alias("match_order"))
+
+
+def _raw(order: int, rule: Column | str, cwe: str, severity: str, message: Column | str, line: Column, column: Column, evidence: Column, n: Column) -> Column:
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(
+        F.lit(order).alias("rule"), text(rule).alias("ruleId"), F.lit(cwe).alias("cweId"), F.lit(severity).alias("severity"), text(message).alias("message"),
+        line.cast("int").alias("line"), column.cast("int").alias("column"), evidence.alias("evidence"), n.cast("int").alias("n"),
     )
 
 
-def _raw(order: int, rule: str, cwe: str, severity: str, message: Column, at: Column, evidence: Column, n: Column) -> Column:
-    return F.struct(F.lit(order).alias("rule"), F.lit(rule).alias("ruleId"), F.lit(cwe).alias("cweId"), F.lit(severity).alias("severity"), message.alias("message"), at.cast("int").alias("at"), evidence.alias("evidence"), n.cast("int").alias("n"))
+def _exploded(corpus: DataFrame, found: Column) -> DataFrame:
+    """Findings from an array of them for each file; the code itself goes no further."""
+    return findings(corpus.select("file", F.explode(found).alias("m")).select("file", "m.*"))
 
 
 def _kept(code: Column, p: Pattern, order: int) -> Column:
@@ -117,7 +122,7 @@ def _kept(code: Column, p: Pattern, order: int) -> Column:
 
     def row(m: Column, i: Column) -> Column:
         safe = p.unless(code, m, m["at"] + F.char_length(m["hit"])) if p.unless else F.lit(False)
-        return F.struct(safe.alias("safe"), _raw(order, p.rule, p.cwe, p.severity, F.lit(p.message), m["at"], m["hit"], i).alias("raw"))
+        return F.struct(safe.alias("safe"), _raw(order, p.rule, p.cwe, p.severity, p.message, T.line_of(code, m["at"]), T.column_of(code, m["at"]), m["hit"], i).alias("raw"))
 
     return F.transform(F.filter(F.transform(T.matches(code, p.regex), row), lambda x: ~x["safe"]), lambda x: x["raw"])
 
@@ -135,50 +140,65 @@ def match_patterns(corpus: DataFrame, patterns: list[Pattern], first_order: int
             found.append(F.when(T.has(code, p.regex), kept).otherwise(F.array().cast(f"array<struct<{_RAW.replace(', ', ',').replace(' ', ':')}>>")))
         by_language[language] = F.flatten(F.array(*found))
     chosen = reduce(lambda acc, kv: acc.when(F.col("language") == kv[0], kv[1]), list(by_language.items())[1:], F.when(F.col("language") == next(iter(by_language)), next(iter(by_language.values()))))
-    rows = corpus.where(F.col("language").isin(*by_language)).select("file", "code", F.explode(chosen).alias("m"))
-    return located(rows.select("file", "code", "m.*"))
+    return _exploded(corpus.where(F.col("language").isin(*by_language)), chosen)
 
 
 def code_lines(corpus: DataFrame) -> DataFrame:
-    """(file, code, language, i, raw, offset, line): lines with their place and trimmed text."""
-    lines = F.split("code", "\n", -1)
-    rows = corpus.select("file", "code", "language", F.posexplode(lines).alias("i", "raw"), lines.alias("__l"))
-    offset = F.aggregate(F.slice("__l", F.lit(1), F.col("i")), F.lit(0), lambda n, w: n + F.char_length(w) + 1)
-    return rows.select("file", "code", "language", "i", "raw", offset.alias("offset"), T.trim(F.col("raw")).alias("line"))
+    """(file, language, i, raw, offset, line): lines with their place and trimmed text."""
+    return corpus.select("file", "language", F.explode(T.lines_of(F.col("code"))).alias("l")).select("file", "language", "l.*")
+
+
+def _dangerous_sql(text: Column, python: bool) -> Column:
+    """A statement that is put together from parts."""
+    sql = F.regexp_like(F.lower(text), F.lit(T.ascii_borders(r"\b(select|insert|update|delete)\b")))
+    plus = r"\+\s*[a-zA-Z_][a-zA-Z0-9_]*"
+    if python:
+        built = rf"""\bf["'`]|\.format\s*\(|["'][^"']*%[sd][^"']*["']\s*%|["'][^"']*["']\s*\+|{plus}"""
+    else:
+        built = rf'\bString\s*\.\s*format\s*\(|"[^"]*"\s*\+|{plus}'
+    return F.coalesce(sql & T.has(text, built), F.lit(False))
+
+
+def _sql_calls(code: Column, order: int, python: bool) -> Column:
+    """Findings of one language: the calls of a file against its assignments, as arrays of the row."""
+    call = r"\b[a-zA-Z_][a-zA-Z0-9_]*\.execute\s*\(([\s\S]*?)\)" if python else r"\b[a-zA-Z_][a-zA-Z0-9_]*\.(?:executeQuery|executeUpdate|execute)\s*\(([\s\S]*?)\)"
+    assign = r"\b[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*[^\n]+" if python else r"(?:String\s+)?\b[a-zA-Z_][a-zA-Z0-9_]*\b\s*=\s*[^;\n]+"
+    named = lambda a: F.struct(a["at"].alias("at"), a["hit"].alias("hit"), F.regexp_extract(a["hit"], r"^(?:String\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\s*=", 1).alias("name"))
+
+    def last(s: Column, m: Column, name: Column) -> Column:
+        """Backward as-of: of the assignments to ``name`` before the call the last, cut where the call begins."""
+        own = F.filter(s["assigns"], lambda a: (a["name"] == name) & (a["at"] < m["at"]))
+        cut = F.transform(own, lambda a: F.struct(a["at"].alias("at"), F.substring(a["hit"], F.lit(1), m["at"] - a["at"]).alias("hit")))
+        return F.try_element_at(F.filter(cut, lambda a: a["hit"].rlike(r"=\s*" + ("[^\n]" if python else "[^;\n]"))), F.lit(-1))
+
+    def judged(s: Column, m: Column, i: Column) -> Column:
+        args = T.trim(m["arg"])
+        before = F.when(T.is_name(args), last(s, m, args))
+        return T.let(F.struct(args.alias("args"), before.alias("last")), lambda x: verdict(m, i, x["args"], x["last"]))
+
+    def verdict(m: Column, i: Column, args: Column, before: Column) -> Column:
+        value = F.regexp_extract(before["hit"], r"=\s*([\s\S]*)$", 1)
+        if python:
+            safe = T.let(T.top_level_args(args), lambda parts: (F.size(parts) > 1) & F.get(parts, F.lit(0)).rlike(r"%s|\?"))
+        else:
+            safe = F.contains(args, F.lit("?")) | F.coalesce(F.contains(value, F.lit("?")), F.lit(False))
+        inline = _dangerous_sql(args, python)
+        variable = before.isNotNull() & _dangerous_sql(value, python)
+        message = F.when(inline, F.lit(INLINE_SQL_MESSAGE)).otherwise(F.format_string(VARIABLE_SQL_MESSAGE, args))
+        at = F.when(inline, m["at"]).otherwise(before["at"])
+        rule = F.when(inline, F.lit("python-sqli-inline" if python else "java-sqli-inline")).otherwise(F.lit("python-sqli-variable" if python else "java-sqli-variable"))
+        found = _raw(order, rule, "CWE-89", "high", message, T.line_of(code, at), T.column_of(code, at), F.when(inline, m["hit"]).otherwise(before["hit"]), i)
+        return F.when(~F.coalesce(safe, F.lit(False)) & (inline | variable), found)
+
+    known = F.struct(T.matches(code, call, 1).alias("calls"), F.transform(T.matches(code, assign), named).alias("assigns"))
+    return F.filter(T.let(known, lambda s: F.transform(s["calls"], lambda m, i: judged(s, m, i))), lambda x: x.isNotNull())
 
 
 def sql_injection(corpus: DataFrame, first_order: int) -> DataFrame:
     """Queries built in the call, or in the last assignment before it of the variable that is its argument."""
-    code, python = F.col("code"), F.col("language") == "python"
-    calls = {
-        "python": T.matches(code, r"\b[a-zA-Z_][a-zA-Z0-9_]*\.execute\s*\(([\s\S]*?)\)", 1),
-        "java": T.matches(code, r"\b[a-zA-Z_][a-zA-Z0-9_]*\.(?:executeQuery|executeUpdate|execute)\s*\(([\s\S]*?)\)", 1),
-    }
-    found = corpus.where(F.col("language").isin("python", "java")).select("file", "code", "language", F.posexplode(F.when(python, calls["python"]).otherwise(calls["java"])).alias("n", "m"))
-    rows = found.select("file", "code", "language", "n", F.col("m.at").alias("call_at"), F.col("m.hit").alias("hit"), T.trim(F.col("m.arg")).alias("args"))
-    name = F.when(T.is_name(F.col("args")), F.col("args"))
-    before = F.substring(code, F.lit(1), F.col("call_at"))
-    # Backward as-of: of the assignments before the call the last whose left side is the argument.
-    assigned = F.when(python, T.matches(before, r"\b[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*[^\n]+")).otherwise(T.matches(before, r"(?:String\s+)?\b[a-zA-Z_][a-zA-Z0-9_]*\b\s*=\s*[^;\n]+"))
-    own = F.filter(assigned, lambda a: F.regexp_extract(a["hit"], r"^(?:String\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\s*=", 1) == F.col("name"))
-    rows = rows.withColumn("name", name).withColumn("last", F.when(F.col("name").isNotNull() & F.contains(before, F.concat("name", F.lit(""))), F.try_element_at(own, F.lit(-1))))
-    value = F.regexp_extract(F.col("last.hit"), r"=\s*([\s\S]*)$", 1)
-
-    def dangerous(text: Column) -> Column:
-        sql = F.regexp_like(F.lower(text), F.lit(T.ascii_borders(r"\b(select|insert|update|delete)\b")))
-        plus = r"\+\s*[a-zA-Z_][a-zA-Z0-9_]*"
-        built = F.when(python, T.has(text, rf"""\bf["'`]|\.format\s*\(|["'][^"']*%[sd][^"']*["']\s*%|["'][^"']*["']\s*\+|{plus}""")).otherwise(T.has(text, rf'\bString\s*\.\s*format\s*\(|"[^"]*"\s*\+|{plus}'))
-        return F.coalesce(sql & built, F.lit(False))
-
-    parts = T.top_level_args(F.col("args"))
-    safe = F.when(python, (F.size(parts) > 1) & F.get(parts, F.lit(0)).rlike(r"%s|\?")).otherwise(F.contains("args", F.lit("?")) | F.coalesce(F.contains(value, F.lit("?")), F.lit(False)))
-    inline, variable = dangerous(F.col("args")), F.col("last").isNotNull() & dangerous(value)
-    rows = rows.where(~F.coalesce(safe, F.lit(False))).withColumn("inline", inline).withColumn("variable", variable).where("inline or variable")
-    message = F.when(F.col("inline"), F.lit(INLINE_SQL_MESSAGE)).otherwise(F.format_string('Possible SQL injection: SQL query variable "%s" appears to be built unsafely before execution.', "name"))
-    return located(rows.select(
-        "file", "code", F.lit(first_order).alias("rule"), F.concat("language", F.when(F.col("inline"), F.lit("-sqli-inline")).otherwise(F.lit("-sqli-variable"))).alias("ruleId"), F.lit("CWE-89").alias("cweId"),
-        F.lit("high").alias("severity"), message.alias("message"), F.when(F.col("inline"), F.col("call_at")).otherwise(F.col("last.at")).alias("at"), F.when(F.col("inline"), F.col("hit")).otherwise(F.col("last.hit")).alias("evidence"), F.col("n").cast("int").alias("n"),
-    ))
+    code = F.col("code")
+    found = F.when(F.col("language") == "python", _sql_calls(code, first_order, True)).otherwise(_sql_calls(code, first_order, False))
+    return _exploded(corpus.where(F.col("language").isin("python", "java")), found)
 
 
 def text_taint(corpus: DataFrame) -> DataFrame:
@@ -197,75 +217,107 @@ def text_taint(corpus: DataFrame) -> DataFrame:
     return out.select(*corpus.columns, F.array_sort(closure(seeds, F.col("__e"))).alias("tainted"), F.array_distinct(constants).alias("constants"))
 
 
-def _path_verdict(expr: Column, python: bool) -> tuple[Column, Column]:
-    """(clearly safe, dangerous) for the arguments of a path sink."""
+def _path_verdict(expr: Column, known: Column, python: bool) -> Column:
+    """Whether the arguments of a path sink are clearly safe, and whether they are dangerous: struct<safe, bad>."""
     climbs = F.contains(expr, F.lit("../")) | F.contains(expr, F.lit("..\\"))
-    constant = T.is_name(expr) & F.array_contains("constants", expr)
+    constant = T.is_name(expr) & F.array_contains(known["constants"], expr)
     wrap = r"^os\.path\.join\s*\((.*)\)$" if python else r"^(?:Paths\.get|Path\.of)\s*\((.*)\)$"
-    inner = F.regexp_extract(expr, wrap, 1)
-    parts = F.when(expr.rlike(wrap), T.top_level_args(inner))
-    fixed = lambda plus: F.coalesce((F.size(parts) > 0) & F.forall(parts, lambda a: T.is_literal(a) | (F.lit(plus) & T.is_name(a) & F.array_contains("constants", a))), F.lit(False))
-    safe = ~climbs & (T.is_literal(expr) | constant | fixed(False))
+    parts = F.when(expr.rlike(wrap), T.top_level_args(F.regexp_extract(expr, wrap, 1)))
     joins = expr.rlike(r"os\.path\.join\s*\(" if python else r"Paths\.get\s*\(|Path\.of\s*\(")
-    bad = climbs | T.has(expr, USER_INPUT["python" if python else "java"]) | (~constant & (taints(T.names_in(expr), F.col("tainted")) | (joins & ~fixed(True))))
-    return safe, bad
+    dirty = T.has(expr, USER_INPUT["python" if python else "java"])
+
+    def judged(p: Column) -> Column:
+        fixed = lambda names: F.coalesce((F.size(p) > 0) & F.forall(p, lambda a: T.is_literal(a) | (F.lit(names) & T.is_name(a) & F.array_contains(known["constants"], a))), F.lit(False))
+        safe = ~climbs & (T.is_literal(expr) | constant | fixed(False))
+        bad = climbs | dirty | (~constant & (taints(T.names_in(expr), known["tainted"]) | (joins & ~fixed(True))))
+        return F.struct(safe.alias("safe"), bad.alias("bad"))
+
+    return T.let(parts, judged)
+
+
+def _python_paths(code: Column, known: Column, order: int) -> Column:
+    """By line: the first sink whose arguments aren't clearly safe decides."""
+    sinks = [s.replace(".", r"\.") for s in PYTHON_PATH_SINKS]
+
+    def tried(raw: Column, sink: str) -> Column:
+        first = F.get(T.matches(raw, rf"\b{sink}\s*\(([^\r]*)\)", 1), F.lit(0))
+        usable = lambda m: F.struct(m["at"].alias("at"), T.trim(m["arg"]).alias("arg"))
+        verdict = lambda m: F.struct(m["at"].alias("at"), (m["arg"] != "").alias("given"), _path_verdict(m["arg"], known, True).alias("v"))
+        return F.when(first.isNotNull(), T.let(usable(first), verdict))
+
+    def judged(x: Column) -> Column:
+        firsts = F.filter(F.array(*[tried(x["raw"], s) for s in sinks]), lambda m: m["given"] & ~m["v"]["safe"])
+        found = lambda m: F.when(m["v"]["bad"], _raw(order, "path-traversal", "CWE-22", "high", PATH_MESSAGE, x["i"] + 1, m["at"] + 1, T.trim(x["raw"]), x["i"]))
+        return T.let(F.get(firsts, F.lit(0)), found)
+
+    lines = F.transform(F.split(code, "\n", -1), lambda raw, i: F.struct(i.alias("i"), raw.alias("raw")))
+    some = F.filter(lines, lambda x: T.has(x["raw"], rf"\b(?:{'|'.join(sinks)})\s*\(") & ~T.trim(x["raw"]).startswith("#"))
+    return F.transform(some, judged)
+
+
+def _java_paths(code: Column, known: Column, order: int) -> Column:
+    def judged(m: Column, i: Column) -> Column:
+        found = _raw(order, "path-traversal", "CWE-22", "high", JAVA_PATH_MESSAGE, T.line_of(code, m["at"]), T.column_of(code, m["at"]), m["hit"], i)
+        return T.let(T.trim(m["arg"]), lambda arg: T.let(_path_verdict(arg, known, False), lambda v: F.when((arg != "") & ~v["safe"] & v["bad"], found)))
+
+    return F.transform(F.flatten(F.array(*[T.matches(code, p, 1) for p in JAVA_PATH_SINKS])), judged)
 
 
 def path_traversal(corpus: DataFrame, first_order: int) -> DataFrame:
     """File operations on outside input: by line in Python, where the first usable sink decides, by call in Java."""
-    known = text_taint(corpus.where(F.col("language").isin("python", "java")))
-    py = known.where("language = 'python'")
-    split = F.split("code", "\n", -1)
-    py = py.select("file", "code", "tainted", "constants", split.alias("__l"), F.posexplode(split).alias("i", "raw")).where((T.trim(F.col("raw")) != "") & ~T.trim(F.col("raw")).startswith("#"))
-    offset = F.aggregate(F.slice("__l", F.lit(1), F.col("i")), F.lit(0), lambda n, w: n + F.char_length(w) + 1)
-    tries = F.array(*[F.element_at(F.concat(T.matches(F.col("raw"), rf"\b{s.replace('.', chr(92) + '.')}\s*\(([^\r]*)\)", 1), F.array(F.struct(F.lit(-1).alias("at"), F.lit("").alias("hit"), F.lit("").alias("arg")))), 1) for s in PYTHON_PATH_SINKS])
-
-    def usable(m: Column) -> Column:
-        return (m["at"] >= 0) & (T.trim(m["arg"]) != "") & ~_path_verdict(T.trim(m["arg"]), True)[0]
-
-    py = py.withColumn("m", F.get(F.filter(tries, usable), F.lit(0))).where("m is not null").where(_path_verdict(T.trim(F.col("m.arg")), True)[1])
-    raw = lambda message, at, evidence, n: ("file", "code", F.lit(first_order).alias("rule"), F.lit("path-traversal").alias("ruleId"), F.lit("CWE-22").alias("cweId"), F.lit("high").alias("severity"), F.lit(message).alias("message"), at.cast("int").alias("at"), evidence.alias("evidence"), n.cast("int").alias("n"))
-    out = py.select(*raw(PATH_MESSAGE, offset + F.col("m.at"), T.trim(F.col("raw")), F.col("i")))
-    java = known.where("language = 'java'")
-    calls = F.flatten(F.array(*[T.matches(F.col("code"), p, 1) for p in JAVA_PATH_SINKS]))
-    java = java.select("file", "code", "tainted", "constants", F.posexplode(calls).alias("n", "m")).withColumn("arg", T.trim(F.col("m.arg"))).where("arg != ''")
-    safe, bad = _path_verdict(F.col("arg"), False)
-    java = java.where(~safe & bad).select(*raw(JAVA_PATH_MESSAGE, F.col("m.at"), F.col("m.hit"), F.col("n")))
-    return located(out.unionByName(java))
+    rows, code = text_taint(corpus.where(F.col("language").isin("python", "java"))), F.col("code")
+    by = lambda known: F.when(F.col("language") == "python", _python_paths(code, known, first_order)).otherwise(_java_paths(code, known, first_order))
+    return _exploded(rows, F.filter(T.let(F.struct("tainted", "constants"), by), lambda x: x.isNotNull()))
 
 
 def use_after_free(corpus: DataFrame, first_order: int) -> DataFrame:
     """Uses of a name after free(name); by line, until the name is assigned.
 
     Each line that mentions a freed name is an event of (file, name): free, assign or use. A use counts
-    if the last event before it that isn't a use is a free.
+    if the last event before it that isn't a use is a free. Only events leave the row of a file.
     """
-    lines = code_lines(corpus.where("language = 'cpp'").where(F.contains("code", F.lit("free")))).where((F.col("line") != "") & ~F.col("line").startswith("//"))
-    freed = F.regexp_extract("line", T.ascii_borders(r"\bfree\s*\(\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*\)\s*;"), 1)
-    lines = lines.withColumn("freed", freed).withColumn("all_freed", F.collect_set(F.when(F.col("freed") != "", F.col("freed"))).over(Window.partitionBy("file")))
-    names = F.when(F.col("freed") != "", F.array("freed")).otherwise(F.array_intersect("all_freed", T.names_in(F.col("line"))))
-    events = lines.select("file", "code", "i", "raw", "offset", "line", "freed", F.explode(names).alias("name"))
-    assigned = F.exists(F.regexp_extract_all("line", F.lit(T.ascii_borders(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*=")), F.lit(1)), lambda x: x == F.col("name"))
-    events = events.withColumn("kind", F.when(F.col("freed") != "", F.lit("free")).when(assigned, F.lit("assign")).otherwise(F.lit("use")))
-    order = Window.partitionBy("file", "name").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    state = F.last(F.when(F.col("kind") != "use", F.col("kind")), ignorenulls=True).over(order)
-    first = F.min(F.when(F.col("kind") == "free", F.col("i"))).over(Window.partitionBy("file", "name"))
-    hits = events.withColumn("state", state).withColumn("since", first).where("kind = 'use' and state = 'free'")
-    at = F.col("offset") + F.expr("instr(raw, name)") - 1
-    return located(hits.select("file", "code", F.lit(first_order).alias("rule"), F.lit("use-after-free").alias("ruleId"), F.lit("CWE-416").alias("cweId"), F.lit("high").alias("severity"), F.lit(FREED_MESSAGE).alias("message"), at.cast("int").alias("at"), F.col("line").alias("evidence"), (F.col("i") * 1000 + F.col("since")).cast("int").alias("n")))
+    frees = T.ascii_borders(r"\bfree\s*\(\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*\)\s*;")
+    assigns = T.ascii_borders(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*=")
+    parted = F.transform(F.split("code", "\n", -1), lambda raw, i: F.struct(i.alias("i"), raw.alias("raw"), T.trim(raw).alias("line"), F.regexp_extract(T.trim(raw), frees, 1).alias("freed")))
+    lines = F.filter(parted, lambda x: (x["line"] != "") & ~x["line"].startswith("//"))
+    event = lambda x, name, kind: F.struct(x["i"].alias("i"), x["line"].alias("line"), (F.call_function("instr", x["raw"], name)).alias("column"), name.alias("name"), kind.alias("kind"))
+
+    def of_line(x: Column, names: Column) -> Column:
+        """A line that frees is an event of what it frees alone."""
+        used = lambda written: F.transform(F.array_intersect(names, T.names_in(x["line"])), lambda n: event(x, n, F.when(F.array_contains(written, n), F.lit("assign")).otherwise(F.lit("use"))))
+        return F.when(x["freed"] != "", F.array(event(x, x["freed"], F.lit("free")))).otherwise(T.let(F.regexp_extract_all(x["line"], F.lit(assigns), F.lit(1)), used))
+
+    freed = lambda ls: F.filter(F.array_distinct(F.transform(ls, lambda x: x["freed"])), lambda n: n != "")
+    events = T.let(lines, lambda ls: T.let(freed(ls), lambda names: F.flatten(F.transform(ls, lambda x: of_line(x, names)))))
+    rows = corpus.where((F.col("language") == "cpp") & F.contains("code", F.lit("free"))).select("file", F.explode(events).alias("e")).select("file", "e.*")
+    own = Window.partitionBy("file", "name")
+    state = F.last(F.when(F.col("kind") != "use", F.col("kind")), ignorenulls=True).over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    first = F.min(F.when(F.col("kind") == "free", F.col("i"))).over(own)
+    hits = rows.withColumn("state", state).withColumn("since", first).where("kind = 'use' and state = 'free'")
+    found = _raw(first_order, "use-after-free", "CWE-416", "high", FREED_MESSAGE, F.col("i") + 1, F.col("column"), F.col("line"), F.col("since"))
+    return findings(hits.select("file", found.alias("m")).select("file", "m.*"))
 
 
 def integer_overflow(corpus: DataFrame, first_order: int, look_back: int = 10) -> DataFrame:
-    """Sizes computed with + or *, unless an if in the ``look_back`` lines before bounds every name of the arithmetic."""
-    lines = code_lines(corpus.where("language = 'cpp'"))
-    window = Window.partitionBy("file").orderBy("i").rowsBetween(-look_back, -1)
-    guard = F.when(F.col("line").startswith("if"), F.regexp_extract("line", T.ascii_borders(r"\bif\s*\((.*)\)\s*\{?"), 1))
-    lines = lines.withColumn("guards", F.collect_list(F.when(guard != "", guard)).over(window))
-    rows = lines.where((F.col("line") != "") & ~F.col("line").startswith("//")).where(T.has(F.col("line"), RISKY_LINE))
+    """Sizes computed with + or *, unless an if in the ``look_back`` lines before bounds every name of the arithmetic.
+
+    Risky lines leave the row of a file with the conditions above them, and nothing else.
+    """
+    guard = lambda line: F.when(line.startswith("if"), F.nullif(F.regexp_extract(line, T.ascii_borders(r"\bif\s*\((.*)\)\s*\{?"), 1), F.lit("")))
+    above = lambda s, i: F.filter(F.slice(s["guards"], F.greatest(i - look_back + 1, F.lit(1)), F.least(i, F.lit(look_back))), lambda g: g.isNotNull())
+
+    def risky(s: Column) -> Column:
+        numbered = F.transform(s["lines"], lambda raw, i: F.struct(i.alias("i"), raw.alias("raw"), T.trim(raw).alias("line")))
+        some = F.filter(numbered, lambda x: (x["line"] != "") & ~x["line"].startswith("//") & T.has(x["line"], RISKY_LINE))
+        return F.transform(some, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"), F.call_function("instr", x["raw"], x["line"]).alias("column"), above(s, x["i"]).alias("guards")))
+
+    parted = T.let(F.split("code", "\n", -1), lambda ls: F.struct(ls.alias("lines"), F.transform(ls, lambda raw: guard(T.trim(raw))).alias("guards")))
+    rows = corpus.where("language = 'cpp'").select("file", F.explode(T.let(parted, risky)).alias("l")).select("file", "l.*")
     value = F.regexp_extract("line", r"=\s*([^;]+);", 1)
     rows = rows.where(~((value != "") & T.trim(value).rlike(r"^[\d\s+\-*/()]+$")))
-    pick = [r"\bmalloc\s*\(([^)]*)\)", r"\brealloc\s*\([^,]+,\s*([^)]*)\)", r"\bmemcpy\s*\([^,]+,\s*[^,]+,\s*([^)]*)\)"]
-    expr = reduce(lambda acc, p: acc.when(T.has(F.col("line"), p), F.regexp_extract("line", T.ascii_borders(p), 1)), pick[1:], F.when(T.has(F.col("line"), pick[0]), F.regexp_extract("line", T.ascii_borders(pick[0]), 1))).otherwise(value)
+    sizes = [r"\bmalloc\s*\(([^)]*)\)", r"\brealloc\s*\([^,]+,\s*([^)]*)\)", r"\bmemcpy\s*\([^,]+,\s*[^,]+,\s*([^)]*)\)"]
+    size_of = lambda acc, p: acc.when(T.has(F.col("line"), p), F.regexp_extract("line", T.ascii_borders(p), 1))
+    expr = reduce(size_of, sizes, F.when(F.lit(False), F.lit(""))).otherwise(value)
     word = r"[a-zA-Z_][a-zA-Z0-9_]*"
     pairs = F.regexp_extract_all(expr, F.lit(T.ascii_borders(rf"\b{word}\b\s*[+*]\s*\b{word}\b")), F.lit(0))
     names = F.filter(F.array_distinct(F.flatten(F.transform(pairs, T.names_in))), lambda v: ~v.isin(*IGNORED_NAMES))
@@ -278,8 +330,8 @@ def integer_overflow(corpus: DataFrame, first_order: int, look_back: int = 10) -
 
     rows = rows.withColumn("names", names)
     kept = rows.where(~((F.size("names") > 0) & F.exists("guards", lambda g: F.forall("names", lambda v: bounded(g, v)))))
-    at = F.col("offset") + F.expr("instr(raw, line)") - 1
-    return located(kept.select("file", "code", F.lit(first_order).alias("rule"), F.lit("integer-overflow").alias("ruleId"), F.lit("CWE-190").alias("cweId"), F.lit("medium").alias("severity"), F.lit(OVERFLOW_MESSAGE).alias("message"), at.cast("int").alias("at"), F.col("line").alias("evidence"), F.col("i").cast("int").alias("n")))
+    found = _raw(first_order, "integer-overflow", "CWE-190", "medium", OVERFLOW_MESSAGE, F.col("i") + 1, F.col("column"), F.col("line"), F.col("i"))
+    return findings(kept.select("file", found.alias("m")).select("file", "m.*"))
 
 
 def analyze(corpus: DataFrame) -> DataFrame:

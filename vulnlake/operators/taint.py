@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def closure(seeds: Column, edges: Column) -> Column:
     """Names reachable from ``seeds`` over ``edges``, an array of (names read, name written) of one file.
 
-    One pass for each edge suffices for any order of them; nothing leaves the row, so no shuffle.
+    Each step follows the edges from the names that the step before added; once there are none, what is left of
+    the steps does nothing. Nothing leaves the row, so no shuffle.
     """
 
-    def grow(known: Column, _: Column) -> Column:
-        hit = F.filter(edges, lambda e: F.arrays_overlap(e["reads"], known) & ~F.array_contains(known, e["writes"]))
-        return F.when(F.size(hit) > 0, F.array_union(known, F.transform(hit, lambda e: e["writes"]))).otherwise(known)
+    def grow(state: Column, _: Column) -> Column:
+        def step(s: Column) -> Column:
+            hit = F.filter(edges, lambda e: F.arrays_overlap(e["reads"], s["fresh"]) & ~F.array_contains(s["known"], e["writes"]))
+            fresh = F.array_distinct(F.transform(hit, lambda e: e["writes"]))
+            return T.let(fresh, lambda f: F.struct(F.concat(s["known"], f).alias("known"), f.alias("fresh")))
+
+        return F.when(F.size(state["fresh"]) == 0, state).otherwise(step(state))
 
-    some = F.array_distinct(seeds)
-    return F.when((F.size(some) == 0) | (F.size(edges) == 0), some).otherwise(F.aggregate(edges, some, grow))
+    start = T.let(F.array_distinct(seeds), lambda s: F.struct(s.alias("known"), s.alias("fresh")))
+    return F.when(F.size(edges) == 0, F.array_distinct(seeds)).otherwise(F.aggregate(edges, start, grow, lambda s: s["known"]))
 
 
 def taints(names: Column, tainted: Column) -> Column:
