@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "calls array<struct<name:string,method:string,recv:string,made:boolean,at:int,text:string,args array<struct<text:string,kind:string,names:array<string>,at:int,arith:boolean>>,guards:array<string>>>,"
-    "assigns array<struct<lhs:string,form:string,base:string,index:array<string>,kind:string,text:string,names:array<string>,at:int,place:int,arith:boolean,grown:boolean,made:boolean,guards:array<string>>>,"
+    "assigns array<struct<lhs:string,form:string,base:string,index:array<string>,kind:string,text:string,names:array<string>,at:int,place:int,arith:boolean,grown:boolean,made:boolean,last:boolean,guards:array<string>>>,"
     "params array<struct<type:string,name:string>>, loops array<struct<form:string,name:string,text:string,names:array<string>,at:int,writes:boolean>>,"
     "steps array<struct<name:string,text:string,at:int,guards:array<string>>>, divisions array<struct<text:string,names:array<string>,at:int>>,"
     "events array<struct<name:string,kind:string,at:int>>, imports array<string>, macros array<struct<name:string,text:string,at:int>>"
@@ -136,6 +136,23 @@ class Scan:
             break
         return i
 
+    def generic(self, k: int) -> int:
+        """First token of the type that is made with the type arguments that end with the > at ``k``; else the token after it."""
+        depth, i = 0, k
+        while i > 0 and self.text[i] not in (";", "{", "}"):
+            depth += (self.text[i] == ">") - (self.text[i] == "<")
+            if not depth:
+                break
+            i -= 1
+        while not depth and i > 1 and self.kind[i - 1] == "id":
+            i -= 1
+            if self.text[i - 1] == "new":
+                return i
+            if self.text[i - 1] != ".":
+                break
+            i -= 1
+        return k + 1
+
     def parts(self, k: int) -> list[tuple[int, int]]:
         """Arguments of the bracket at ``k`` as token ranges."""
         out, begin, close = [], k + 1, self.match[k]
@@ -184,7 +201,7 @@ def extract(code: str, language: str) -> list:
     s = Scan(code, language)
     calls, assigns, params, loops, steps, divisions, events, imports, macros = ([] for _ in range(9))
     ifs, cond_loops = _guards(s) if language != "python" else ([], [])
-    around = lambda i: [c for a, b, c in ifs if a < i < b][-7:]  # noqa: E731  15 levels of a syntax tree are some 7 nested ifs
+    around = lambda i: [c for a, b, c in ifs if a < i < b]
     part = lambda a, b: {"text": s.source(a, b), "kind": s.shape(a, b), "names": s.names(a, b), "at": s.start[a] if a < s.n else 0, "arith": s.arith(a, b)}
     frees = set()
     for k in range(1, s.n):
@@ -194,7 +211,7 @@ def extract(code: str, language: str) -> list:
             continue
         begin = s.chain(k)
         if s.text[k - 1] == ">" and language == "java":
-            begin = next((j for j in range(k - 1, max(-1, k - 12), -1) if s.text[j] == "new"), k - 1) + 1
+            begin = s.generic(k - 1)
         before = s.text[begin - 1] if begin else ""
         if begin == k or before in ("def", "class"):
             if before == "def":
@@ -252,10 +269,12 @@ def extract(code: str, language: str) -> list:
         rhs = part(k + 1, end)
         if language == "java" and rhs["kind"] == "call" and re.match(r'^"[^"]*"\s*\.\s*(getBytes|toCharArray)\s*\(', rhs["text"]):
             rhs["kind"] = "bytes of text"
-        assigns.append({"lhs": lhs, "form": form, "base": base, "index": index, **{c: rhs[c] for c in ("kind", "text", "names", "at", "arith")}, "place": s.start[begin], "grown": s.text[k] != "=", "made": bool(made), "guards": around(k)})
+        assigns.append({"lhs": lhs, "form": form, "base": base, "index": index, **{c: rhs[c] for c in ("kind", "text", "names", "at", "arith")}, "place": s.start[begin], "grown": s.text[k] != "=", "made": bool(made), "last": False, "guards": around(k)})
         if form == "name":
             resets.add(begin)
     assigns.sort(key=lambda a: (a["place"], a["at"]))
+    for a in {a["lhs"]: a for a in assigns if a["form"] == "name" and not a["grown"]}.values():
+        a["last"] = True
     if language == "python":
         for i in range(s.n):
             if s.text[i] == "for" and s.kind[i] == "id":

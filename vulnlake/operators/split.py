@@ -29,7 +29,7 @@ def stratified(documents: DataFrame, id_col: str = "id", folder: str = "cwe_fold
     rows = documents.withColumn("__s", F.when(special, F.lit(None)).otherwise(label)).withColumn("__old", old)
     others = [c for c in documents.columns if c not in (id_col, "split")]
     part = Window.partitionBy(folder, "__s", F.isnull("__old"))
-    rows = rows.withColumn("__n", F.row_number().over(part.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col, F.xxhash64(*others))) - 1).withColumn("__t", F.count(F.lit(1)).over(part))
+    rows = rows.withColumn("__n", F.row_number().over(part.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col, F.xxhash64(*others))) - 1).withColumn("__t", F.count(F.lit(1)).over(part))
     ratio = tuple(F.when(special, F.lit(a)).otherwise(F.lit(b)) for a, b in zip(SPECIAL_RATIO, RATIO, strict=True))
     return rows.select(*[c for c in documents.columns if c != "split"], F.coalesce("__old", by_ratio(F.col("__n"), F.col("__t"), ratio)).alias("split"))
 

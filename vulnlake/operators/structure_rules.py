@@ -53,6 +53,7 @@ CREDENTIAL_NAMES = {
 CREDENTIAL_CALLS = ["getConnection", "connect", "login", "authenticate"]
 KEY_TYPES = ["SecretKeySpec", "PBEKeySpec", "SecretKey", "KerberosKey", "PasswordAuthentication"]
 
+#: Titles; and, in the three lists of rules below, the names, severities and messages of findings.
 TITLES = {
     "CWE-22": "Path Traversal", "CWE-78": "OS Command Injection", "CWE-89": "SQL Injection", "CWE-190": "Integer Overflow", "CWE-416": "Use After Free", "CWE-787": "Out-of-bounds Write",
     "CWE-327": "Use of Broken Cryptographic Algorithm", "CWE-328": "Use of Weak Hash", "CWE-259": "Use of Hard-coded Password", "CWE-321": "Use of Hard-coded Cryptographic Key",
@@ -120,23 +121,34 @@ def tainted(rows: DataFrame, compat: bool = False) -> DataFrame:
 
 def _value_of(name: Column) -> Column:
     """The last assignment to a name in the file."""
-    return F.try_element_at(F.filter("assigns", lambda a: (a["form"] == "name") & (a["lhs"] == name) & ~a["grown"]), F.lit(-1))
+    return F.get(F.filter("assigns", lambda a: a["last"] & (a["lhs"] == name)), F.lit(0))
 
 
-def _unsafe_sql(arg: Column, language: str, depth: int = 3) -> Column:
-    """An argument that is a query built from parts; names stand for their last value, ``depth`` steps far."""
-    text, kind, names = arg["text"], arg["kind"], arg["names"]
+def _built_sql(text: Column, kind: Column, names: Column, language: str) -> Column:
+    """A query that is put together from parts, or has outside input in it."""
     sql = F.regexp_like(F.lower(text), F.lit(T.ascii_borders(r"\b(select|insert|update|delete)\b")))
     bad = taints(names, F.col("tainted"))
     if language == "python":
         built = F.when(kind == "text", text.rlike("(?i)^f[\"']")).otherwise(bad | kind.isin("binary", "joined") | text.rlike(r"\.format\s*\(|%"))
     else:
         built = F.when(kind == "text", F.lit(False)).otherwise(bad | ((kind == "binary") & F.contains(text, F.lit("+"))) | text.rlike(r"String\.format\s*\("))
-    if depth:
-        value = _value_of(text)
-        built_name = bad | (value.isNotNull() & F.coalesce(_unsafe_sql(value, language, depth - 1), F.lit(False)))
-        return F.when(kind == "name", built_name).otherwise(sql & built)
-    return F.when(kind == "name", bad).otherwise(sql & built)
+    return sql & built
+
+
+def unsafe_queries(rows: DataFrame) -> DataFrame:
+    """``rows`` plus unsafe_sql: names whose last value is an unsafe query, or a name of which that is true, and so on."""
+    value = F.filter("assigns", lambda a: a["last"])
+    built = lambda a: F.when(F.col("grammar") == "python", _built_sql(a["text"], a["kind"], a["names"], "python")).otherwise(_built_sql(a["text"], a["kind"], a["names"], "java"))
+    bad = lambda a: F.when(a["kind"] == "name", taints(a["names"], F.col("tainted"))).otherwise(F.coalesce(built(a), F.lit(False)))
+    seeds = F.transform(F.filter(value, bad), lambda a: a["lhs"])
+    edges = F.transform(F.filter(value, lambda a: a["kind"] == "name"), lambda a: F.struct(F.array(a["text"]).alias("reads"), a["lhs"].alias("writes")))
+    return rows.withColumn("unsafe_sql", F.when(F.col("grammar") == "c", F.array().cast("array<string>")).otherwise(closure(seeds, edges)))
+
+
+def _unsafe_sql(arg: Column, language: str) -> Column:
+    """An argument that is a query built from parts; a name stands for its last value, through any number of names."""
+    by_name = taints(arg["names"], F.col("tainted")) | F.array_contains("unsafe_sql", arg["text"])
+    return F.when(arg["kind"] == "name", by_name).otherwise(_built_sql(arg["text"], arg["kind"], arg["names"], language))
 
 
 def _hits(order: int, items: Column | str, keep, cwe, rule: str, severity: str, message, at, evidence) -> Column:
@@ -263,7 +275,7 @@ def analyze_structure(corpus: DataFrame, compat: bool = False) -> DataFrame:
     Defaults fix known faults of such analyzers: a freeing call isn't a use of its own argument, a
     tainted string does reach a shell, C++ suffixes count. ``compat`` brings the faults back.
     """
-    rows = tainted(facts(corpus, compat), compat)
+    rows = unsafe_queries(tainted(facts(corpus, compat), compat))
     hits = F.when(F.col("grammar") == "python", F.flatten(F.array(*_python()))).when(F.col("grammar") == "java", F.flatten(F.array(*_java()))).otherwise(F.flatten(F.array(*_c(compat))))
     found = rows.select("file", "code", F.posexplode(hits).alias("n", "h"))
     title = F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv])[F.col("h.cwe")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics, predictions
@@ -17,20 +17,27 @@ from ..schemas import FINDING_STRUCT
 STRUCTURE_FOLDERS = ["CWE-22", "CWE-78", "CWE-89", "CWE-190", "CWE-259", "CWE-321", "CWE-327", "CWE-328", "CWE-416", "CWE-787", "MULTI-CWE"]
 
 
+def _by_structure(folder: Column) -> Column:
+    return F.coalesce(folder.isin(*STRUCTURE_FOLDERS), F.lit(False))
+
+
 def route(corpus: DataFrame) -> DataFrame:
     """Findings of each file by the analyzer of its cwe_folder. ``corpus``: file, code, cwe_folder."""
-    strong = F.col("cwe_folder").isin(*STRUCTURE_FOLDERS)
+    strong = _by_structure(F.col("cwe_folder"))
     return analyze_structure(corpus.where(strong)).unionByName(analyze(corpus.where(~strong)))
 
 
 def enrich(documents: DataFrame, sources: DataFrame) -> DataFrame:
     """Parsed metadata documents with static_findings and enriched_at; documents without code are left out.
 
-    Paths that several documents share are analyzed once.
+    Each document gets the findings of the analyzer of its own folder. Paths that several documents share are
+    analyzed once by each analyzer that they need.
     """
-    rows = with_code(documents, sources).drop("static_findings", "enriched_at")
-    found = gathered(route(rows.select(F.col("path").alias("file"), "code", "cwe_folder").dropDuplicates(["file", "cwe_folder"])))
-    joined = rows.join(found, rows["path"] == found["file"], "left").drop("file", "code")
+    rows = with_code(documents, sources).drop("static_findings", "enriched_at").withColumn("__strong", _by_structure(F.col("cwe_folder")))
+    files = rows.select(F.col("path").alias("file"), "code", "__strong").dropDuplicates(["file", "__strong"])
+    sides = [gathered(run(files.where(F.col("__strong") == strong).select("file", "code"))).withColumn("__by", F.lit(strong)) for run, strong in ((analyze_structure, True), (analyze, False))]
+    found = sides[0].unionByName(sides[1])
+    joined = rows.join(found, (rows["path"] == found["file"]) & (rows["__strong"] == found["__by"]), "left").drop("file", "code", "__strong", "__by")
     return joined.withColumn("static_findings", F.coalesce("static_findings", F.array().cast(f"array<{FINDING_STRUCT}>"))).withColumn("enriched_at", F.current_timestamp())
 
 

@@ -9,12 +9,10 @@ from .functions import text as T
 from .operators import metrics, predictions, rules, split, structure_rules
 from .operators.taint import closure
 from .plans import jobs
-from .samples import SNIPPETS, code_corpus, corpus_sql
-from .schemas import FINDING_NAMES
+from .query_sql import ORACLE_SQL  # noqa: F401  listed beside QUERIES
+from .samples import SNIPPETS, TRUE_CWE, code_corpus
 from .sources import corpus as C
 
-_PLACED = ["file", "ruleId", "cweId", "severity", "line", "column", "evidence"]
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -155,21 +153,31 @@ def missing_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.without_code(docs, code_corpus(spark, sf_dir)).select("id", "path")
 
 
+_FIXES = '[{"origin":"hashlib.md5","replacement":"hashlib.sha256"},{"origin":"hashlib.sha1(x)","replacement":"b\'\'"},{"origin":"os.system(name)","replacement":"hashlib.md5(name)"}]'
+
+
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = code_corpus(spark, sf_dir).where("kind in (0, 4, 8)")
-    cwe = F.when(F.col("kind") == 0, "CWE-327").when(F.col("kind") == 4, "CWE-89").otherwise("CWE-259")
-    answer = F.when(F.col("part_key") % 5 == 0, "no json here").otherwise(F.concat(F.lit('Answer: {"vulnerabilities":[{"cwe":"'), cwe, F.lit('","fixes":[{"origin":"hashlib.md5","replacement":"hashlib.sha256"},{"origin":"hashlib.sha1(x)","replacement":"b\'\'"}]},{"cwe":7}]}')))
-    return rows.select(F.col("file").alias("id"), "file", "code", F.lit("python").alias("language"), F.array(cwe).alias("cwes"), answer.alias("raw"))
+    """Every file with its true CWEs and a model's answer: none, no JSON, an empty one, or three fixes and a malformed item."""
+    rows = code_corpus(spark, sf_dir)
+    truth = F.element_at(F.create_map(*[F.lit(x) for kv in TRUE_CWE.items() for x in kv]), F.col("kind"))
+    fixed = F.concat(F.lit('Answer: {"vulnerabilities":[{"cwe":"'), F.coalesce(truth, F.lit("CWE-22")), F.lit(f'","fixes":{_FIXES}}},{{"cwe":7}}]}}'))
+    turn = F.col("part_key") % 5
+    answer = F.when(turn == 0, "no json here").when(turn == 1, '{"vulnerabilities":[]}').when(turn > 2, fixed)
+    cwes = F.when(truth.isNull(), F.array().cast("array<string>")).otherwise(F.array(truth))
+    language = F.when(F.col("file").endswith(".c"), "c").otherwise(T.detect_language(F.col("file")))
+    return rows.select(F.col("file").alias("id"), "file", "code", language.alias("language"), cwes.alias("cwes"), answer.alias("raw"))
 
 
 def patched_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _answers(spark, sf_dir).withColumn("v", predictions.parse(F.col("raw")))
+    rows = _answers(spark, sf_dir).withColumn("v", predictions.parse(F.coalesce("raw", F.lit(""))))
     return rows.select("id", F.array_join(predictions.predicted_cwes(F.col("v")), ",").alias("predicted"), predictions.apply_fixes(F.col("code"), predictions.fixes_for(F.col("v"), F.col("cwes"))).alias("patched"))
 
 
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _answers(spark, sf_dir)
-    return jobs.evaluate(rows.drop("raw"), rows.select("id", "raw")).drop("patched")
+    out = jobs.evaluate(rows.drop("raw"), rows.where("raw is not null").select("id", "raw"))
+    scores = [F.round(c, 9).alias(c) for c in ("cwe_score", "reduction", "compiles", "fix_score", "final_score")]
+    return out.select("id", "language", F.array_join("cwes", ",").alias("cwes"), F.array_join("predicted", ",").alias("predicted"), *scores, F.col("introduced").cast("long").alias("introduced"))
 
 
 def analyzer_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,9 +186,10 @@ def analyzer_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two documents for every file, one in a folder of each analyzer."""
     rows = code_corpus(spark, sf_dir)
-    docs = rows.select(F.lit("1.0").alias("schema_version"), F.col("file").alias("id"), F.concat(F.lit("/"), F.col("file")).alias("path"), F.when(F.col("kind") % 2 == 0, "CWE-22").otherwise("SAFE-NONCWE").alias("cwe_folder"))
-    return jobs.enrich(docs, rows.select("file", "code")).select("id", "cwe_folder", F.size("static_findings").alias("findings"))
+    docs = rows.select(F.lit("1.0").alias("schema_version"), F.col("file").alias("id"), F.concat(F.lit("/"), F.col("file")).alias("path"), F.explode(F.array(F.lit("CWE-22"), F.lit("SAFE-NONCWE"))).alias("cwe_folder"))
+    return jobs.enrich(docs, rows.select("file", "code")).select("id", "cwe_folder", F.size("static_findings").cast("long").alias("findings"))
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,90 +218,3 @@ QUERIES = {f"ref_{f.__name__}": f for f in (
     weak_crypto, command_injection, out_of_bounds_write, sql_injection, path_traversal, use_after_free, integer_overflow, text_findings, structure_findings, tainted_names, languages, code_lines, taint_closure,
     confusion, detection_rates, compared_analyzers, passed, set_f1, fix_scores, score_means, finding_counts, split_counts, split_documents, missing_code, patched_code, evaluation, analyzer_comparison, enriched, diagnostics, prompts, best_epochs, latest_events,
 )}
-
-
-def _lit(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-_LANGUAGE_SQL = r"CASE WHEN regexp_matches(lower(file), '\.(c|cpp|cc|cxx|h|hpp)$') THEN 'cpp' WHEN lower(file) LIKE '%.java' THEN 'java' WHEN lower(file) LIKE '%.py' THEN 'python' ELSE 'unknown' END"
-
-
-def _patterns_sql(patterns: list[rules.Pattern]) -> str:
-    parts = []
-    for p in patterns:
-        rx = _lit(p.regex)
-        unless = "true"
-        if p.unless is rules._plain_argument:
-            unless = "NOT regexp_matches(substr(code, pos + length(hit) + 1), " + _lit(r"""^\s*(\[|["'][^"']*["'])""") + ")"
-        elif p.unless is rules._literal_source:
-            unless = "NOT coalesce(regexp_matches(trim(string_split(regexp_extract(hit, " + _lit(r"\(([^)]*)\)") + ", 1), ',')[2], chr(32) || chr(9) || chr(13) || chr(10)), " + _lit('^L?"[^"]*"$') + "), false)"
-        parts.append(f"""SELECT file, {_lit(p.rule)} AS "ruleId", {_lit(p.cwe)} AS "cweId", {_lit(p.severity)} AS severity, code, pos, hit FROM (
-  SELECT file, code, hits[k] AS hit, CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS pos
-  FROM (SELECT file, code, hits, gaps, unnest(range(1, len(hits) + 1)) AS k FROM (
-    SELECT file, code, regexp_extract_all(code, {rx}) AS hits, regexp_split_to_array(code, {rx}) AS gaps FROM corpus WHERE {_LANGUAGE_SQL} = {_lit(p.language)}))
-) WHERE {unless}""")
-    return f"""WITH {corpus_sql()}, found AS (
-{" UNION ALL ".join(parts)}
-)
-SELECT file, "ruleId", "cweId", severity, length(substr(code, 1, pos)) - length(replace(substr(code, 1, pos), chr(10), '')) + 1 AS line,
-       length(list_last(string_split(substr(code, 1, pos), chr(10)))) + 1 AS "column", hit AS evidence
-FROM found"""
-
-
-_CRYPTO_SQL = _patterns_sql([p for p in rules.PATTERNS if p.cwe == "CWE-327"])
-_SPACES = "chr(32) || chr(9) || chr(13) || chr(10) || chr(12) || chr(11)"
-_LINES = f"""lines AS (
-  SELECT file, k - 1 AS i, ls[k] AS raw, trim(ls[k], {_SPACES}) AS line,
-         CAST(coalesce(list_sum(list_transform(ls[1:k - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS "offset"
-  FROM (SELECT file, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT file, string_split(code, chr(10)) AS ls FROM corpus))
-)"""
-_TRUTH = "truth AS (SELECT d.doc_id, source AS cwe, toxic = 1 AS truth, length(text) > 1500 AS found, quality = 1 AS other FROM documents d JOIN labels USING (doc_id))"
-_COUNTS = "count(*) FILTER (truth AND {0}) AS tp, count(*) FILTER (truth AND NOT {0}) AS fn, count(*) FILTER (NOT truth AND {0}) AS fp, count(*) FILTER (NOT truth AND NOT {0}) AS tn"
-_FIX = "greatest(0.0, least(1.0, CASE WHEN l_returnflag = 'R' THEN l_quantity / 50 ELSE 0.8 * (l_quantity / 50) + 0.2 * (l_linenumber % 2) END - least(0.8, CAST(0.05 AS DOUBLE) * (l_partkey % 20))))"
-
-ORACLE_SQL = {
-    "ref_weak_crypto": _CRYPTO_SQL,
-    "ref_command_injection": _patterns_sql([p for p in rules.PATTERNS if p.cwe == "CWE-78"]),
-    "ref_out_of_bounds_write": _patterns_sql(rules.BOUNDS),
-    "ref_finding_counts": f'SELECT "ruleId", "cweId", count(*) AS findings, count(DISTINCT file) AS files FROM ({_CRYPTO_SQL}) GROUP BY ALL',
-    "ref_languages": f"""WITH {corpus_sql()} SELECT {_LANGUAGE_SQL} AS language,
-  CASE WHEN file LIKE '%.py' THEN 'python' WHEN file LIKE '%.java' THEN 'java' WHEN file LIKE '%.c' THEN 'c' ELSE 'unknown' END AS shown, count(*) AS files FROM corpus GROUP BY ALL""",
-    "ref_code_lines": f"""WITH {corpus_sql()}, {_LINES} SELECT file, i, "offset", line FROM lines WHERE line <> '' AND NOT regexp_matches(line, '^(//|#)')""",
-    "ref_use_after_free": f"""WITH {corpus_sql()}, {_LINES}, c AS (
-  SELECT *, regexp_extract(line, '\\bfree\\s*\\(\\s*([a-zA-Z_][a-zA-Z0-9_]*)\\s*\\)\\s*;', 1) AS freed FROM lines WHERE file LIKE '%.c' AND line <> '' AND line NOT LIKE '//%'
-), n AS (SELECT DISTINCT file, freed AS name FROM c WHERE freed <> ''), e AS (
-  SELECT c.*, name, CASE WHEN freed <> '' THEN 'free' WHEN regexp_matches(line, '\\b' || name || '\\s*=') THEN 'assign' ELSE 'use' END AS kind
-  FROM c JOIN n USING (file) WHERE freed = name OR (freed = '' AND regexp_matches(line, '\\b' || name || '\\b'))
-), s AS (SELECT *, last_value(CASE WHEN kind <> 'use' THEN kind END IGNORE NULLS) OVER (PARTITION BY file, name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state FROM e)
-SELECT file, 'use-after-free' AS "ruleId", 'CWE-416' AS "cweId", 'high' AS severity, i + 1 AS line, CAST(instr(raw, name) AS BIGINT) AS "column", line AS evidence FROM s WHERE kind = 'use' AND state = 'free'""",
-    "ref_taint_closure": """WITH RECURSIVE e AS (
-  SELECT strftime(o_orderdate, '%Y-%m-%d') AS file, 'v' || (o_custkey % 40) AS src, 'v' || (o_orderkey % 40) AS dst, o_orderpriority LIKE '1%' AS seed FROM orders
-), t AS (SELECT file, src AS name FROM e WHERE seed UNION SELECT e.file, e.dst FROM t JOIN e ON t.file = e.file AND t.name = e.src)
-SELECT file, name FROM t""",
-    "ref_confusion": f"WITH {_TRUTH} SELECT cwe, {_COUNTS.format('found')} FROM truth GROUP BY ROLLUP (cwe)",
-    "ref_detection_rates": f"""WITH {_TRUTH}, c AS (SELECT cwe, {_COUNTS.format("found")} FROM truth GROUP BY cwe)
-SELECT cwe, CASE WHEN tp + fn > 0 THEN CAST(100 AS DOUBLE) * tp / (tp + fn) END AS detection, CASE WHEN fp + tn > 0 THEN CAST(100 AS DOUBLE) * fp / (fp + tn) END AS false_positive FROM c""",
-    "ref_compared_analyzers": f"""WITH {_TRUTH}, a AS (SELECT cwe, {_COUNTS.format("found")} FROM truth WHERE found GROUP BY cwe), b AS (SELECT cwe, {_COUNTS.format("other")} FROM truth WHERE other GROUP BY cwe)
-SELECT coalesce(a.cwe, b.cwe) AS cwe, {", ".join(f"coalesce({t}.{n}, 0) AS {s}_{n}" for t, s in (("a", "left"), ("b", "right")) for n in ("tp", "fn", "fp", "tn"))} FROM a FULL JOIN b ON a.cwe = b.cwe""",
-    "ref_passed": f"WITH {_TRUTH} SELECT cwe, count(*) FILTER (found) AS passed, count(*) AS total FROM truth GROUP BY cwe",
-    "ref_set_f1": """WITH s AS (
-  SELECT l_orderkey AS id, list_distinct(list(l_returnflag || l_linestatus) FILTER (l_linenumber % 2 = 1)) AS a, list_distinct(list(l_returnflag || l_linestatus) FILTER (l_linenumber % 2 = 0)) AS b FROM lineitem GROUP BY l_orderkey
-), n AS (SELECT id, coalesce(len(a), 0) AS p, coalesce(len(b), 0) AS q, coalesce(len(list_intersect(a, b)), 0) AS h FROM s)
-SELECT id, round(CASE WHEN p = 0 AND q = 0 THEN 1.0 WHEN p = 0 OR q = 0 THEN 0.0 ELSE CAST(2 AS DOUBLE) * h / (p + q) END, 9) AS f1 FROM n""",
-    "ref_fix_scores": f"SELECT l_orderkey, l_linenumber, round(CAST({_FIX} AS DOUBLE), 9) AS fix FROM lineitem",
-    "ref_score_means": f"SELECT CASE l_returnflag WHEN 'R' THEN 'java' WHEN 'A' THEN 'python' ELSE 'c' END AS language, round(avg(CAST({_FIX} AS DOUBLE)), 6) AS fix, round(avg(l_quantity / 50), 6) AS reduced, count(*) AS samples FROM lineitem GROUP BY ALL",
-    "ref_split_counts": f"""WITH {corpus_sql()}, d AS (
-  SELECT CASE WHEN kind % 7 = 0 THEN 'MULTI-CWE' WHEN kind % 7 = 1 THEN 'SAFE-NONCWE' ELSE 'CWE-' || kind END AS cwe_folder, kind % 7 < 2 AS special, CASE WHEN kind % 7 >= 2 THEN (part_key // {len(SNIPPETS)}) % 3 = 0 END AS bad FROM corpus
-), g AS (SELECT cwe_folder, special, bad, count(*) AS n FROM d GROUP BY ALL), f AS (
-  SELECT *, CAST(floor(n * CASE WHEN special THEN 0.6 ELSE 0.8 END + 1e-9) AS BIGINT) AS a, CAST(floor(n * CASE WHEN special THEN 0.2 ELSE 0.1 END + 1e-9) AS BIGINT) AS b FROM g
-), p AS (SELECT cwe_folder, unnest(['train', 'val', 'test']) AS split, unnest([a, b + (n - a - 2 * b) // 2, n - a - b - (n - a - 2 * b) // 2]) AS m FROM f)
-SELECT cwe_folder, split, CAST(sum(m) AS BIGINT) AS documents FROM p WHERE m > 0 GROUP BY ALL""",
-    "ref_missing_code": f"""WITH {corpus_sql()} SELECT s_suppkey AS id, '/src/part-' || (s_suppkey * 7) || '.py' AS path FROM supplier WHERE 'src/part-' || (s_suppkey * 7) || '.py' NOT IN (SELECT file FROM corpus)""",
-    "ref_patched_code": f"""WITH {corpus_sql()} SELECT file AS id, CASE WHEN part_key % 5 = 0 THEN '' WHEN kind = 0 THEN 'CWE-327' WHEN kind = 4 THEN 'CWE-89' ELSE 'CWE-259' END AS predicted,
-  CASE WHEN part_key % 5 = 0 THEN code ELSE regexp_replace(regexp_replace(code, 'hashlib\\.md5', 'hashlib.sha256'), 'hashlib\\.sha1\\(x\\)', 'b''''') END AS patched FROM corpus WHERE kind IN (0, 4, 8)""",
-    "ref_prompts": f"""WITH {corpus_sql()} SELECT file, trim('Review ' || file || ':' || chr(10) || code || chr(10), {_SPACES}) AS prompt FROM corpus""",
-    "ref_best_epochs": """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS epoch, round(avg(o_totalprice), 4) AS score FROM orders GROUP BY 1)
-SELECT epoch, score, coalesce(score > max(score) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS best FROM m""",
-    "ref_latest_events": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-}

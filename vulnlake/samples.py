@@ -28,9 +28,17 @@ SNIPPETS = [
     (".c", "void f(int n, int m) {\n  if (n < 10 && m < 10) {\n  }\n  char *a = malloc(n * m);\n  int total = n + k{k};\n  int fixed = 3 * 4;\n}\n"),
     (".c", "#define DB_PASSWORD \"hunter{k}22\"\n#define LIMIT 5\nvoid f() {\n  int n = atoi(s);\n  buf[n] = 1;\n}\n"),
     (".c", "int add(int a) {\n  if (a < INT_MAX - 1) {\n    a = a + 1;\n  }\n  int b = a * 2;\n  return b;\n}\n"),
+    (".py", "import os\nimport sys\nbase = 'data'\nname = sys.argv[1]\nwith open(os.path.join(base, 'fixed.txt')) as f:\n    a{k} = f.read()\nwith open(os.path.join(base, name)) as f:\n    b{k} = f.read()\n"),
+    (".c", "int f(int n) {\n  if (n < INT_MAX) {\n" + "  if (c{k}) {\n" * 8 + "  n = n * 2;\n" + "  }\n" * 9 + "  int m = n * 3;\n  return m;\n}\n"),
+    (".py", "def find(cur, x):\n    a = \"select \" + x\n    b = a\n    c = b\n    d = c\n    e = d\n    cur.execute(e)\n"),
+    (".c", "void f() {\n" + "  x = 1;\n" * 300 + "  strcpy(a, b{k});\n}\n"),
     (".txt", "md5 SHA1( system( free(p); open(x)\n"),
 ]
 
+#: Truth by kind of sample; the last kind is safe.
+TRUE_CWE = {0: "CWE-327", 1: "CWE-327", 2: "CWE-78", 3: "CWE-78", 4: "CWE-89", 5: "CWE-89", 6: "CWE-22", 7: "CWE-22", 8: "CWE-259", 9: "CWE-22", 10: "CWE-327", 11: "CWE-78", 12: "CWE-89", 13: "CWE-22", 14: "CWE-259",
+             15: "CWE-787", 16: "CWE-78", 17: "CWE-416", 18: "CWE-190", 19: "CWE-787", 20: "CWE-190", 21: "CWE-22", 22: "CWE-190", 23: "CWE-89", 24: "CWE-787"}
+
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, code, part_key, kind) for every part."""
