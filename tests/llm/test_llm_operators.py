@@ -424,3 +424,48 @@ def test_pipeline(spark):
         assert set(now) <= ids and (len(set(now)) > 0.8 * len(ids) or name == "mix")
         docs, ids = after, set(now)
     assert docs.where("not round_trip").count() == 0
+
+
+def frequent_pairs(symbols, ends, most):
+    """Pairs inside documents that occur more than ``most`` times without overlaps."""
+    count, begin = collections.Counter(), 0
+    for end in ends:
+        row, free = symbols[begin:end], {}
+        for k, pair in enumerate(itertools.pairwise(row)):
+            if free.get(pair, 0) <= k:
+                count[pair] += 1
+                free[pair] = k + 2
+        begin = end
+    return {p: n for p, n in count.items() if n > most}
+
+
+@pytest.mark.parametrize("letters", [2, 6, 40])
+def test_grammar_is_complete(letters):
+    rng = np.random.default_rng(letters)
+    values, starts, passage = [], [0], rng.integers(0, 50, 30)
+    for _ in range(50):
+        values += rng.integers(0, letters, rng.integers(1, 6)).tolist()
+        starts.append(len(values))
+    docs = [np.concatenate([rng.integers(0, 50, rng.integers(0, 60)), *[passage] * (k % 4 == 0), np.repeat(3, k % 9)]).astype(np.int64) for k in range(60)] + [np.zeros(0, np.int64)]
+    ends = np.cumsum([len(d) for d in docs])
+    values, starts = np.array(values), np.array(starts)
+    shard = token_output.Shard(token_output.pack_words(list(range(61)), np.concatenate(docs), ends, values, starts, letters))
+    assert not frequent_pairs(shard.symbols.tolist(), shard.symbol_ends.tolist(), 3)
+    assert shard.lengths.max() > 8 and (shard.rules < letters + np.arange(len(shard.rules))[:, None]).all()
+    for i, d in enumerate(docs):
+        want = [int(v) for w in d for v in values[starts[w] : starts[w + 1]]]
+        assert shard.document(i).tolist() == want and shard.document(i, 2, min(9, len(want))).tolist() == want[2:9]
+
+
+def test_token_output_edges(spark, tokenizers):
+    from tokenizers import Tokenizer
+
+    rows = [(None, "null id", "x"), (3, "b b", "x"), (3, "a", "x"), (4, None, "x"), (5, "lorem ipsum " * 30_000, "x"), (6, "Voilà, c'est l'été! x y", "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, task string").repartition(3)
+    model, start = Tokenizer.from_file(tokenizers("word_bpe_49k.json")), 0
+    got = token_output.tokenize_documents(table, tokenizers("word_bpe_49k.json"), shard_tokens=10, batch_chars=40, most_words=3).orderBy("start").collect()
+    assert len(got) == 6 and got[0].__fields__ == ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+    for r, (i, t) in zip(got, [(-(2**63), "null id"), (3, "a"), (3, "b b"), (4, ""), *[(r[0], r[1]) for r in rows[4:]]], strict=True):
+        ids = [*model.encode(t, add_special_tokens=False).ids, 2]
+        assert r.doc_id == i and r.ids == ids and r.start == start
+        start += len(ids)
