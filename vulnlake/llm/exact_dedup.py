@@ -14,13 +14,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]" + r"[\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hot_rows: int = 1000, hot_share: int = 10_000, salts: int = 64, with_text: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hot_rows: int = 1000, hot_share: int = 10_000, salts: int = 64, with_text: bool = False, prefix: int = 64) -> DataFrame:
     """Mark each row with the smallest id that carries the same normalised text.
 
-    Rows are range-partitioned by the normalised text with sampled splitters and sorted inside the
-    partitions (spilling as needed), so equal texts are neighbours; the window compares neighbours in
-    full and takes the first id of each run. A text with more than max(``hot_rows``, rows /
-    ``hot_share``) copies, found by a pre-aggregated count of hashes (at most ``hot_share`` such
+    Rows are range-partitioned with sampled splitters and sorted inside the partitions (spilling as needed), so
+    equal texts are neighbours; the window compares neighbours in full and takes the first id of each run. The
+    order is that of the first ``prefix`` characters, a hash, then the whole text: equal texts are equal in all of them, and
+    what the driver samples for splitters stays small however long texts are. A text with more than
+    max(``hot_rows``, rows / ``hot_share``) copies, found by a pre-aggregated count of hashes (at most ``hot_share`` such
     texts can exist, so that list may be broadcast), is first split by a salt on the id; the few runs
     it leaves are merged on the full text.
 
@@ -31,25 +32,30 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hot
     """
     names = ("keep_id", "group_size", "kept", "text_sha256")
     rest = [c for c in docs.columns if c != text and c not in names]
-    rows = docs.select(*rest, (F.col(text) if with_text else normalised(F.col(text))).alias("__body"), F.xxhash64(normalised(F.col(text))).alias("__h"))
-    norm = normalised(F.col("__body")) if with_text else F.col("__body")
+    rows = docs.select(*rest, F.col(text).alias("__text"), normalised(F.col(text)).alias("__norm"))
+    rows = rows.select(*rest, "__text", "__norm", F.xxhash64("__norm").alias("__h"), F.substring("__norm", 1, prefix).alias("__begin"))
+    if with_text:  # the normalised text travels beside the text where they differ
+        rows = rows.withColumn("__norm", F.when(F.col("__text").isNull() | (F.col("__norm") != F.col("__text")), F.col("__norm")))
+    norm = F.coalesce("__norm", "__text") if with_text else F.col("__norm")
+    bodies = ["__text", "__norm"] if with_text else ["__norm"]
     limit = max(hot_rows, docs.count() // hot_share)
     hot = rows.groupBy("__h").count().where(F.col("count") > limit).select("__h", F.lit(True).alias("__hot"))
     marked = rows.join(F.broadcast(hot), "__h", "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(id_col), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    dealt = marked.select(*rest, "__body", "__hot", salt.alias("__salt")).repartitionByRange(norm, "__salt").sortWithinPartitions(norm, "__salt", F.col(id_col).asc_nulls_last())
-    run = Window.partitionBy(norm, "__salt").orderBy(F.col(id_col).asc_nulls_last())
+    keys = ["__begin", "__h", "__salt"]
+    dealt = marked.select(*rest, *bodies, "__hot", "__begin", "__h", salt.alias("__salt")).repartitionByRange(*keys)
+    run = Window.partitionBy(*keys, norm).orderBy(F.col(id_col).asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = dealt.select(
-        *rest, "__body", "__hot", F.sha2(norm, 256).alias("text_sha256"), F.first(id_col).over(whole).alias("keep_id"),
+        *rest, *bodies, "__hot", F.sha2(norm, 256).alias("text_sha256"), F.first(id_col).over(whole).alias("keep_id"),
         F.count(F.lit(1)).over(whole).alias("group_size"), F.row_number().over(run).alias("__at"),
     )
     # Salted runs of a hot text: one row for each text after pre-aggregation, hot_share of them at most.
     merged = (
-        marked.where("__hot").groupBy(norm.alias("__norm")).agg(F.min(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size"))
-        .select(F.sha2("__norm", 256).alias("text_sha256"), "__keep", "__size")
+        marked.where("__hot").groupBy(norm.alias("__whole")).agg(F.min(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size"))
+        .select(F.coalesce(F.sha2("__whole", 256), F.lit("")).alias("text_sha256"), "__keep", "__size")
     )
     out = runs.join(F.broadcast(merged), "text_sha256", "left")
     keep, size = F.when(F.col("__hot"), F.col("__keep")).otherwise(F.col("keep_id")), F.coalesce("__size", "group_size")
     first = (F.col("__at") == 1) & F.col(id_col).eqNullSafe(keep)
-    return out.select(*rest, *[F.col("__body").alias(text)] * with_text, keep.alias("keep_id"), size.alias("group_size"), first.alias("kept"), "text_sha256")
+    return out.select(*rest, *[F.col("__text").alias(text)] * with_text, keep.alias("keep_id"), size.alias("group_size"), first.alias("kept"), "text_sha256")
