@@ -469,3 +469,158 @@ def test_token_output_edges(spark, tokenizers):
         ids = [*model.encode(t, add_special_tokens=False).ids, 2]
         assert r.doc_id == i and r.ids == ids and r.start == start
         start += len(ids)
+
+
+def test_langid_on_held_out_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit_dictionaries(langid.training_rows(rows))
+    got = langid.identify(rows.where(langid.held_out()).drop("lang"), model).join(rows.select("doc_id", "lang"), "doc_id").where("lang is not null and not rejected").collect()
+    assert len(got) > 150 and sum(r.lang_pred == r.lang for r in got) >= 0.98 * len(got)
+    # Half in one language and half in another.
+    pure = [r for r in got if r.text is not None and len(r.text) > 1200]
+    kinds = {lang: [r.text[:1200] for r in pure if r.lang == lang] for lang in ("de", "es", "fr")}
+    pairs = [(x + " " + y) for a, b in itertools.combinations(kinds, 2) for x, y in zip(kinds[a][:6], kinds[b][:6], strict=False)]
+    two = langid.identify(spark.createDataFrame([(t,) for t in pairs], "text string"), model).collect()
+    assert len(two) > 5 and sum(r.rejected for r in two) > 0.5 * len(two)
+
+
+def test_langid_edges(spark):
+    rng = random.Random(3)
+    vocab = {"aa": ["bonjour", "monde", "cheval", "maison"], "bb": ["wasser", "himmel", "strasse", "kirche"]}
+    table = spark.createDataFrame([(i, " ".join(rng.choices(vocab[x], k=30)), x, "old") for i in range(60) for x in ["aa" if i % 3 else "bb"]], "doc_id long, text string, lang string, score string")
+    model = langid.fit_dictionaries(langid.training_rows(table), total_bytes=1024)
+    assert set(model) == {"aa", "bb"} and max(map(len, model.values())) <= 512
+    long = " ".join(rng.choices(vocab["bb"], k=200_000))
+    rows = [(1, long), (1, long), (2, "wasser " * 3), (3, "\t\n"), (4, "x" * 300_000)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")), model).orderBy("doc_id").collect()
+    assert len(got) == 5 and got[0] == got[1] and got[0].lang_pred == "bb" and not got[0].rejected and got[3].lang_pred == "und"
+    # The end of a long text counts.
+    assert langid.CompressionClassifier(model).predict("kirche " * 50 + "bonjour monde cheval " * 20_000)[0] == "aa"
+
+
+def options(markup):
+    """All token sequences of a markup, with None for any word."""
+    out = [[]]
+    for kind, body in licenses._regions(markup):
+        if kind == "text":
+            parts = [licenses.words(body)]
+        elif body.strip().isdigit():
+            parts = [[None] * n for n in range(int(body) + 1)]
+        else:
+            parts = [p for o in licenses._options(body) for p in options(o)] + [[]] * (kind == "optional")
+        out = [a + b for a in out for b in parts]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_templates_against_brute_force(seed):
+    rng = random.Random(seed)
+
+    def markup(depth):
+        parts = [rng.choice("abc")]
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.randrange(4) if depth else 0
+            parts.append({0: lambda: rng.choice("abc"), 1: lambda: f"[[{markup(depth - 1)}]]", 2: lambda: "{{" + markup(depth - 1) + "|" + rng.choice("abc") + "}}", 3: lambda: "{{2}}"}[kind]())
+        return " ".join(parts)
+
+    for _ in range(40):
+        text = markup(2)
+        template, every = licenses.Template(text), options(text)
+        assert template.mandatory == min(map(len, every))
+        for _ in range(20):
+            tokens = rng.choices("abcd", k=rng.randint(0, 9))
+            fits = [len(o) for o in every if len(o) <= len(tokens) and all(w in (None, t) for w, t in zip(o, tokens, strict=False))]
+            assert template.longest(tokens, 0) == max(fits, default=0), (text, tokens)
+
+
+def plain(label):
+    """A template's wording with its regions at their first choice."""
+    return " ".join(w or "someone" for w in options_first(licenses.TEMPLATES[label]))
+
+
+def options_first(markup):
+    out = []
+    for kind, body in licenses._regions(markup):
+        if kind == "text":
+            out += licenses.words(body)
+        elif kind == "replaceable":
+            out += [None] if body.strip().isdigit() else options_first(licenses._options(body)[0])
+    return out
+
+
+def test_whole_licenses_only(spark):
+    mit = plain("mit")
+    start = mit[: mit.index("without restriction")]
+    texts = {
+        "mit": f"Foo. Copyright 2020\n\n{mit.upper()}\n bar", "cut": f"{start} FORBIDDEN: you may not use, copy or sell it", "changed": mit.replace("sublicense", "sell"),
+        "bsd2": plain("bsd-2-clause"), "bsd3": plain("bsd-3-clause"), "isc": plain("isc"), "gpl": plain("gpl-2.0-notice"), "lgpl": plain("lgpl-2.1-notice"), "mpl": plain("mpl-2.0-notice"), "clean": "nothing of this kind " * 50,
+        "long": "filler " * 200_000 + mit,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "doc_id string, text string").withColumn("score", F.lit("clash"))
+    got = {r.doc_id: r for r in licenses.scan_licenses(rows).collect()}
+    labels = {k: set(r.labels.split(",")) - {""} for k, r in got.items()}
+    assert "mit" in labels["mit"] and "mit" in labels["long"] and "mit" not in labels["cut"] | labels["changed"]
+    assert got["mit"].score == 1.0 and 0 < got["cut"].score < 0.5 < got["changed"].score or got["changed"].score < 1.0
+    assert "bsd-2-clause" in labels["bsd2"] and "bsd-3-clause" not in labels["bsd2"] and "bsd-3-clause" in labels["bsd3"] and "bsd-2-clause" not in labels["bsd3"]
+    assert labels["isc"] == {"isc"} and "gpl-2.0-notice" in labels["gpl"] and "gpl" in labels["gpl"] and labels["lgpl"] == {"lgpl-2.1-notice"} and labels["mpl"] == {"mpl-2.0-notice"}
+    assert labels["clean"] == set() and got["clean"].score == 0.0
+
+
+def test_phrases_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    got = {r.doc_id: r for r in queries.op10_license_scan(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or ""))
+        places = sorted((i, label) for p, label in phrases.items() for k in [p.split()] for i in range(len(w)) if w[i : i + len(k)] == k)
+        g = got[r.doc_id]
+        assert (g.n_words, g.n_base, g.first_word, g.last_word) == (len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None)
+        assert g.base_labels == ",".join(sorted({x for _, x in places})) and {x for _, x in places} <= set(g.labels.split(",")) | {""}
+
+
+def brute_shingles(text, size=5):
+    """Spark's xxhash64 of words and of runs of their hashes, with the public library."""
+    import struct
+
+    import xxhash
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    chain = lambda hs, seed=42: signed(__import__("functools").reduce(lambda acc, h: xxhash.xxh64_intdigest(struct.pack("<q", h), acc), hs, seed))
+    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words(text)]
+    if len(h) >= size:
+        return {chain(h[i : i + size]) for i in range(len(h) - size + 1)}
+    if not h:
+        return set()
+    acc = 7
+    for w in h:
+        acc = chain([acc, w])
+    return {acc}
+
+
+def test_fingerprints_against_brute_force(docs):
+    rows, table = docs
+    order = sorted(rows)
+    got = {r.doc_id: r for r in fingerprints.neighbour_fingerprints(table).select(
+        "doc_id", "sketch", "edited_text", "edited_sketch", "next_sketch", fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near"), fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("next"),
+        fingerprints.containment(F.col("sketch"), F.col("edited_sketch")).alias("inside"), fingerprints.distinct_count(F.col("sketch")).alias("n")).collect()}
+    likeness = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    for k, (i, t) in enumerate(order):
+        own, edited, after = brute_shingles(t), brute_shingles(got[i].edited_text), brute_shingles(order[(k + 1) % len(order)][1])
+        assert got[i].sketch == sorted(own)[:128] and got[i].edited_sketch == sorted(edited)[:128] and got[i].next_sketch == sorted(after)[:128]
+        for est, b in ((got[i].near, edited), (got[i].next, after)):
+            assert abs(est - likeness(own, b)) < (1e-9 if len(own | b) <= 128 else 0.2)
+        assert abs(got[i].inside - (len(own & edited) / len(own) if own else 1.0)) < (1e-9 if max(len(own | edited), 1) < 128 else 0.25)
+        assert abs(got[i].n - len(own)) <= (0 if len(own) < 128 else 0.4 * len(own))
+
+
+def test_merged_fingerprints(spark):
+    rng = random.Random(4)
+    parts = [(k % 3 if k % 7 else None, " ".join(rng.choices("abcdefg", k=rng.choice([0, 2, 40, 90])))) for k in range(60)] + [(9, "")]
+    table = spark.createDataFrame(parts, "g int, text string").withColumn("sketch", fingerprints.sketch(F.col("text"), 32)).withColumn("clash", F.lit(1)).repartition(5)
+    got = {r.g: r.sketch for r in fingerprints.merge_groups(table, "g", k=32).collect()}
+    pair = spark.createDataFrame([("a b c d e f g", "x y z a b c d")], "a string, b string").select(fingerprints.merge(fingerprints.sketch(F.col("a"), 4), fingerprints.sketch(F.col("b"), 4), 4).alias("s")).first()
+    assert pair.s == sorted(brute_shingles("a b c d e f g") | brute_shingles("x y z a b c d"))[:4]
+    assert set(got) == {g for g, _ in parts}
+    for g in got:
+        assert got[g] == sorted(set().union(*(brute_shingles(t) for h, t in parts if h == g)))[:32]

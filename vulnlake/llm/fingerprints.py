@@ -38,13 +38,19 @@ def merge(a: Column, b: Column, k: int = 128) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
-def merge_group(sketches: Column, k: int = 128) -> Column:
-    """As an aggregate: the sketch of all parts of a group.
+def merge_groups(rows: DataFrame, key: str, sketch_col: str = "sketch", k: int = 128) -> DataFrame:
+    """(``key``, ``sketch_col``): the sketch of all parts of each group.
 
-    Hashes are kept in a bounded accumulator only after grouping; a hot group should be merged in
-    two steps, by (group, salt) and then by group, since each step leaves ``k`` hashes a row.
+    Hashes are made distinct across the tasks and cut to each task's ``k`` smallest before a group meets, so a
+    group of any size sends at most ``k`` hashes from each task. A null or empty sketch adds nothing; a group of such alone
+    has an empty one. A null key is a group. An empty table gives an empty result; other columns are left out.
     """
-    return F.aggregate(F.collect_list(sketches), F.array().cast("array<bigint>"), lambda acc, s: merge(acc, s, k))
+    hashes = rows.select(F.col(key), F.explode(sketch_col).alias("__h")).distinct()
+    order = Window.partitionBy(key).orderBy("__h")
+    low = hashes.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).groupBy(key).agg(F.sort_array(F.collect_list("__h")).alias("__s"))
+    every = rows.select(F.col(key).alias("__key")).distinct()
+    found = every.join(low, F.col("__key").eqNullSafe(F.col(key)), "left")
+    return found.select(F.col("__key").alias(key), F.coalesce("__s", F.array().cast("array<bigint>")).alias(sketch_col))
 
 
 def distinct_count(s: Column, k: int = 128) -> Column:
@@ -88,7 +94,7 @@ def successors(ids: DataFrame, key: str, width: int = 4096) -> DataFrame:
     heads = rows.groupBy("__b").agg(F.min(key).alias("__head"))
     over = heads.withColumn("__bb", F.floor(F.col("__b") / width))
     within = over.withColumn("__after", F.lead("__head").over(Window.partitionBy("__bb").orderBy("__b")))
-    # One row for width * width values of the key.
+    # One row for width * width values of the key: 16.7 million ids a row, so few rows in one task whatever the input.
     tops = over.groupBy("__bb").agg(F.min("__head").alias("__top"))
     order = Window.orderBy("__bb")
     tops = tops.select("__bb", F.coalesce(F.lead("__top").over(order), F.first("__top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__far"))
@@ -105,7 +111,8 @@ def neighbour_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "d
 
     Result: id, n_chars, edited_text, sketch, edited_sketch, next_sketch. Null text is empty. Rows that
     share an id each get a result; as a next document such an id stands for its smallest text. A null
-    id comes before all others. An empty table gives an empty result.
+    id comes before all others. A text of any length is one row and hashed whole. An empty table gives an empty
+    result; other columns are left out, so their names can't clash.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)).alias("__k"), F.col(id_col), body.alias("__t"))
