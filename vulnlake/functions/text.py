@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -41,49 +40,26 @@ def display_language(path: Column) -> Column:
     return _by_suffix(path, DISPLAY_SUFFIXES)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once a row, also where lambdas inside use it many times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def trim(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<at, hit, arg>> of all matches from left to right: 0-based place, the match, one of its groups."""
-    rx = F.lit(ascii_borders(pattern))
-    hits, gaps = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, ascii_borders(pattern), -1)
-    args = F.regexp_extract_all(text, rx, F.lit(group)) if group else hits
-    length = lambda words: F.aggregate(words, F.lit(0), lambda n, w: n + F.char_length(w))
-
-    def placed(hit: Column, k: Column) -> Column:
-        at = length(F.slice(gaps, 1, k + 1)) + F.when(k > 0, length(F.slice(hits, 1, F.greatest(k, F.lit(1))))).otherwise(0)
-        return F.struct(at.cast("int").alias("at"), hit.alias("hit"), F.get(args, k).alias("arg"))
-
-    return F.transform(hits, placed)
+    """array<struct<at, hit, arg>> of all matches from left to right: 0-based place, the match, one of its groups.
 
-
-def lines_of(code: Column, block: int = 256) -> Column:
-    """array<struct<i, raw, offset, line>>: each line with its place and its trimmed text.
-
-    Places are sums of blocks of lines plus sums inside the block, so the work stays in proportion to the text.
+    A place is what the gaps and matches before it add up to, in one fold.
     """
-    length = lambda words: F.aggregate(words, F.lit(0), lambda n, w: n + F.char_length(w) + 1)
-
-    def placed(s: Column) -> Column:
-        def one(raw: Column, i: Column) -> Column:
-            of = F.floor(i / block).cast("int")
-            before = F.aggregate(F.slice(s["sums"], F.lit(1), of), F.lit(0), lambda n, x: n + x)
-            return F.struct(i.alias("i"), raw.alias("raw"), (before + length(F.slice(s["lines"], of * block + 1, i - of * block))).alias("offset"), trim(raw).alias("line"))
-
-        return F.transform(s["lines"], one)
+    rx = F.lit(ascii_borders(pattern))
+    args = [F.regexp_extract_all(text, rx, F.lit(group)).alias("arg")] if group else []
+    parts = F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(0)).alias("hit"), F.split(text, ascii_borders(pattern), -1).alias("gap"), *args)
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,hit:string,arg:string>>").alias("out"))
 
-    def summed(lines: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / block).cast("int"))
-        return F.struct(lines.alias("lines"), F.transform(numbers, lambda b: length(F.slice(lines, b * block + 1, F.lit(block)))).alias("sums"))
+    def step(s: Column, x: Column) -> Column:
+        at = s["end"] + F.char_length(x["gap"])
+        found = F.struct(at.alias("at"), x["hit"].alias("hit"), (x["arg"] if group else x["hit"]).alias("arg"))
+        return F.struct((at + F.char_length(x["hit"])).alias("end"), F.array_append(s["out"], found).alias("out"))
 
-    return F.when(code.isNotNull(), let(let(F.split(code, "\n", -1), summed), placed))
+    return F.aggregate(F.filter(parts, lambda x: x["hit"].isNotNull()), start, step, lambda s: s["out"])
 
 
 def line_of(code: Column, at: Column) -> Column:

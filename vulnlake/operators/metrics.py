@@ -77,6 +77,17 @@ def means(rows: DataFrame, scores: list[str], by: str | None = None) -> DataFram
     return rows.select(key.alias(by), *scores).groupBy(by).agg(*agg)
 
 
+def report(rows: DataFrame, scores: list[str], by: str, digits: int = 4) -> DataFrame:
+    """Rounded means by group in ascending order; rows without a group, and groups without a score, are left out."""
+    shown = means(rows, scores, by).where(F.col(by).isNotNull() & F.coalesce(*scores).isNotNull())
+    return shown.select(by, *[F.round(s, digits).alias(s) for s in scores], "samples").orderBy(by)
+
+
+def tags(findings: Column) -> Column:
+    """The distinct CWEs of an array of findings, in the order in which they are first seen; (none) without any."""
+    return F.when(F.coalesce(F.size(findings), F.lit(0)) > 0, F.array_join(F.array_distinct(F.transform(findings, lambda f: f["cweId"])), ", ")).otherwise(F.lit("(none)"))
+
+
 def passed(rows: DataFrame, key: str, found: Column) -> DataFrame:
     """How many of each key pass."""
     return rows.groupBy(key).agg(F.count_if(found).alias("passed"), F.count(F.lit(1)).alias("total"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -40,6 +40,11 @@ def _literal_source(code: Column, match: Column, end: Column) -> Column:
     return F.coalesce(second.rlike('^L?"[^"]*"$'), F.lit(False))
 
 
+def _names_a_key(code: Column, match: Column, end: Column) -> Column:
+    """What is assigned to is a key, secret or token, which has a rule of its own."""
+    return F.lower(F.regexp_extract(match["hit"], r"^[^=\"]*", 0)).rlike("key|secret|token")
+
+
 #: Fixed values from here to RISKY_LINE: titles, rule names, patterns, messages, sources and sinks.
 TITLES = {
     "CWE-22": "Path Traversal", "CWE-78": "OS Command Injection", "CWE-89": "SQL Injection", "CWE-190": "Integer Overflow", "CWE-416": "Use After Free",
@@ -95,6 +100,20 @@ INLINE_SQL_MESSAGE = "Possible SQL injection: query appears to be built inline u
 IGNORED_NAMES = ["malloc", "calloc", "realloc", "memcpy", "sizeof", "int", "short", "long", "size_t", "unsigned", "char", "void"]
 RISKY_LINE = r"\bmalloc\s*\([^)]*[+*][^)]*\)|\brealloc\s*\([^,]+,\s*[^)]*[+*][^)]*\)|\bmemcpy\s*\([^,]+,\s*[^,]+,\s*[^)]*[+*][^)]*\)|\b(?:int|short|long|size_t|unsigned|unsigned\s+int|unsigned\s+long)\s+[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*[^;]*[+*][^;]*;"
 
+#: Hard-coded credentials in the text, by the names and lengths of the structure rules. An addition: ``analyze`` takes it as an option.
+CREDENTIALS = [
+    Pattern(f"{language}-hardcoded-{kind}", cwe, "high", language, regex.format(names=names), message, unless)
+    for language, regex in (
+        ("python", r"""(?i)\b\w*(?:{names})\w*\s*=\s*(?:"[^"\r\n]{{4,}}"|'[^'\r\n]{{4,}}')"""), ("java", r"""(?i)\b\w*(?:{names})\w*\s*=\s*"[^"\r\n]{{4,}}\""""),
+        ("cpp", r"""(?i)#[ \t]*define[ \t]+\w*(?:{names})\w*[ \t]+L?"[^"\r\n]{{4,}}\""""),
+    )
+    for kind, cwe, names, message, unless in (
+        ("password", "CWE-259", "password|passwd|pwd|passphrase|credential|passcode", "A password appears to be written in the code.", _names_a_key),
+        ("key", "CWE-321", "key|secret|token", "A key or token appears to be written in the code.", None),
+    )
+]
+TITLES |= {"CWE-259": "Use of Hard-coded Password", "CWE-321": "Use of Hard-coded Cryptographic Key"}
+
 _RAW = "rule int, ruleId string, cweId string, severity string, message string, line int, column int, evidence string, n int"
 
 
@@ -144,8 +163,11 @@ def match_patterns(corpus: DataFrame, patterns: list[Pattern], first_order: int
 
 
 def code_lines(corpus: DataFrame) -> DataFrame:
-    """(file, language, i, raw, offset, line): lines with their place and trimmed text."""
-    return corpus.select("file", "language", F.explode(T.lines_of(F.col("code"))).alias("l")).select("file", "language", "l.*")
+    """(file, language, i, raw, offset, line): lines with their place and trimmed text. Each file is one row of ``corpus``."""
+    rows = corpus.select("file", "language", F.posexplode(F.split("code", "\n", -1)).alias("i", "raw"))
+    before = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.char_length("raw") + 1).over(before), F.lit(0))
+    return rows.select("file", "language", "i", "raw", offset.alias("offset"), T.trim(F.col("raw")).alias("line"))
 
 
 def _dangerous_sql(text: Column, python: bool) -> Column:
@@ -159,56 +181,58 @@ def _dangerous_sql(text: Column, python: bool) -> Column:
     return F.coalesce(sql & T.has(text, built), F.lit(False))
 
 
-def _sql_calls(code: Column, order: int, python: bool) -> Column:
-    """Findings of one language: the calls of a file against its assignments, as arrays of the row."""
-    call = r"\b[a-zA-Z_][a-zA-Z0-9_]*\.execute\s*\(([\s\S]*?)\)" if python else r"\b[a-zA-Z_][a-zA-Z0-9_]*\.(?:executeQuery|executeUpdate|execute)\s*\(([\s\S]*?)\)"
-    assign = r"\b[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*[^\n]+" if python else r"(?:String\s+)?\b[a-zA-Z_][a-zA-Z0-9_]*\b\s*=\s*[^;\n]+"
-    named = lambda a: F.struct(a["at"].alias("at"), a["hit"].alias("hit"), F.regexp_extract(a["hit"], r"^(?:String\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\s*=", 1).alias("name"))
+def _sql_calls(order: int, python: bool) -> Column:
+    """Findings of one language from ``calls`` and ``assigns`` of a file, as arrays of the row."""
 
-    def last(s: Column, m: Column, name: Column) -> Column:
-        """Backward as-of: of the assignments to ``name`` before the call the last, cut where the call begins."""
-        own = F.filter(s["assigns"], lambda a: (a["name"] == name) & (a["at"] < m["at"]))
+    def last(m: Column, args: Column) -> Column:
+        """Backward as-of: of the assignments to ``args`` before the call the last, cut where the call begins."""
+        own = F.filter("assigns", lambda a: (a["name"] == args) & (a["at"] < m["at"]))
         cut = F.transform(own, lambda a: F.struct(a["at"].alias("at"), F.substring(a["hit"], F.lit(1), m["at"] - a["at"]).alias("hit")))
         return F.try_element_at(F.filter(cut, lambda a: a["hit"].rlike(r"=\s*" + ("[^\n]" if python else "[^;\n]"))), F.lit(-1))
 
-    def judged(s: Column, m: Column, i: Column) -> Column:
+    def paired(m: Column, i: Column) -> Column:
         args = T.trim(m["arg"])
-        before = F.when(T.is_name(args), last(s, m, args))
-        return T.let(F.struct(args.alias("args"), before.alias("last")), lambda x: verdict(m, i, x["args"], x["last"]))
+        parts = T.top_level_args(args) if python else F.array().cast("array<string>")
+        return F.struct(m["at"].alias("at"), m["hit"].alias("hit"), i.alias("i"), args.alias("args"), parts.alias("parts"), F.when(T.is_name(args), last(m, args)).alias("last"))
 
-    def verdict(m: Column, i: Column, args: Column, before: Column) -> Column:
-        value = F.regexp_extract(before["hit"], r"=\s*([\s\S]*)$", 1)
+    def verdict(x: Column) -> Column:
+        args, before, value = x["args"], x["last"], F.regexp_extract(x["last"]["hit"], r"=\s*([\s\S]*)$", 1)
         if python:
-            safe = T.let(T.top_level_args(args), lambda parts: (F.size(parts) > 1) & F.get(parts, F.lit(0)).rlike(r"%s|\?"))
+            safe = (F.size(x["parts"]) > 1) & F.get(x["parts"], F.lit(0)).rlike(r"%s|\?")
         else:
             safe = F.contains(args, F.lit("?")) | F.coalesce(F.contains(value, F.lit("?")), F.lit(False))
         inline = _dangerous_sql(args, python)
         variable = before.isNotNull() & _dangerous_sql(value, python)
         message = F.when(inline, F.lit(INLINE_SQL_MESSAGE)).otherwise(F.format_string(VARIABLE_SQL_MESSAGE, args))
-        at = F.when(inline, m["at"]).otherwise(before["at"])
+        at = F.when(inline, x["at"]).otherwise(before["at"])
         rule = F.when(inline, F.lit("python-sqli-inline" if python else "java-sqli-inline")).otherwise(F.lit("python-sqli-variable" if python else "java-sqli-variable"))
-        found = _raw(order, rule, "CWE-89", "high", message, T.line_of(code, at), T.column_of(code, at), F.when(inline, m["hit"]).otherwise(before["hit"]), i)
+        found = _raw(order, rule, "CWE-89", "high", message, T.line_of(F.col("code"), at), T.column_of(F.col("code"), at), F.when(inline, x["hit"]).otherwise(before["hit"]), x["i"])
         return F.when(~F.coalesce(safe, F.lit(False)) & (inline | variable), found)
 
-    known = F.struct(T.matches(code, call, 1).alias("calls"), F.transform(T.matches(code, assign), named).alias("assigns"))
-    return F.filter(T.let(known, lambda s: F.transform(s["calls"], lambda m, i: judged(s, m, i))), lambda x: x.isNotNull())
+    return F.transform(F.transform("calls", paired), verdict)
 
 
 def sql_injection(corpus: DataFrame, first_order: int) -> DataFrame:
     """Queries built in the call, or in the last assignment before it of the variable that is its argument."""
-    code = F.col("code")
-    found = F.when(F.col("language") == "python", _sql_calls(code, first_order, True)).otherwise(_sql_calls(code, first_order, False))
-    return _exploded(corpus.where(F.col("language").isin("python", "java")), found)
+    code, python = F.col("code"), F.col("language") == "python"
+    calls = F.when(python, T.matches(code, r"\b[a-zA-Z_][a-zA-Z0-9_]*\.execute\s*\(([\s\S]*?)\)", 1)).otherwise(T.matches(code, r"\b[a-zA-Z_][a-zA-Z0-9_]*\.(?:executeQuery|executeUpdate|execute)\s*\(([\s\S]*?)\)", 1))
+    assigns = F.when(python, T.matches(code, r"\b[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*[^\n]+")).otherwise(T.matches(code, r"(?:String\s+)?\b[a-zA-Z_][a-zA-Z0-9_]*\b\s*=\s*[^;\n]+"))
+    named = F.transform(assigns, lambda a: F.struct(a["at"].alias("at"), a["hit"].alias("hit"), F.regexp_extract(a["hit"], r"^(?:String\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\s*=", 1).alias("name")))
+    rows = corpus.where(F.col("language").isin("python", "java")).select("file", "code", "language", calls.alias("calls"))
+    rows = rows.where(F.size("calls") > 0).select("*", named.alias("assigns"))
+    found = F.when(python, _sql_calls(first_order, True)).otherwise(_sql_calls(first_order, False))
+    return _exploded(rows, F.filter(found, lambda x: x.isNotNull()))
 
 
 def text_taint(corpus: DataFrame) -> DataFrame:
     """``corpus`` plus tainted and constants: names of a Python or Java file that carry input or one literal."""
     code, python = F.col("code"), F.col("language") == "python"
-    assign = F.when(python, T.matches(code, r"(?m)^\s*[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*[^\r\n]+")).otherwise(T.matches(code, r"(?m)^\s*(?:(?:String|Path|File)\s+)?[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*[^\r\n]+;"))
+    found = lambda rx: F.regexp_extract_all(code, F.lit(rx), F.lit(0))
+    assign = F.when(python, found(r"(?m)^\s*[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*[^\r\n]+")).otherwise(found(r"(?m)^\s*(?:(?:String|Path|File)\s+)?[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*[^\r\n]+;"))
+    value = lambda a: F.regexp_extract(a, r"=\s*([\s\S]*)$", 1)
     edges = F.transform(assign, lambda a: F.struct(
-        F.regexp_extract(a["hit"], r"^\s*(?:(?:String|Path|File)\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\s*=", 1).alias("writes"),
-        T.names_in(F.regexp_extract(a["hit"], r"=\s*([\s\S]*)$", 1)).alias("reads"),
-        F.when(python, T.has(F.regexp_extract(a["hit"], r"=\s*([\s\S]*)$", 1), USER_INPUT["python"])).otherwise(T.has(F.regexp_extract(a["hit"], r"=\s*([\s\S]*)$", 1), USER_INPUT["java"])).alias("source"),
+        F.regexp_extract(a, r"^\s*(?:(?:String|Path|File)\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\s*=", 1).alias("writes"), T.names_in(value(a)).alias("reads"),
+        F.when(python, T.has(value(a), USER_INPUT["python"])).otherwise(T.has(value(a), USER_INPUT["java"])).alias("source"),
     ))
     java = F.concat(*[F.regexp_extract_all(code, F.lit(T.ascii_borders(p)), F.lit(1)) for p in JAVA_SEEDS])
     out = corpus.withColumn("__e", F.when(F.col("language").isin("python", "java"), edges))
@@ -217,57 +241,49 @@ def text_taint(corpus: DataFrame) -> DataFrame:
     return out.select(*corpus.columns, F.array_sort(closure(seeds, F.col("__e"))).alias("tainted"), F.array_distinct(constants).alias("constants"))
 
 
-def _path_verdict(expr: Column, known: Column, python: bool) -> Column:
-    """Whether the arguments of a path sink are clearly safe, and whether they are dangerous: struct<safe, bad>."""
+def _path_verdict(expr: Column, python: bool) -> tuple[Column, Column]:
+    """Whether the arguments of a path sink are clearly safe, and whether they are dangerous, beside ``tainted`` and ``constants``."""
     climbs = F.contains(expr, F.lit("../")) | F.contains(expr, F.lit("..\\"))
-    constant = T.is_name(expr) & F.array_contains(known["constants"], expr)
+    constant = T.is_name(expr) & F.array_contains("constants", expr)
     wrap = r"^os\.path\.join\s*\((.*)\)$" if python else r"^(?:Paths\.get|Path\.of)\s*\((.*)\)$"
     parts = F.when(expr.rlike(wrap), T.top_level_args(F.regexp_extract(expr, wrap, 1)))
     joins = expr.rlike(r"os\.path\.join\s*\(" if python else r"Paths\.get\s*\(|Path\.of\s*\(")
     dirty = T.has(expr, USER_INPUT["python" if python else "java"])
-
-    def judged(p: Column) -> Column:
-        fixed = lambda names: F.coalesce((F.size(p) > 0) & F.forall(p, lambda a: T.is_literal(a) | (F.lit(names) & T.is_name(a) & F.array_contains(known["constants"], a))), F.lit(False))
-        safe = ~climbs & (T.is_literal(expr) | constant | fixed(False))
-        bad = climbs | dirty | (~constant & (taints(T.names_in(expr), known["tainted"]) | (joins & ~fixed(True))))
-        return F.struct(safe.alias("safe"), bad.alias("bad"))
-
-    return T.let(parts, judged)
+    fixed = lambda names: F.coalesce((F.size(parts) > 0) & F.forall(parts, lambda a: T.is_literal(a) | (F.lit(names) & T.is_name(a) & F.array_contains("constants", a))), F.lit(False))
+    safe = ~climbs & (T.is_literal(expr) | constant | fixed(False))
+    bad = climbs | dirty | (~constant & (taints(T.names_in(expr), F.col("tainted")) | (joins & ~fixed(True))))
+    return safe, bad
 
 
-def _python_paths(code: Column, known: Column, order: int) -> Column:
+def _python_paths(order: int) -> Column:
     """By line: the first sink whose arguments aren't clearly safe decides."""
     sinks = [s.replace(".", r"\.") for s in PYTHON_PATH_SINKS]
-
-    def tried(raw: Column, sink: str) -> Column:
-        first = F.get(T.matches(raw, rf"\b{sink}\s*\(([^\r]*)\)", 1), F.lit(0))
-        usable = lambda m: F.struct(m["at"].alias("at"), T.trim(m["arg"]).alias("arg"))
-        verdict = lambda m: F.struct(m["at"].alias("at"), (m["arg"] != "").alias("given"), _path_verdict(m["arg"], known, True).alias("v"))
-        return F.when(first.isNotNull(), T.let(usable(first), verdict))
-
-    def judged(x: Column) -> Column:
-        firsts = F.filter(F.array(*[tried(x["raw"], s) for s in sinks]), lambda m: m["given"] & ~m["v"]["safe"])
-        found = lambda m: F.when(m["v"]["bad"], _raw(order, "path-traversal", "CWE-22", "high", PATH_MESSAGE, x["i"] + 1, m["at"] + 1, T.trim(x["raw"]), x["i"]))
-        return T.let(F.get(firsts, F.lit(0)), found)
-
-    lines = F.transform(F.split(code, "\n", -1), lambda raw, i: F.struct(i.alias("i"), raw.alias("raw")))
+    first = lambda raw, sink: F.get(T.matches(raw, rf"\b{sink}\s*\(([^\r]*)\)", 1), F.lit(0))
+    lines = F.transform(F.split("code", "\n", -1), lambda raw, i: F.struct(i.alias("i"), raw.alias("raw")))
     some = F.filter(lines, lambda x: T.has(x["raw"], rf"\b(?:{'|'.join(sinks)})\s*\(") & ~T.trim(x["raw"]).startswith("#"))
-    return F.transform(some, judged)
+    tried = F.transform(some, lambda x: F.struct(x["i"].alias("i"), x["raw"].alias("raw"), F.array(*[first(x["raw"], s) for s in sinks]).alias("firsts")))
+    usable = lambda m: m.isNotNull() & (T.trim(m["arg"]) != "") & ~_path_verdict(T.trim(m["arg"]), True)[0]
+    chosen = F.transform(tried, lambda x: F.struct(x["i"].alias("i"), x["raw"].alias("raw"), F.get(F.filter(x["firsts"], usable), F.lit(0)).alias("m")))
+    found = lambda x: _raw(order, "path-traversal", "CWE-22", "high", PATH_MESSAGE, x["i"] + 1, x["m"]["at"] + 1, T.trim(x["raw"]), x["i"])
+    return F.transform(chosen, lambda x: F.when(x["m"].isNotNull() & _path_verdict(T.trim(x["m"]["arg"]), True)[1], found(x)))
 
 
-def _java_paths(code: Column, known: Column, order: int) -> Column:
-    def judged(m: Column, i: Column) -> Column:
-        found = _raw(order, "path-traversal", "CWE-22", "high", JAVA_PATH_MESSAGE, T.line_of(code, m["at"]), T.column_of(code, m["at"]), m["hit"], i)
-        return T.let(T.trim(m["arg"]), lambda arg: T.let(_path_verdict(arg, known, False), lambda v: F.when((arg != "") & ~v["safe"] & v["bad"], found)))
+def _java_paths(order: int) -> Column:
+    calls = F.transform(F.flatten(F.array(*[T.matches(F.col("code"), p, 1) for p in JAVA_PATH_SINKS])), lambda m, i: F.struct(m["at"].alias("at"), m["hit"].alias("hit"), T.trim(m["arg"]).alias("arg"), i.alias("i")))
 
-    return F.transform(F.flatten(F.array(*[T.matches(code, p, 1) for p in JAVA_PATH_SINKS])), judged)
+    def judged(m: Column) -> Column:
+        safe, bad = _path_verdict(m["arg"], False)
+        found = _raw(order, "path-traversal", "CWE-22", "high", JAVA_PATH_MESSAGE, T.line_of(F.col("code"), m["at"]), T.column_of(F.col("code"), m["at"]), m["hit"], m["i"])
+        return F.when((m["arg"] != "") & ~safe & bad, found)
+
+    return F.transform(calls, judged)
 
 
 def path_traversal(corpus: DataFrame, first_order: int) -> DataFrame:
     """File operations on outside input: by line in Python, where the first usable sink decides, by call in Java."""
-    rows, code = text_taint(corpus.where(F.col("language").isin("python", "java"))), F.col("code")
-    by = lambda known: F.when(F.col("language") == "python", _python_paths(code, known, first_order)).otherwise(_java_paths(code, known, first_order))
-    return _exploded(rows, F.filter(T.let(F.struct("tainted", "constants"), by), lambda x: x.isNotNull()))
+    rows = text_taint(corpus.where(F.col("language").isin("python", "java")))
+    found = F.when(F.col("language") == "python", _python_paths(first_order)).otherwise(_java_paths(first_order))
+    return _exploded(rows, F.filter(found, lambda x: x.isNotNull()))
 
 
 def use_after_free(corpus: DataFrame, first_order: int) -> DataFrame:
@@ -278,18 +294,15 @@ def use_after_free(corpus: DataFrame, first_order: int) -> DataFrame:
     """
     frees = T.ascii_borders(r"\bfree\s*\(\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*\)\s*;")
     assigns = T.ascii_borders(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*=")
-    parted = F.transform(F.split("code", "\n", -1), lambda raw, i: F.struct(i.alias("i"), raw.alias("raw"), T.trim(raw).alias("line"), F.regexp_extract(T.trim(raw), frees, 1).alias("freed")))
-    lines = F.filter(parted, lambda x: (x["line"] != "") & ~x["line"].startswith("//"))
-    event = lambda x, name, kind: F.struct(x["i"].alias("i"), x["line"].alias("line"), (F.call_function("instr", x["raw"], name)).alias("column"), name.alias("name"), kind.alias("kind"))
-
-    def of_line(x: Column, names: Column) -> Column:
-        """A line that frees is an event of what it frees alone."""
-        used = lambda written: F.transform(F.array_intersect(names, T.names_in(x["line"])), lambda n: event(x, n, F.when(F.array_contains(written, n), F.lit("assign")).otherwise(F.lit("use"))))
-        return F.when(x["freed"] != "", F.array(event(x, x["freed"], F.lit("free")))).otherwise(T.let(F.regexp_extract_all(x["line"], F.lit(assigns), F.lit(1)), used))
-
-    freed = lambda ls: F.filter(F.array_distinct(F.transform(ls, lambda x: x["freed"])), lambda n: n != "")
-    events = T.let(lines, lambda ls: T.let(freed(ls), lambda names: F.flatten(F.transform(ls, lambda x: of_line(x, names)))))
-    rows = corpus.where((F.col("language") == "cpp") & F.contains("code", F.lit("free"))).select("file", F.explode(events).alias("e")).select("file", "e.*")
+    parted = F.transform(F.split("code", "\n", -1), lambda raw, i: F.struct(
+        i.alias("i"), raw.alias("raw"), T.trim(raw).alias("line"), F.regexp_extract(T.trim(raw), frees, 1).alias("freed"), F.regexp_extract_all(T.trim(raw), F.lit(assigns), F.lit(1)).alias("written")))
+    rows = corpus.where((F.col("language") == "cpp") & F.contains("code", F.lit("free"))).select("file", F.filter(parted, lambda x: (x["line"] != "") & ~x["line"].startswith("//")).alias("lines"))
+    rows = rows.select("file", "lines", F.filter(F.array_distinct(F.transform("lines", lambda x: x["freed"])), lambda n: n != "").alias("names"))
+    event = lambda x, name, kind: F.struct(x["i"].alias("i"), x["line"].alias("line"), F.call_function("instr", x["raw"], name).alias("column"), name.alias("name"), kind.alias("kind"))
+    used = lambda x: F.transform(F.array_intersect("names", T.names_in(x["line"])), lambda n: event(x, n, F.when(F.array_contains(x["written"], n), F.lit("assign")).otherwise(F.lit("use"))))
+    # A line that frees is an event of what it frees alone.
+    events = F.transform("lines", lambda x: F.when(x["freed"] != "", F.array(event(x, x["freed"], F.lit("free")))).otherwise(used(x)))
+    rows = rows.select("file", F.explode(F.flatten(events)).alias("e")).select("file", "e.*")
     own = Window.partitionBy("file", "name")
     state = F.last(F.when(F.col("kind") != "use", F.col("kind")), ignorenulls=True).over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     first = F.min(F.when(F.col("kind") == "free", F.col("i"))).over(own)
@@ -304,15 +317,13 @@ def integer_overflow(corpus: DataFrame, first_order: int, look_back: int = 10) -
     Risky lines leave the row of a file with the conditions above them, and nothing else.
     """
     guard = lambda line: F.when(line.startswith("if"), F.nullif(F.regexp_extract(line, T.ascii_borders(r"\bif\s*\((.*)\)\s*\{?"), 1), F.lit("")))
-    above = lambda s, i: F.filter(F.slice(s["guards"], F.greatest(i - look_back + 1, F.lit(1)), F.least(i, F.lit(look_back))), lambda g: g.isNotNull())
-
-    def risky(s: Column) -> Column:
-        numbered = F.transform(s["lines"], lambda raw, i: F.struct(i.alias("i"), raw.alias("raw"), T.trim(raw).alias("line")))
-        some = F.filter(numbered, lambda x: (x["line"] != "") & ~x["line"].startswith("//") & T.has(x["line"], RISKY_LINE))
-        return F.transform(some, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"), F.call_function("instr", x["raw"], x["line"]).alias("column"), above(s, x["i"]).alias("guards")))
-
-    parted = T.let(F.split("code", "\n", -1), lambda ls: F.struct(ls.alias("lines"), F.transform(ls, lambda raw: guard(T.trim(raw))).alias("guards")))
-    rows = corpus.where("language = 'cpp'").select("file", F.explode(T.let(parted, risky)).alias("l")).select("file", "l.*")
+    rows = corpus.where("language = 'cpp'").select("file", F.split("code", "\n", -1).alias("lines"))
+    rows = rows.select("file", "lines", F.transform("lines", lambda raw: guard(T.trim(raw))).alias("guards"))
+    numbered = F.transform("lines", lambda raw, i: F.struct(i.alias("i"), raw.alias("raw"), T.trim(raw).alias("line")))
+    risky = F.filter(numbered, lambda x: (x["line"] != "") & ~x["line"].startswith("//") & T.has(x["line"], RISKY_LINE))
+    above = lambda i: F.filter(F.slice("guards", F.greatest(i - look_back + 1, F.lit(1)), F.least(i, F.lit(look_back))), lambda g: g.isNotNull())
+    seen = F.transform(risky, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"), F.call_function("instr", x["raw"], x["line"]).alias("column"), above(x["i"]).alias("guards")))
+    rows = rows.select("file", F.explode(seen).alias("l")).select("file", "l.*")
     value = F.regexp_extract("line", r"=\s*([^;]+);", 1)
     rows = rows.where(~((value != "") & T.trim(value).rlike(r"^[\d\s+\-*/()]+$")))
     sizes = [r"\bmalloc\s*\(([^)]*)\)", r"\brealloc\s*\([^,]+,\s*([^)]*)\)", r"\bmemcpy\s*\([^,]+,\s*[^,]+,\s*([^)]*)\)"]
@@ -334,14 +345,39 @@ def integer_overflow(corpus: DataFrame, first_order: int, look_back: int = 10) -
     return findings(kept.select("file", found.alias("m")).select("file", "m.*"))
 
 
-def analyze(corpus: DataFrame) -> DataFrame:
-    """Findings of all text rules for (file, code), without duplicates removed, plus rule_order and match_order."""
+Rule = Callable[[DataFrame, int], DataFrame]
+_more: dict[str, Rule] = {}
+
+
+def rule(name: str) -> Callable[[Rule], Rule]:
+    """Register a rule of your own: from (file, code, language) and its order to findings, see ``findings``."""
+
+    def register(run: Rule) -> Rule:
+        _more[name] = run
+        return run
+
+    return register
+
+
+def analyze(corpus: DataFrame, credentials: bool = False) -> DataFrame:
+    """Findings of all text rules for (file, code), without duplicates removed, plus rule_order and match_order.
+
+    ``credentials`` adds the rule on hard-coded credentials; rules registered by ``rule`` come last.
+    """
     rows = corpus.select("file", "code", T.detect_language(F.col("file")).alias("language"))
     first = len(PATTERNS)
     parts = [match_patterns(rows, PATTERNS + BOUNDS), sql_injection(rows, first + 20), path_traversal(rows, first + 21), use_after_free(rows, first + 22), integer_overflow(rows, first + 23)]
+    if credentials:
+        parts.append(match_patterns(rows, CREDENTIALS, first + 30))
+    parts += [run(rows, first + 50 + k) for k, run in enumerate(_more.values())]
     return reduce(DataFrame.unionByName, parts)
 
 
+def findings_view(spark: SparkSession, table: str, name: str = "findings", **options) -> None:
+    """For SQL users: a view ``name`` of the findings of ``table`` (file, code), computed when it is read."""
+    analyze(spark.table(table), **options).createOrReplaceTempView(name)
+
+
 def ordered(findings: DataFrame) -> DataFrame:
     """High severity first, then by line and column; equal places keep the order of rules and matches."""
     rank = F.create_map(*[F.lit(x) for kv in SEVERITY_ORDER.items() for x in kv])[F.col("severity")]

@@ -45,3 +45,10 @@ def routed(documents: DataFrame) -> dict[str, DataFrame]:
     known = F.col("split").isin("train", "val", "test")
     checked = documents.withColumn("split", F.when(known, F.col("split")).otherwise(F.raise_error(F.format_string("unknown split %s", "split"))))
     return {s: checked.where(F.col("split") == s) for s in ("train", "val", "test")}
+
+
+def write_version(documents: DataFrame, path: str, version: str) -> str:
+    """Write documents with their new split as a version of its own, by split; what is there already is never rewritten."""
+    out = f"{path}/version={version}"
+    documents.write.mode("errorifexists").partitionBy("split").parquet(out)
+    return out

@@ -5,25 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-
 
 def closure(seeds: Column, edges: Column) -> Column:
     """Names reachable from ``seeds`` over ``edges``, an array of (names read, name written) of one file.
 
-    Each step follows the edges from the names that the step before added; once there are none, what is left of
-    the steps does nothing. Nothing leaves the row, so no shuffle.
+    Each step adds what all edges reach from the names so far; once a step adds nothing, what is left of the steps
+    does nothing. Nothing leaves the row, so no shuffle.
     """
 
-    def grow(state: Column, _: Column) -> Column:
-        def step(s: Column) -> Column:
-            hit = F.filter(edges, lambda e: F.arrays_overlap(e["reads"], s["fresh"]) & ~F.array_contains(s["known"], e["writes"]))
-            fresh = F.array_distinct(F.transform(hit, lambda e: e["writes"]))
-            return T.let(fresh, lambda f: F.struct(F.concat(s["known"], f).alias("known"), f.alias("fresh")))
-
-        return F.when(F.size(state["fresh"]) == 0, state).otherwise(step(state))
+    def grow(s: Column, _: Column) -> Column:
+        hit = F.filter(edges, lambda e: F.arrays_overlap(e["reads"], s["known"]) & ~F.array_contains(s["known"], e["writes"]))
+        more = F.struct(F.array_union(s["known"], F.transform(hit, lambda e: e["writes"])).alias("known"), F.size(s["known"]).alias("before"))
+        return F.when(F.size(s["known"]) == s["before"], s).otherwise(more)
 
-    start = T.let(F.array_distinct(seeds), lambda s: F.struct(s.alias("known"), s.alias("fresh")))
+    start = F.struct(F.array_distinct(seeds).alias("known"), F.lit(-1).alias("before"))
     return F.when(F.size(edges) == 0, F.array_distinct(seeds)).otherwise(F.aggregate(edges, start, grow, lambda s: s["known"]))
 
 

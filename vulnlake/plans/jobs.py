@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics, predictions
 from ..operators.rules import analyze
 from ..operators.structure_rules import analyze_structure
-from ..sources.corpus import gathered, with_code
+from ..sources.corpus import gathered, relative, with_code
 from ..schemas import FINDING_STRUCT
 
 #: Folders whose files go to the structure rules; all others go to the text rules.
@@ -41,6 +42,29 @@ def enrich(documents: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("static_findings", F.coalesce("static_findings", F.array().cast(f"array<{FINDING_STRUCT}>"))).withColumn("enriched_at", F.current_timestamp())
 
 
+def run_counters(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row (processed, skipped, errors) for metadata as it is read: with code, without code, not parsed."""
+    known = sources.select(F.col("file").alias("__f")).distinct()
+    rows = documents.join(known, relative(F.col("path")) == F.col("__f"), "left")
+    bad, has = F.col("_corrupt_record").isNotNull(), F.col("__f").isNotNull()
+    return rows.agg(F.count_if(~bad & has).alias("processed"), F.count_if(~bad & ~has).alias("skipped"), F.count_if(bad).alias("errors"))
+
+
+def sample_report(corpus: DataFrame) -> DataFrame:
+    """(file, cwe, hit, tags) for samples whose folder names the CWE that is to be found. ``corpus``: file, code, cwe_folder."""
+    found = gathered(analyze(corpus))
+    rows = corpus.select("file", F.col("cwe_folder").alias("cwe")).join(found, "file", "left")
+    hit = F.coalesce(F.exists("static_findings", lambda f: f["cweId"] == F.col("cwe")), F.lit(False))
+    return rows.select("file", "cwe", hit.alias("hit"), metrics.tags(F.col("static_findings")).alias("tags"))
+
+
+def write_results(results: DataFrame, config: dict[str, object], path: str) -> None:
+    """Results of a test and the configuration that led to them, as JSON below ``path``."""
+    results.write.mode("overwrite").json(f"{path}/test_results")
+    text = json.dumps(config, indent=4, sort_keys=True)
+    results.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(f"{path}/training_config")
+
+
 def compare(corpus: DataFrame, truth: str = "vulnerable", folder: str = "cwe_folder") -> DataFrame:
     """Confusion counts of the text rules and of the structure rules by folder. ``corpus``: file, code, folder, truth."""
     sides = []

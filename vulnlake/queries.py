@@ -116,7 +116,7 @@ def set_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", "java").when(F.col("l_returnflag") == "A", "python").otherwise("c").alias("language"), (F.col("l_quantity") / 50).alias("reduced"), (F.col("l_linenumber") % 2).cast("double").alias("compiles"), (F.col("l_partkey") % 20).alias("added"))
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", F.when(F.col("l_returnflag") == "R", "java").when(F.col("l_returnflag") == "A", "python").otherwise("c").alias("language"), (F.col("l_quantity") / 50).alias("reduced"), (F.col("l_linenumber") % 2).cast("double").alias("compiles"), (F.col("l_partkey") % 20).alias("added"))
     return rows.withColumn("fix", metrics.fix_score(F.col("language"), F.col("reduced"), F.col("compiles"), F.col("added")))
 
 
@@ -214,7 +214,31 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(_table(spark, sf_dir, "events"), "user_id", ("ts", "event_id")).select("user_id", "event_id", "event_type")
 
 
+def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(rules.match_patterns(_files(spark, sf_dir), rules.CREDENTIALS))
+
+
+def sample_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = code_corpus(spark, sf_dir)
+    truth = F.element_at(F.create_map(*[F.lit(x) for kv in TRUE_CWE.items() for x in kv]), F.col("kind"))
+    return jobs.sample_report(rows.select("file", "code", F.coalesce(truth, F.lit("SAFE-NONCWE")).alias("cwe_folder")))
+
+
+def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean scores of the first half of each year by month, and of all; an item of an array counts each."""
+    items = _scores(spark, sf_dir)
+    month = F.date_format("l_shipdate", "yyyy-MM")
+    return metrics.report(items.select(F.array(F.lit("all"), F.when(F.month("l_shipdate") <= 6, month)).alias("months"), "fix", "reduced"), ["fix", "reduced"], "months", 6)
+
+
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as documents whose path names a part's file; every tenth can't be parsed."""
+    path = F.concat(F.lit("/src/part-"), (F.col("s_suppkey") * 3).cast("string"), F.lit(".py"))
+    docs = _table(spark, sf_dir, "supplier").select(path.alias("path"), F.when(F.col("s_suppkey") % 10 == 0, "{").alias("_corrupt_record"))
+    return jobs.run_counters(docs, code_corpus(spark, sf_dir))
+
+
 QUERIES = {f"ref_{f.__name__}": f for f in (
     weak_crypto, command_injection, out_of_bounds_write, sql_injection, path_traversal, use_after_free, integer_overflow, text_findings, structure_findings, tainted_names, languages, code_lines, taint_closure,
-    confusion, detection_rates, compared_analyzers, passed, set_f1, fix_scores, score_means, finding_counts, split_counts, split_documents, missing_code, patched_code, evaluation, analyzer_comparison, enriched, diagnostics, prompts, best_epochs, latest_events,
+    confusion, detection_rates, compared_analyzers, passed, set_f1, fix_scores, score_means, finding_counts, split_counts, split_documents, missing_code, patched_code, evaluation, analyzer_comparison, enriched, diagnostics, prompts, best_epochs, latest_events, credentials, sample_report, group_report, run_counters,
 )}

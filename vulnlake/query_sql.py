@@ -35,6 +35,8 @@ def _found(patterns: list[rules.Pattern]) -> str:
             unless = "NOT regexp_matches(substr(code, pos + length(hit) + 1), " + _lit(r"""^\s*(\[|["'][^"']*["'])""") + ")"
         elif p.unless is rules._literal_source:
             unless = "NOT coalesce(regexp_matches(trim(string_split(regexp_extract(hit, " + _lit(r"\(([^)]*)\)") + ", 1), ',')[2], chr(32) || chr(9) || chr(13) || chr(10)), " + _lit('^L?"[^"]*"$') + "), false)"
+        elif p.unless is rules._names_a_key:
+            unless = "NOT regexp_matches(lower(regexp_extract(hit, '^[^=\"]*')), 'key|secret|token')"
         parts.append(f"""SELECT file, {_lit(p.rule)} AS "ruleId", {_lit(p.cwe)} AS "cweId", {_lit(p.severity)} AS severity, {_PLACE}, hit AS evidence, {_lit(p.message)} AS message
 FROM ({_matches(p.regex, f"{_LANGUAGE_SQL} = {_lit(p.language)}")}) WHERE {unless}""")
     return "\nUNION ALL\n".join(parts)
@@ -327,5 +329,15 @@ SELECT cwe_folder, split, CAST(sum(m) AS BIGINT) AS documents FROM p WHERE m > 0
     "ref_prompts": f"""WITH {corpus_sql()} SELECT file, trim('Review ' || file || ':' || chr(10) || code || chr(10), {_SPACES}) AS prompt FROM corpus""",
     "ref_best_epochs": """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS epoch, round(avg(o_totalprice), 4) AS score FROM orders GROUP BY 1)
 SELECT epoch, score, coalesce(score > max(score) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS best FROM m""",
+    "ref_credentials": _patterns_sql(rules.CREDENTIALS),
+    "ref_sample_report": f"""WITH RECURSIVE {_TEXT}, {_ANSWERS}, o AS (
+  SELECT file, "cweId", min((CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, line, "column")) AS place FROM text_hits GROUP BY file, "cweId"
+), g AS (SELECT file, string_agg("cweId", ', ' ORDER BY place) AS tags, list("cweId") AS cwes FROM o GROUP BY file)
+SELECT id AS file, CASE WHEN cwes = '' THEN 'SAFE-NONCWE' ELSE cwes END AS cwe, coalesce(list_contains(g_cwes, cwes), false) AS hit, coalesce(tags, '(none)') AS tags
+FROM answered LEFT JOIN (SELECT file, tags, cwes AS g_cwes FROM g) x ON id = x.file""",
+    "ref_group_report": f"""WITH s AS (SELECT unnest(['all', CASE WHEN month(l_shipdate) <= 6 THEN strftime(l_shipdate, '%Y-%m') END]) AS months, CAST({_FIX} AS DOUBLE) AS fix, l_quantity / 50 AS reduced FROM lineitem)
+SELECT months, round(avg(fix), 6) AS fix, round(avg(reduced), 6) AS reduced, count(*) AS samples FROM s WHERE months IS NOT NULL GROUP BY months""",
+    "ref_run_counters": f"""WITH {corpus_sql()}, d AS (SELECT s_suppkey % 10 = 0 AS bad, 'src/part-' || (s_suppkey * 3) || '.py' IN (SELECT file FROM corpus) AS has FROM supplier)
+SELECT count(*) FILTER (NOT bad AND has) AS processed, count(*) FILTER (NOT bad AND NOT has) AS skipped, count(*) FILTER (bad) AS errors FROM d""",
     "ref_latest_events": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 }
