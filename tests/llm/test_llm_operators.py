@@ -624,3 +624,90 @@ def test_merged_fingerprints(spark):
     assert set(got) == {g for g, _ in parts}
     for g in got:
         assert got[g] == sorted(set().union(*(brute_shingles(t) for h, t in parts if h == g)))[:32]
+
+
+def test_pipeline_against_brute_force(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import pandas as pd
+
+    docs = pipeline.documents(spark, "/root/testdata/sf0.001")
+    rows = [r.asDict() for r in docs.collect()]
+    model = langid.CompressionClassifier(langid.fit_dictionaries(langid.training_rows(docs)))
+    rows = [r for r in rows if not model.predict(r["text"])[2]]
+    first = {}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        first.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", r["text"] or ""), r["doc_id"])
+    rows = [r for r in rows if r["doc_id"] in set(first.values())]
+    stay = {i for i, _, _, kept in brute_near([(r["doc_id"], r["text"]) for r in rows], 5) if kept}
+    rows = [r for r in rows if r["doc_id"] in stay]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows)[["doc_id", "text", "source"]])
+    taken = {i: (t, n) for i, t, n in con.execute(f"SELECT doc_id, taken, size FROM ({queries.OP8_SQL})").fetchall()}
+    codec = sentencepiece_codec.load_codec(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
+    want = []
+    for r in rows:
+        took, size = taken[r["doc_id"]]
+        ids, _ = codec.encode_batch([r["text"]])
+        want += [(r["doc_id"], r["lang"], r["source"], ids.tolist())] * (-(-took // size) if took else 0)
+    got = pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(((r.doc_id, r.lang, r.source, r.ids) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score string"
+    good = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").limit(60).collect()
+    odd = [(None, "a null id of no great length", None, None), (None, None, None, None), (7001, "", "en", "x"), (7002, " \t\n", "en", None), (7003, "the " * 60_000, "en", "x"), (7003, "the " * 60_000, "en", "x")]
+    rows = [(*r, 1, True, "clash") for r in [*map(tuple, good), *odd, tuple(good[0])]]
+    for name, table in (("odd", rows), ("empty", [])):
+        spark.createDataFrame(table, schema).repartition(3).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = pipeline.run(spark, str(tmp_path / name), run_id=f"{os.getpid()}-{name}")
+        got = out.collect()
+        assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids_crc32", "round_trip", "decoded_sha256", "ids"]
+        assert bool(got) == bool(table) and all(r.round_trip for r in got)
+        assert {r.doc_id for r in got} <= {r[0] for r in rows} - {7001, 7002}
+        # Started again, the run goes on from what is there.
+        stages, pipeline.STAGES = pipeline.STAGES, [(n, None) for n, _ in pipeline.STAGES]
+        try:
+            assert sorted(pipeline.run(spark, "nowhere", run_id=f"{os.getpid()}-{name}").collect(), key=str) == sorted(got, key=str)
+        finally:
+            pipeline.STAGES = stages
+
+
+def test_codec_edges(spark, empty, tokenizers):
+    codec = sentencepiece_codec.load_codec(tokenizers("piece_bpe_32k.model"))
+    assert sentencepiece_codec.encode_documents(empty, codec).count() == 0
+    texts = [None, "", "x" * 3000, "a b " * 60_000, "日本語 and 🙂\n\n  end ", "same", "same"]
+    rows = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens long")
+    out = sentencepiece_codec.encode_documents(rows, codec, keep=("doc_id", "n_tokens", "missing"))
+    assert out.columns.count("n_tokens") == 1
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got.values()) and got[0].ids == got[1].ids == [] and got[5].ids == got[6].ids
+    # One lattice for short and for long units.
+    for unit in ("▁" + "ab" * 30, "éèê日本" * 12, "x" * 49):
+        short, _ = codec.encode_units([unit], wide=10**6)
+        long, _ = codec.encode_units([unit], wide=0)
+        assert short.tolist() == long.tolist()
+
+
+def test_model_that_normalises_is_refused():
+    raw = b"\x1a\x02\x20\x01"  # a normaliser that removes extra white space
+    with pytest.raises(ValueError, match="normalises"):
+        sentencepiece_codec.Vocabulary.from_model(raw)
+
+
+def test_common_line_with_other_neighbours(spark):
+    """One line in every document, never between the same words: a gram with as many surroundings as documents."""
+    rng = random.Random(8)
+    line = " ".join(f"common{i}" for i in range(40))
+    texts = [(i, " ".join([*(f"p{i}x{rng.random()}" for _ in range(20)), line, *(f"s{i}x{rng.random()}" for _ in range(20))])) for i in range(80)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = remove_repeated_windows(table, shard_bytes=6000, most_spans=7).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_windows(texts)
+    got = suffix_dedup.remove_repeated_bytes(table, shard_bytes=6000, most_spans=7).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got), key=str) == brute_bytes(texts)
+
+
+def test_all_operators_are_listed():
+    entry = pytest.importorskip("__spark_entry__")
+    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")} and "pipeline" in entry.queries()

@@ -10,6 +10,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +80,10 @@ class Vocabulary:
             elif number == 2:
                 unigram = dict(_fields(value)).get(3, _UNIGRAM) == _UNIGRAM
             elif number == 3:
-                prefix = bool(dict(_fields(value)).get(3, 1))
+                rules = dict(_fields(value))
+                prefix = bool(rules.get(3, 1))
+                if rules.get(2) or rules.get(4, 1):
+                    raise ValueError("the model normalises its input: only models that leave texts as they are can give them back")
         if not unigram:
             order = sorted((i for i, k in enumerate(kinds) if k == NORMAL), key=lambda i: -scores[i])
             total = math.log(sum(1 / (r + 1) for r in range(len(order))))
@@ -306,7 +310,9 @@ class Codec:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode(errors="replace")
 
 
+@lru_cache(maxsize=4)
 def load_codec(path: str) -> Codec:
+    """The codec of a .model file; built once for each path, as the double array takes seconds."""
     with open(path, "rb") as f:
         return Codec(Vocabulary.from_model(f.read()))
 
@@ -318,17 +324,18 @@ def _groups(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def encode_documents(docs: DataFrame, codec: Codec, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, batch_chars: int = 6_000_000) -> DataFrame:
-    """The columns ``keep`` plus n_tokens, ids_crc32, round_trip, decoded_sha256 and, with ``with_ids``, ids.
+    """The columns ``keep``, without those named like a result, plus n_tokens, ids_crc32, round_trip, decoded_sha256 and, with ``with_ids``, ids.
 
     Encodes every whole text and decodes its ids again; round_trip tells whether that gave the text back
     (it does unless the text itself holds U+2581, which decodes to a space). ids_crc32 is over the ids as
     little-endian 32-bit integers. One pass without a shuffle; the codec is broadcast, its size bounded by
-    the vocabulary. Null and empty texts have no ids and round-trip to the empty text. Repeated rows each
-    get a result; an empty table gives an empty one.
+    the vocabulary. Null and empty texts have no ids and round-trip to the empty text. A very long word is one lattice, a very
+    long text many. Repeated rows each get a result; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(codec)
     own = "n_tokens long, ids_crc32 long, round_trip boolean, decoded_sha256 string" + ", ids array<int>" * with_ids
-    kept = docs.select(*[c for c in keep if c in docs.columns])
+    results = {f.split()[0] for f in own.split(", ")}
+    kept = docs.select(*[c for c in keep if c in docs.columns and c not in results])
     schema = T.StructType([*kept.schema.fields, *T._parse_datatype_string(f"struct<{own.replace(' ', ':')}>".replace(",:", ",")).fields])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
