@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import bucket_cuts, pack, unpack_all
-from .common import components, stage
+from .common import components, drop_staged, stage
 from .ragged import byte_table, chunks, mixed, run_hashes, word_hashes
 
 _U = np.uint64
@@ -324,7 +324,7 @@ def _alone(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(k), pa.array(u.astype(np.int64))], names=["k", "u"])
 
 
-def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose signatures and set sizes allow a link, with the size of both."""
 
     @F.pandas_udf("int")
@@ -334,7 +334,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         return pd.Series(distance(np.frombuffer(b"".join(x), "<u2").reshape(-1, VALUES), np.frombuffer(b"".join(y), "<u2").reshape(-1, VALUES)).astype(np.int32))
 
     a, b = (reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b").where("10 * least(n_a, n_b) >= 8 * greatest(n_a, n_b)")
+    both = pairs.join(a, "a").join(b, "b").where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
     return both.withColumn("d", apart("sig_a", "sig_b")).where(F.col("d") <= MAX_DISTANCE).select("a", "b", "n_a", "n_b")
 
 
@@ -369,6 +369,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, shin
     return left.unionByName(right).groupBy("b", "fan").applyInArrow(_confirm(words, percent), "a long, b long")
 
 
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after links between nodes of ``known``: only the components that they join are gone through again."""
+    name = lambda c: known.select(F.col("rep").alias(c), F.col("comp").alias(f"of_{c}"))
+    joined = components(links.join(name("a"), "a").join(name("b"), "b").select("of_a", "of_b"), "of_a", "of_b").select(F.col("node").alias("comp"), "component")
+    out = known.select("rep", "comp").join(joined, "comp", "left").select(F.col("rep").alias("node"), F.coalesce("component", "comp").alias("component"))
+    return stage(out, "components")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80, most: int = 4096) -> DataFrame:
     """``id_col``, n_shingles, component_id, kept of every document.
 
@@ -391,10 +399,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     if percent < 80:
         raise ValueError("percent under 80: signatures would miss pairs")
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("k"), F.col(text).cast("string").alias("text"))
     signed = stage(texts.mapInArrow(_sign(words), "k long, n long, ha long, hb long, sig binary"), "signed")
     reps = stage(signed.where("n > 0").groupBy("ha", "hb").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    # A bucket holds the entries of about 20,000 classes, 24 bytes for each of their keys.
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() // 20_000)
     local = stage(reps.select("rep", "sig").mapInArrow(_local(buckets), "bucket int, blob binary, a long, b long"), "keys")
     met = local.where("bucket >= 0").select("bucket", "blob").groupBy("bucket").applyInArrow(_meet, "a long, b long")
     pairs = stage(local.where("bucket < 0").select("a", "b").unionByName(met).distinct(), "pairs")
@@ -402,27 +411,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     # Ids that meet any other; their number follows the input, so they are merged with the texts, not broadcast.
     texts = stage(texts.hint("merge").join(met_any, "k", "left_semi"), "texts")
     met_reps = stage(reps.join(met_any.withColumnRenamed("k", "rep"), "rep", "left_semi"), "met")
-    tried = stage(_likely(pairs, met_reps), "likely")
-    links = stage(_verified(tried, texts, words, percent), "links")
-    tried, comp = tried.select("a", "b"), components(links, "a", "b")
+    likely = stage(_likely(pairs, met_reps, percent), "likely")
+    links = stage(_verified(likely, texts, words, percent), "links")
+    tried, comp, used = likely.select("a", "b"), components(links, "a", "b"), [local, pairs, texts, met_reps, likely, links]
     for number, final in enumerate((False, False, True)):
         known = stage(met_reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("comp"), "n"), "known")
         groups = stage(known.select("rep", "sig", "comp").mapInArrow(_grouped(buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_mixed_keys, "group long, k long").distinct(), "groups")
+        used += [known, groups]
+        if groups.isEmpty():
+            break
         members = known.withColumnRenamed("rep", "k")
         if final:
             left = texts.hint("merge").join(groups.select("k").distinct(), "k", "left_semi")
             alone = left.mapInArrow(_spread(words, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_alone, "k long, u long").groupBy("k").agg(F.sum("u").alias("u"))
             members = members.join(alone, "k", "left").withColumn("shared", F.col("n") - F.coalesce("u", F.lit(0))).where(F.col("shared") * 100 >= F.col("n") * percent).drop("u")
             members = stage(members.join(groups.select("k").distinct(), "k", "left_semi"), "members")
+            used.append(members)
             left = texts.hint("merge").join(members.select("k").distinct(), "k", "left_semi")
             groups = groups.join(members.select("k"), "k", "left_semi")
             members = members.join(left.mapInArrow(_counted(words), "k long, n long, cells binary"), ["k", "n"])
         dealt = _block_pairs(groups, known, most) if final else _dealt(groups, most, number)
         found = dealt.join(members, "k").groupBy("group", "x", "y").applyInArrow(_compared(_across if final else _hubs, percent), "a long, b long").distinct()
-        found = found.join(tried, ["a", "b"], "left_anti").join(reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a")
-        found = stage(found, "found")
-        links = links.unionByName(stage(_verified(found, texts, words, percent), "links"))
-        tried, comp = tried.unionByName(found.select("a", "b")), components(links, "a", "b")
+        found = stage(found.join(tried, ["a", "b"], "left_anti").join(reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a"), "found")
+        used.append(found)
+        if found.isEmpty():
+            continue
+        links = stage(_verified(found, texts, words, percent), "links")
+        used.append(links)
+        tried, comp = tried.unionByName(found.select("a", "b")), _joined(known, links)
+    drop_staged(*used)
     classes = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("ha", "hb", F.coalesce("component", "rep").alias("component_id"))
     found = signed.where("n > 0").join(classes, ["ha", "hb"]).select("k", "n", "component_id").unionByName(signed.where("n = 0").select("k", "n", F.col("k").alias("component_id")))
     back = lambda c: F.when(F.col(c) != _LOWEST, F.col(c))
