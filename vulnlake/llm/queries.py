@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints
+from .clusters import cluster_vectors
 from .common import documents
 from .exact_dedup import exact_dedup
 from .langid import fit_dictionaries, held_out, identify, training_rows
 from .licenses import scan_licenses
+from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .prefix_trie import conversation_trie
+from .query_sql import OP12_SQL, OP13_SQL
 from .sentencepiece_codec import encode_documents, load_codec
 from .substring_dedup import remove_repeated_windows
 from .suffix_dedup import remove_repeated_bytes
@@ -73,7 +77,26 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_substring_dedup, op4_sentencepiece, op5_token_output, op6_exact_dedup, op7_fingerprints, op8_mix_sources, op9_suffix_dedup, op10_license_scan)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), rebuild=(5, 9))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_near_dedup, op3_substring_dedup, op4_sentencepiece, op5_token_output, op6_exact_dedup, op7_fingerprints, op8_mix_sources, op9_suffix_dedup, op10_license_scan,
+        op11_line_dedup, op12_cluster_vectors, op13_conversation_trie,
+    )
+}
 
 OP6_SQL = r"""
 WITH n AS (
@@ -116,4 +139,19 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM y
 """
 
-ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op8_mix_sources": OP8_SQL}
+OP11_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS place FROM documents
+), k AS (
+  SELECT doc_id, place, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), often AS (
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), f AS (
+  SELECT k.doc_id, k.place, k.line, often.last IS NOT NULL AND often.last <> k.doc_id AS gone FROM k LEFT JOIN often ON k.key = often.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+ORACLE_SQL = {"op11_line_dedup": OP11_SQL, "op12_cluster_vectors": OP12_SQL, "op13_conversation_trie": OP13_SQL, "op6_exact_dedup": OP6_SQL, "op8_mix_sources": OP8_SQL}

@@ -25,6 +25,38 @@ def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
+#: 2**61 - 1: products modulo it need only 64-bit words.
+PRIME = (1 << 61) - 1
+_P, _HALF = _U(PRIME), _U((1 << 31) - 1)
+
+
+def product_mod(a: np.ndarray, b: np.ndarray, prime: int = PRIME) -> np.ndarray:
+    """a * b modulo ``prime``, for values below 2**63: PRIME, or one below 2**31."""
+    if prime != PRIME:
+        return (a % _U(prime)) * (b % _U(prime)) % _U(prime)
+    a, b = a % _P, b % _P
+    ah, al, bh, bl = a >> _U(31), a & _HALF, b >> _U(31), b & _HALF
+    middle = al * bh + ah * bl
+    x = ((ah * bh) << _U(1)) + (middle >> _U(30)) + ((middle & _U((1 << 30) - 1)) << _U(31)) + al * bl
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def powers_mod(base: int, start: int, n: int, prime: int = PRIME) -> np.ndarray:
+    """base**start, ..., base**(start + n - 1) modulo ``prime``, by doubling."""
+    out = np.full(1, pow(base, start, prime), _U)
+    while len(out) < n:
+        out = np.concatenate([out, product_mod(out, np.full(len(out), pow(base, len(out), prime), _U), prime)])
+    return out[:n]
+
+
+def sums_mod(values: np.ndarray, prime: int = PRIME, first: int = 0) -> np.ndarray:
+    """Running sums modulo ``prime`` of values below it, from ``first`` on; up to 2**31 of them."""
+    high, low = np.cumsum(values >> _U(31)) % _U(prime), np.cumsum(values & _HALF) % _U(prime)
+    x = product_mod(high, np.full(len(high), 1 << 31, _U), prime) + low + _U(first)
+    return x % _U(prime)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> _U(30))
