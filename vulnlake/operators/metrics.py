@@ -77,6 +77,35 @@ def means(rows: DataFrame, scores: list[str], by: str | None = None) -> DataFram
     return rows.select(key.alias(by), *scores).groupBy(by).agg(*agg)
 
 
+def grouped_means(rows: DataFrame, scores: list[str], by: list[str]) -> DataFrame:
+    """Means of the scores by each column of ``by`` and over all, in one pass: grouping sets over one expansion.
+
+    Result: grouping (the column's name, or "all"), group (its value as text; null for all and for rows without one), the means, samples. A sample counts
+    once for each item of an array column, and once in all other groups, however many items it has.
+    """
+    arrays = [c for c in by if dict(rows.dtypes)[c].startswith("array")]
+    if len(arrays) > 1:
+        raise ValueError("one array column at most")
+    marked = rows.select(*by, *scores, F.lit(0).alias("first"))
+    if arrays:  # an item's place tells the row that stands for the whole sample
+        others = [c for c in (*by, *scores) if c not in arrays]
+        marked = rows.select(*others, F.posexplode_outer(arrays[0]).alias("first", arrays[0]))
+    sets = [[c] for c in by] + [[]]
+    whole = F.coalesce(F.col("first"), F.lit(0)) == 0
+    kinds = F.expr(f"grouping_id({', '.join(by)})")
+    own = {c: 2 ** len(by) - 1 - 2 ** (len(by) - 1 - i) for i, c in enumerate(by)}
+    # Items after the first count in the groups of the array column alone, so sums and counts of both kinds are kept apart.
+    sums = [x for s in scores for x in (F.sum(s).alias(f"{s}__items"), F.sum(F.when(whole, F.col(s))).alias(f"{s}__whole"), F.count(s).alias(f"{s}__n"), F.count(F.when(whole, F.col(s))).alias(f"{s}__m"))]
+    grouped = marked.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by]).agg(kinds.alias("kind"), F.count(F.lit(1)).alias("items"), F.count_if(whole).alias("wholes"), *sums)
+    itemised = F.col("kind") == own[arrays[0]] if arrays else F.lit(False)
+    name = F.lit("all")
+    value = F.lit(None).cast("string")
+    for c in by:
+        name, value = F.when(F.col("kind") == own[c], c).otherwise(name), F.when(F.col("kind") == own[c], F.col(c).cast("string")).otherwise(value)
+    mean = lambda s: F.when(itemised, F.try_divide(f"{s}__items", f"{s}__n")).otherwise(F.try_divide(f"{s}__whole", f"{s}__m")).alias(s)
+    return grouped.select(name.alias("grouping"), value.alias("group"), *[mean(s) for s in scores], F.when(itemised, F.col("items")).otherwise(F.col("wholes")).alias("samples"))
+
+
 def report(rows: DataFrame, scores: list[str], by: str, digits: int = 4) -> DataFrame:
     """Rounded means by group in ascending order; rows without a group, and groups without a score, are left out."""
     shown = means(rows, scores, by).where(F.col(by).isNotNull() & F.coalesce(*scores).isNotNull())

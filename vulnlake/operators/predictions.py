@@ -10,16 +10,29 @@ from ..functions.text import trim
 from ..schemas import PREDICTION
 
 
+_ITEMS = PREDICTION.split("vulnerabilities:")[1][:-1]
+
+
 def parse(raw: Column) -> Column:
     """The JSON from the first { to the last } of an answer; items that aren't well formed are dropped, a bad answer has none.
 
-    A cwe that isn't a string is no cwe: types are checked before they are cast.
+    Types are looked at as they are in the JSON: an item counts if it is an object whose own ``cwe`` is a string, whatever lies inside its other fields. Fixes
+    are kept where they are objects; an origin or replacement that isn't a string is null.
     """
-    body = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    items = F.coalesce(F.from_json(body, PREDICTION)["vulnerabilities"], F.array().cast(f"{PREDICTION.split('vulnerabilities:')[1][:-1]}"))
-    strings = F.from_json(F.get_json_object(body, "$.vulnerabilities"), "array<string>")
-    typed = F.transform(items, lambda v, i: F.when(F.regexp_like(F.get(strings, i), F.lit(r'"cwe"\s*:\s*"')), v))
-    return F.filter(typed, lambda v: v.isNotNull() & v["cwe"].isNotNull())
+    answer = F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0))
+    items = F.try_variant_get(answer, "$.vulnerabilities", "array<variant>")
+    kind = lambda v, path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    text = lambda v, path: F.when(kind(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+
+    def fix(v: Column) -> Column:
+        return F.struct(text(v, "$.origin").alias("origin"), text(v, "$.replacement").alias("replacement"))
+
+    def item(v: Column) -> Column:
+        fixes = F.filter(F.try_variant_get(v, "$.fixes", "array<variant>"), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+        return F.struct(text(v, "$.cwe").alias("cwe"), F.transform(fixes, fix).alias("fixes"))
+
+    read = F.filter(F.transform(items, item), lambda v: v["cwe"].isNotNull())
+    return F.coalesce(read, F.array().cast(_ITEMS))
 
 
 def predicted_cwes(vulnerabilities: Column) -> Column:

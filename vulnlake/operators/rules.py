@@ -170,15 +170,19 @@ def code_lines(corpus: DataFrame) -> DataFrame:
     return rows.select("file", "language", "i", "raw", offset.alias("offset"), T.trim(F.col("raw")).alias("line"))
 
 
+#: Statements, and the signs that one is put together from parts.
+SQL_VERBS = r"\b(select|insert|update|delete)\b"
+_PLUS = r"\+\s*[a-zA-Z_][a-zA-Z0-9_]*"
+BUILT_SQL = {
+    "python": rf"""\bf["'`]|\.format\s*\(|["'][^"']*%[sd][^"']*["']\s*%|["'][^"']*["']\s*\+|{_PLUS}""",
+    "java": rf'\bString\s*\.\s*format\s*\(|"[^"]*"\s*\+|{_PLUS}',
+}
+
+
 def _dangerous_sql(text: Column, python: bool) -> Column:
     """A statement that is put together from parts."""
-    sql = F.regexp_like(F.lower(text), F.lit(T.ascii_borders(r"\b(select|insert|update|delete)\b")))
-    plus = r"\+\s*[a-zA-Z_][a-zA-Z0-9_]*"
-    if python:
-        built = rf"""\bf["'`]|\.format\s*\(|["'][^"']*%[sd][^"']*["']\s*%|["'][^"']*["']\s*\+|{plus}"""
-    else:
-        built = rf'\bString\s*\.\s*format\s*\(|"[^"]*"\s*\+|{plus}'
-    return F.coalesce(sql & T.has(text, built), F.lit(False))
+    sql = T.has(F.lower(text), SQL_VERBS)
+    return F.coalesce(sql & T.has(text, BUILT_SQL["python" if python else "java"]), F.lit(False))
 
 
 def _sql_calls(order: int, python: bool) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import metrics, predictions
@@ -50,6 +50,23 @@ def run_counters(documents: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(~bad & has).alias("processed"), F.count_if(~bad & ~has).alias("skipped"), F.count_if(bad).alias("errors"))
 
 
+def enrich_observed(documents: DataFrame, sources: DataFrame, path: str) -> dict[str, int]:
+    """Enrich metadata as it is read and write it below ``path`` by folder; returns processed, skipped and errors, counted by the write itself.
+
+    Documents without code and those that can't be parsed go along up to an observation in front of the files, and no further.
+    """
+    seen = Observation()
+    known = sources.select(F.col("file").alias("__f"))
+    bad = F.col("_corrupt_record").isNotNull()
+    lost = documents.where(~bad).join(known, relative(F.col("path")) == F.col("__f"), "left_anti").withColumn("__kind", F.lit("skipped"))
+    rest = documents.where(bad).withColumn("__kind", F.lit("errors")).unionByName(lost).drop("_corrupt_record", "static_findings", "enriched_at")
+    done = enrich(documents.where(~bad).drop("_corrupt_record"), sources).withColumn("__kind", F.lit("processed"))
+    counts = [F.count_if(F.col("__kind") == k).alias(k) for k in ("processed", "skipped", "errors")]
+    rows = done.unionByName(rest, allowMissingColumns=True).observe(seen, *counts)
+    rows.where("__kind = 'processed'").drop("__kind").write.mode("overwrite").partitionBy("cwe_folder").parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
 def sample_report(corpus: DataFrame) -> DataFrame:
     """(file, cwe, hit, tags) for samples whose folder names the CWE that is to be found. ``corpus``: file, code, cwe_folder."""
     found = gathered(analyze(corpus))

@@ -59,6 +59,11 @@ def in_folders(documents: DataFrame, folders: list[str] | None) -> DataFrame:
     return documents.where(F.col("cwe_folder").isin(*folders)) if folders else documents
 
 
+def of_listed_folders(documents: DataFrame, folders: DataFrame) -> DataFrame:
+    """Documents of the CWE folders in a table with column cwe_folder; on a corpus partitioned by it Spark reads those partitions alone, found at run time."""
+    return documents.join(folders.select("cwe_folder").distinct(), "cwe_folder", "left_semi")
+
+
 def with_code(documents: DataFrame, sources: DataFrame) -> DataFrame:
     """Documents with the code their path names."""
     return documents.join(sources.select(F.col("file").alias("__f"), "code"), relative(F.col("path")) == F.col("__f")).drop("__f")
