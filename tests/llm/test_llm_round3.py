@@ -238,3 +238,75 @@ def test_trie_of_nothing(turns):
     lone = df.sparkSession.createDataFrame([(11, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     assert zlib.crc32(b"11") % 9 > 0
     assert nodes_of(prefix_trie.conversation_trie(lone, rebuild=(5, 9))) == [(11, 0, None, 1, 0, 1, 0, sha("11"))]
+
+
+# --- hashes that texts can't be made to fool ---------------------------------------------------------
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def twins(n):
+    """Two words of n letters that a polynomial modulo a power of two can't tell apart."""
+    return thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_collide_modulo_powers_of_two(spark, n):
+    from vulnlake.llm import near_dedup, suffix_dedup
+    from vulnlake.llm.substring_dedup import remove_repeated_windows
+
+    x, y = twins(n)
+    same = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{same} {x}"), (2, f"{same} {y}"), (3, f"q {same} {x}"), (4, x), (5, y)], "doc_id long, text string")
+    alone = docs.where("doc_id in (1, 2)")
+    assert {(r.doc_id, r.n_removed) for r in remove_repeated_windows(alone).collect()} == {(1, 0), (2, 0)}
+    assert {(r.doc_id, r.n_removed) for r in remove_repeated_windows(docs).collect()} == {(1, 35), (2, 0), (3, 35), (4, 0), (5, 0)}
+    whole = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs.where("doc_id > 3"), words=4).collect()}
+    assert whole == {4: (1, 4), 5: (1, 5)}
+    # every 100 bytes of the second word that the first doesn't have stay
+    seen = {x[i : i + 100] for i in range(len(x) - 99)}
+    gone = set()
+    for i in range(len(y) - 99):
+        if y[i : i + 100] in seen or y[i : i + 100] in {y[j : j + 100] for j in range(i)} if n == 1024 else False:
+            gone.update(range(i, i + 100))
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeated_bytes(docs.where("doc_id > 3")).collect()}
+    if n == 1024:
+        assert got[5] == len(gone)
+
+
+def test_polynomials_modulo_the_prime():
+    from vulnlake.llm import ragged
+
+    rng = np.random.default_rng(1)
+    p, u = ragged.PRIME, np.uint64
+    a, b = (np.concatenate([rng.integers(0, p, 2000, np.uint64), np.array([0, 1, p - 1, p - 1, 1 << 60], u)]) for _ in range(2))
+    assert ragged.product_mod(a, b).tolist() == [int(x) * int(y) % p for x, y in zip(a, b, strict=True)]
+    assert ragged.sums_mod(a, first=5).tolist() == [(5 + int(s)) % p for s in np.cumsum(a.astype(object))]
+    assert ragged.powers_mod(12345, 7, 100).tolist() == [pow(12345, 7 + i, p) for i in range(100)]
+    values = rng.integers(0, 2**63, 200_000, np.uint64) * u(2) + u(1)
+    values[100_000:100_050] = values[5:55]
+    starts, ends = np.array([5, 100_000, 5, 65_530, 7]), np.array([55, 100_050, 54, 65_540, 7])
+    h = ragged.run_hashes(values, starts, ends)
+    assert h[0] == h[1] != h[2] and len(set(h.tolist())) == 4
+    assert ragged.run_hashes(values, starts, ends, base=3)[0] != h[0]
+    assert len(ragged.run_digests(b"abc", starts[:0], ends[:0], b"k")) == 0
+    d = ragged.run_digests(b"abcabd", np.array([0, 3, 0]), np.array([3, 6, 2]), b"k")
+    assert len(set(d.tolist())) == 3 and d[2] == ragged.run_digests(b"ab", np.array([0]), np.array([2]), b"k")[0] != ragged.run_digests(b"ab", np.array([0]), np.array([2]), b"other")[0]
+
+
+def test_a_secret_changes_no_result(spark):
+    from vulnlake.llm import near_dedup
+    from vulnlake.llm.substring_dedup import remove_repeated_windows
+
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(base[: 60 + i] + [f"x{i}_{j}" for j in range(i % 4)])) for i in range(30)], "doc_id long, text string")
+    run = lambda: (sorted(near_dedup.near_duplicates(docs).collect()), sorted(remove_repeated_windows(docs).select("doc_id", "n_removed", "kept").collect()))
+    before = run()
+    spark.conf.set("spark.vulnlake.secret", "not for everyone")
+    try:
+        assert run() == before
+    finally:
+        spark.conf.unset("spark.vulnlake.secret")

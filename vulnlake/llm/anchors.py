@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .ragged import mixed, run_hashes
+from .ragged import BASE, mixed, run_hashes
 
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -37,10 +37,11 @@ class Runs:
     span: np.ndarray
 
 
-def anchor_runs(values: Callable[[int, int], np.ndarray], offsets: np.ndarray, window: int, gram: int, segment: int = 1_000_000) -> Runs:
+def anchor_runs(values: Callable[[int, int], np.ndarray], offsets: np.ndarray, window: int, gram: int, digests: Callable[[np.ndarray, np.ndarray], np.ndarray], segment: int = 1_000_000, base: int = BASE) -> Runs:
     """Runs of all windows of the documents with these ``offsets`` in one row of units.
 
-    ``values(a, b)`` gives 64-bit values of units [a, b). Units are taken in segments, so memory doesn't
+    ``values(a, b)`` gives 64-bit values of units [a, b), by which anchors are found; ``digests(starts, ends)`` those of what
+    the units really are, by which spans are told apart. Units are taken in segments, so memory doesn't
     follow a document's length; a cut between segments only parts a run in two.
     """
     total = int(offsets[-1])
@@ -54,7 +55,7 @@ def anchor_runs(values: Callable[[int, int], np.ndarray], offsets: np.ndarray, w
             break
         v = values(lo, hi)
         at = np.arange(len(v) - gram + 1)
-        grams = run_hashes(v, at, at + gram)
+        grams = run_hashes(v, at, at + gram, base)
         low = sliding_min((grams & ~_PLACE) | at.astype(np.uint64), window - gram + 1)
         edge = np.zeros(len(low) + 1, np.int32)
         a, b = np.clip(begin - lo, 0, len(low)), np.clip(end - lo, 0, len(low))
@@ -68,7 +69,7 @@ def anchor_runs(values: Callable[[int, int], np.ndarray], offsets: np.ndarray, w
         cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         first, count = starts[cut], np.diff(np.append(cut, len(starts)))
         # Anchors are small hashes; hashed again they fill all buckets alike.
-        parts.append((first + lo, count, mixed(~grams[place[cut]]), run_hashes(v, first, first + count + window - 1)))
+        parts.append((first + lo, count, mixed(~grams[place[cut]]), digests(first + lo, first + lo + count + window - 1)))
     if not parts:
         return Runs(*(np.zeros(0, k) for k in (np.int64, np.int64, np.uint64, np.uint64)))
     return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))

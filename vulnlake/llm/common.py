@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ragged import PRIME
+
 #: ASCII white space and its complement, as every word rule here defines them.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +33,16 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def secret(spark: SparkSession) -> bytes:
+    """32 bytes for keyed hashes, from the setting spark.vulnlake.secret. Without it they are the same for everyone, which is enough for texts nobody made to collide."""
+    return hashlib.blake2b(spark.conf.get("spark.vulnlake.secret", "").encode(), digest_size=32).digest()
+
+
+def hash_base(spark: SparkSession) -> int:
+    """The base of polynomial hashes that goes with ``secret``."""
+    return 2 + int.from_bytes(secret(spark)[:8], "little") % (PRIME - 3)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

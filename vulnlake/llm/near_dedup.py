@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import bucket_cuts, pack, unpack_all
-from .common import components, drop_staged, stage
-from .ragged import byte_table, chunks, mixed, run_hashes, word_hashes
+from .common import components, drop_staged, hash_base, stage
+from .ragged import BASE, byte_table, chunks, mixed, run_hashes, word_hashes
 
 _U = np.uint64
 #: A signature: VALUES b-bit MinHash values, b = 16, in CHUNKS chunks of WIDTH.
@@ -27,20 +27,20 @@ _LOWEST = -(2**63)
 CELL_BITS = 10
 
 
-def shingles(parts: list[bytes], words: int) -> list[np.ndarray]:
+def shingles(parts: list[bytes], words: int, base: int = BASE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: runs of ``words`` lower-cased words, the whole where there are fewer."""
     out = []
     raw = b"\n".join(parts)
     starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)])
-    begin, _, hashes = word_hashes(raw, _TABLE)
+    begin, _, hashes = word_hashes(raw, _TABLE, base=base)
     offsets = np.searchsorted(begin, starts)
     at = np.arange(max(0, len(hashes) - words + 1))
-    runs = run_hashes(hashes, at, at + words)
+    runs = run_hashes(hashes, at, at + words, base)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if b - a >= words:
             out.append(np.unique(runs[a : b - words + 1]))
         else:
-            out.append(run_hashes(hashes, np.array([a]), np.array([b])) if b > a else np.zeros(0, _U))
+            out.append(run_hashes(hashes, np.array([a]), np.array([b]), base) if b > a else np.zeros(0, _U))
     return out
 
 
@@ -56,11 +56,11 @@ def signature(s: np.ndarray) -> bytes:
 _SIGNED = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("ha", pa.int64()), ("hb", pa.int64()), ("sig", pa.binary())])
 
 
-def _sign(words: int):
+def _sign(words: int, base: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, parts in chunks(batch.column(1), 2_000_000):
-                sets = shingles(parts, words)
+                sets = shingles(parts, words, base)
                 sums = np.array([[int(s.sum()), int(mixed(s ^ _U(0x5851F42D4C957F2D)).sum())] for s in sets], _U).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(parts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())], schema=_SIGNED)
 
@@ -291,11 +291,11 @@ def _block_pairs(groups: DataFrame, known: DataFrame, most: int) -> DataFrame:
     return alone(groups.join(F.broadcast(large), "group", "left_anti")).unionByName(both)
 
 
-def _spread(words: int, buckets: int):
+def _spread(words: int, buckets: int, base: int):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, parts in chunks(batch.column(1), 2_000_000):
-                sets = shingles(parts, words)
+                sets = shingles(parts, words, base)
                 hashes = np.concatenate(sets)
                 owner = np.repeat(batch.column(0).slice(first, len(parts)).to_numpy(), [len(s) for s in sets])
                 order = np.argsort(hashes, kind="stable")
@@ -306,11 +306,11 @@ def _spread(words: int, buckets: int):
     return spread
 
 
-def _counted(words: int):
+def _counted(words: int, base: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, parts in chunks(batch.column(1), 2_000_000):
-                sets = shingles(parts, words)
+                sets = shingles(parts, words, base)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(parts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([cell_counts(s).tobytes() for s in sets], pa.binary())], names=["k", "n", "cells"])
 
     return counted
@@ -338,18 +338,18 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("d", apart("sig_a", "sig_b")).where(F.col("d") <= MAX_DISTANCE).select("a", "b", "n_a", "n_b")
 
 
-def _confirm(words: int, percent: int):
+def _confirm(words: int, percent: int, base: int):
     """Full sets of one document and of those paired with it; its own text comes in the row without ``a``."""
 
     def confirm(table: pa.Table) -> pa.Table:
         a = table.column("a").to_pylist()
         order = sorted(range(len(a)), key=lambda i: a[i] is not None)
         texts = table.column("text")
-        leader = shingles([(texts[order[0]].as_py() or "").encode()], words)[0]
+        leader = shingles([(texts[order[0]].as_py() or "").encode()], words, base)[0]
         found = []
         for s in range(1, len(order), 64):
             part = order[s : s + 64]
-            for i, x in zip(part, shingles([(texts[j].as_py() or "").encode() for j in part], words), strict=True):
+            for i, x in zip(part, shingles([(texts[j].as_py() or "").encode() for j in part], words, base), strict=True):
                 at = np.minimum(np.searchsorted(leader, x), len(leader) - 1)
                 both = int((leader[at] == x).sum()) if len(leader) else 0
                 if 100 * both >= percent * (len(x) + len(leader) - both):
@@ -360,13 +360,13 @@ def _confirm(words: int, percent: int):
     return confirm
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, shingles_each: int = 400_000) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, base: int, shingles_each: int = 400_000) -> DataFrame:
     """Pairs (a, b) whose full sets are alike. A document with many partners is sent to several groups."""
     fans = pairs.groupBy("b").agg(F.ceil(F.sum("n_a") / shingles_each).cast("int").alias("fans"))
     left = pairs.join(fans, "b").select("b", F.pmod(F.xxhash64("a"), F.col("fans")).cast("int").alias("fan"), "a")
     left = left.join(texts.select(F.col("k").alias("a"), "text").hint("merge"), "a").select("b", "fan", "a", "text")
     right = fans.join(texts.select(F.col("k").alias("b"), "text").hint("merge"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.lit(None).cast("long").alias("a"), "text")
-    return left.unionByName(right).groupBy("b", "fan").applyInArrow(_confirm(words, percent), "a long, b long")
+    return left.unionByName(right).groupBy("b", "fan").applyInArrow(_confirm(words, percent, base), "a long, b long")
 
 
 def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -399,8 +399,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     if percent < 80:
         raise ValueError("percent under 80: signatures would miss pairs")
     spark = docs.sparkSession
+    base = hash_base(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("k"), F.col(text).cast("string").alias("text"))
-    signed = stage(texts.mapInArrow(_sign(words), "k long, n long, ha long, hb long, sig binary"), "signed")
+    signed = stage(texts.mapInArrow(_sign(words, base), "k long, n long, ha long, hb long, sig binary"), "signed")
     reps = stage(signed.where("n > 0").groupBy("ha", "hb").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     # A bucket holds the entries of about 20,000 classes, 24 bytes for each of their keys.
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() // 20_000)
@@ -412,7 +413,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     texts = stage(texts.hint("merge").join(met_any, "k", "left_semi"), "texts")
     met_reps = stage(reps.join(met_any.withColumnRenamed("k", "rep"), "rep", "left_semi"), "met")
     likely = stage(_likely(pairs, met_reps, percent), "likely")
-    links = stage(_verified(likely, texts, words, percent), "links")
+    links = stage(_verified(likely, texts, words, percent, base), "links")
     tried, comp, used = likely.select("a", "b"), components(links, "a", "b"), [local, pairs, texts, met_reps, likely, links]
     for number, final in enumerate((False, False, True)):
         known = stage(met_reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("comp"), "n"), "known")
@@ -423,20 +424,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         members = known.withColumnRenamed("rep", "k")
         if final:
             left = texts.hint("merge").join(groups.select("k").distinct(), "k", "left_semi")
-            alone = left.mapInArrow(_spread(words, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_alone, "k long, u long").groupBy("k").agg(F.sum("u").alias("u"))
+            alone = left.mapInArrow(_spread(words, buckets, base), "bucket int, blob binary").groupBy("bucket").applyInArrow(_alone, "k long, u long").groupBy("k").agg(F.sum("u").alias("u"))
             members = members.join(alone, "k", "left").withColumn("shared", F.col("n") - F.coalesce("u", F.lit(0))).where(F.col("shared") * 100 >= F.col("n") * percent).drop("u")
             members = stage(members.join(groups.select("k").distinct(), "k", "left_semi"), "members")
             used.append(members)
             left = texts.hint("merge").join(members.select("k").distinct(), "k", "left_semi")
             groups = groups.join(members.select("k"), "k", "left_semi")
-            members = members.join(left.mapInArrow(_counted(words), "k long, n long, cells binary"), ["k", "n"])
+            members = members.join(left.mapInArrow(_counted(words, base), "k long, n long, cells binary"), ["k", "n"])
         dealt = _block_pairs(groups, known, most) if final else _dealt(groups, most, number)
         found = dealt.join(members, "k").groupBy("group", "x", "y").applyInArrow(_compared(_across if final else _hubs, percent), "a long, b long").distinct()
         found = stage(found.join(tried, ["a", "b"], "left_anti").join(reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a"), "found")
         used.append(found)
         if found.isEmpty():
             continue
-        links = stage(_verified(found, texts, words, percent), "links")
+        links = stage(_verified(found, texts, words, percent, base), "links")
         used.append(links)
         tried, comp = tried.unionByName(found.select("a", "b")), _joined(known, links)
     drop_staged(*used)

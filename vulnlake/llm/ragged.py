@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,37 +10,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = _U(pow(int(_BASE), -1, 2**64))
-_powers = np.ones(1, _U)
-_inverses = np.ones(1, _U)
-
-
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 1 << 16)
-        _powers = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(size - 1, _BASE)]))
-        _inverses = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(size - 1, _INVERSE)]))
-    return _powers, _inverses
-
-
 #: 2**61 - 1: products modulo it need only 64-bit words.
 PRIME = (1 << 61) - 1
 _P, _HALF = _U(PRIME), _U((1 << 31) - 1)
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Values below 2**64 modulo PRIME."""
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
 def product_mod(a: np.ndarray, b: np.ndarray, prime: int = PRIME) -> np.ndarray:
-    """a * b modulo ``prime``, for values below 2**63: PRIME, or one below 2**31."""
+    """a * b modulo ``prime``, for values below it: PRIME, or one below 2**31."""
     if prime != PRIME:
         return (a % _U(prime)) * (b % _U(prime)) % _U(prime)
-    a, b = a % _P, b % _P
     ah, al, bh, bl = a >> _U(31), a & _HALF, b >> _U(31), b & _HALF
     middle = al * bh + ah * bl
-    x = ((ah * bh) << _U(1)) + (middle >> _U(30)) + ((middle & _U((1 << 30) - 1)) << _U(31)) + al * bl
-    x = (x & _P) + (x >> _U(61))
-    return np.where(x >= _P, x - _P, x)
+    return _folded(((ah * bh) << _U(1)) + (middle >> _U(30)) + ((middle & _U((1 << 30) - 1)) << _U(31)) + al * bl)
 
 
 def powers_mod(base: int, start: int, n: int, prime: int = PRIME) -> np.ndarray:
@@ -51,10 +39,26 @@ def powers_mod(base: int, start: int, n: int, prime: int = PRIME) -> np.ndarray:
 
 
 def sums_mod(values: np.ndarray, prime: int = PRIME, first: int = 0) -> np.ndarray:
-    """Running sums modulo ``prime`` of values below it, from ``first`` on; up to 2**31 of them."""
-    high, low = np.cumsum(values >> _U(31)) % _U(prime), np.cumsum(values & _HALF) % _U(prime)
-    x = product_mod(high, np.full(len(high), 1 << 31, _U), prime) + low + _U(first)
-    return x % _U(prime)
+    """Running sums modulo ``prime`` of values below it, from ``first`` on; up to 2**30 of them."""
+    if prime != PRIME:
+        return (np.cumsum(values) + _U(first)) % _U(prime)
+    high, low = np.cumsum(values >> _U(31)), np.cumsum(values & _HALF)
+    high = ((high & _U((1 << 30) - 1)) << _U(31)) + (high >> _U(30))
+    return _folded(_folded(high) + _folded(low) + _U(first))
+
+
+#: A base of no meaning. Whoever fears texts made to collide gives another, see common.secret.
+BASE = 0x16A3_9F0B_5D2E_C871 % PRIME
+_STEP = 1 << 16
+_known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _grow(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse, at least ``n`` of each."""
+    if base not in _known or len(_known[base][0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        _known[base] = powers_mod(base, 0, size), powers_mod(pow(base, -1, PRIME), 0, size)
+    return _known[base]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -74,13 +78,30 @@ def byte_table(seed: int, lower: bool = False) -> np.ndarray:
     return table
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of values[start:end] for all pairs at once: differences of polynomial prefix sums."""
-    power, inverse = _grow(len(values) + 1)
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    """Hashes of values[start:end] for all pairs at once: differences of polynomial prefix sums modulo 2**61 - 1.
+
+    Two different runs of n values have the same hash for at most n of all bases, whatever they hold, so for a base that nobody
+    knows beforehand the chance is n in 2**61. Modulo a power of two there are runs that collide under every base.
+    """
+    power, inverse = _grow(len(values) + 1, base)
     sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * power[: len(values)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mixed(h ^ ((ends - starts).astype(_U) * _U(0x9FB21C651E98DF25)))
+    for lo in range(0, len(values), _STEP):  # blocks that stay in a processor's cache
+        hi = min(len(values), lo + _STEP)
+        sums[lo + 1 : hi + 1] = sums_mod(product_mod(_folded(values[lo:hi]), power[lo:hi]), first=int(sums[lo]))
+    out = np.empty(len(starts), _U)
+    for lo in range(0, len(starts), _STEP):
+        a, b = starts[lo : lo + _STEP], ends[lo : lo + _STEP]
+        h = product_mod(_folded(sums[b] + (_P - sums[a])), inverse[a])
+        out[lo : lo + _STEP] = mixed(h ^ ((b - a).astype(_U) * _U(0x9FB21C651E98DF25)))
+    return out
+
+
+def run_digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    """Keyed 64-bit BLAKE2 digests of raw[start:end]: what decides that runs are equal."""
+    view, make = memoryview(raw), hashlib.blake2b
+    found = [make(view[a:b], digest_size=8, key=key).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), _U)
 
 
 def chunks(texts: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
@@ -106,7 +127,7 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, edge[::2], edge[1::2]
 
 
-def word_hashes(raw: bytes, table: np.ndarray, segment: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(raw: bytes, table: np.ndarray, segment: int = 4_000_000, base: int = BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the words of ``raw``; a long text goes segment by segment, cut at white space."""
     out, at = [], 0
     while at < len(raw) or not out:
@@ -114,7 +135,7 @@ def word_hashes(raw: bytes, table: np.ndarray, segment: int = 4_000_000) -> tupl
         while end < len(raw) and raw[end] not in b" \t\n\x0b\x0c\r":
             end += 1
         buf, starts, ends = word_spans(raw[at:end])
-        out.append((starts + at, ends + at, run_hashes(table[buf], starts, ends)))
+        out.append((starts + at, ends + at, run_hashes(table[buf], starts, ends, base)))
         at = end + 1
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from . import window_repeats as wr
 from .anchors import Runs, anchor_runs, bucket_cuts, pack, unpack, unpack_all
-from .common import delete_path, shared_path
-from .ragged import byte_table, joined, run_hashes, word_hashes
+from .common import delete_path, hash_base, secret, shared_path
+from .ragged import BASE, byte_table, run_digests, word_hashes
 
 _TABLE = byte_table(7)
 _RUN = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
@@ -23,25 +23,27 @@ _RUN = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 _ENTRY = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32)
 
 
-def _words(parts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(the texts joined, hash of each word, offsets of the documents in words)."""
-    raw, starts = joined(parts)
-    begin, _, hashes = word_hashes(raw, _TABLE)
-    return raw, hashes, np.searchsorted(begin, starts)
+def _words(parts: list[bytes], base: int = BASE) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of all texts with a space between, start and end of each in it, hash of each, offsets of the documents in words)."""
+    split = [p.split() for p in parts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in split], dtype=np.int64)])
+    raw = b" ".join(w for x in split for w in x)
+    begin, end, hashes = word_hashes(raw, _TABLE, base=base)
+    return raw, begin, end, hashes, offsets
 
 
-def _load(table: pa.Table) -> wr.Shard:
+def _load(key: bytes, base: int, table: pa.Table) -> wr.Shard:
     ids, texts = wr.sorted_rows(table)
-    _, hashes, offsets = _words([(t or "").encode() for t in texts])
-    return wr.Shard(ids, texts, offsets, lambda a, b: hashes[a:b], hashes)
+    raw, begin, end, hashes, offsets = _words([(t or "").encode() for t in texts], base)
+    return wr.Shard(ids, texts, offsets, lambda a, b: hashes[a:b], raw, lambda a, b: run_digests(raw, begin[a], end[b - 1], key), base)
 
 
-def _entries(window: int, gram: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
+def _entries(load: Callable[[pa.Table], wr.Shard], window: int, gram: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     """Entries of a shard by bucket of the anchor: see FingerprintIndex."""
 
     def entries(table: pa.Table) -> pa.Table:
-        shard = _load(table)
-        e = wr.Entries.of(anchor_runs(shard.values, shard.offsets, window, gram))
+        shard = load(table)
+        e = wr.Entries.of(anchor_runs(shard.values, shard.offsets, window, gram, shard.digests, base=shard.base))
         own, cut = bucket_cuts(e.gram, buckets)
         number = np.full(len(e.gram), table.column("shard")[0].as_py(), np.uint32)
         columns = (e.gram, e.span, e.size.astype(np.uint32), number, np.arange(len(e.gram), dtype=np.uint32))
@@ -113,8 +115,8 @@ class FingerprintIndex:
     """Sorted immutable runs of fingerprints of all ``window``-word windows seen so far, in the folder ``path``.
 
     A fingerprint is the hash of a window's anchor. A run is a Parquet folder with one row for each bucket (an
-    equal range of hashes): entries ascending, each with its fingerprint, the hash of all words of the windows
-    around that anchor, how often the shard has both, the shard and the place in it. ``append`` merge-joins a
+    equal range of hashes): entries ascending, each with its fingerprint, a keyed digest of the words of the
+    windows around that anchor, how often the shard has both, the shard and the place in it. ``append`` merge-joins a
     batch with the runs before it, keeps what the join tells the shards of both sides, and adds the batch as one
     run; ``compact`` merges runs once there are ``fanout`` of them. Runs are never changed, only replaced.
 
@@ -125,6 +127,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int, window: int = 35, gram: int = 8, fanout: int = 2, shard_bytes: int = 2_000_000, most_spans: int = 20_000):
         self.spark, self.path, self.buckets, self.window, self.gram, self.fanout = spark, path, buckets, window, gram, fanout
         self.shard_bytes, self.most_spans = shard_bytes, most_spans
+        self.load = partial(_load, secret(spark), hash_base(spark))
         self.runs: list[str] = []
         self.batches: list[tuple[DataFrame, tuple[int, int]]] = []
         self.answers: list[str] = []
@@ -134,14 +137,14 @@ class FingerprintIndex:
         return self.batches[-1][1][1] if self.batches else 0
 
     def task(self) -> wr.Task:
-        return wr.Task(_load, self.window, self.gram, False, partial(_meet, self.window, self.buckets), _settle, _finish, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string", self.most_spans)
+        return wr.Task(self.load, self.window, self.gram, False, partial(_meet, self.window, self.buckets), _settle, _finish, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string", self.most_spans)
 
     def _numbered(self, docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, tuple[int, int]]:
         shards = wr.shard_count(docs, text, self.shard_bytes)
         return wr.numbered(docs, text, id_col, shards, self.shards), (self.shards, self.shards + shards)
 
     def _of(self, rows: DataFrame) -> DataFrame:
-        sent = wr.by_shard(rows).groupBy("shard").applyInArrow(_entries(self.window, self.gram, self.buckets), "bucket int, blob binary")
+        sent = wr.by_shard(rows).groupBy("shard").applyInArrow(_entries(self.load, self.window, self.gram, self.buckets), "bucket int, blob binary")
         return sent.groupBy("bucket").applyInArrow(_run, "bucket int, blob binary")
 
     def _matched(self, run: DataFrame, held: bool) -> DataFrame:
@@ -192,11 +195,11 @@ class FingerprintIndex:
 
 
 def _meet(window: int, buckets: int, shard: wr.Shard, runs: Runs, rep: np.ndarray, gram: np.ndarray, salts: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-    """Hashes of the whole windows of these runs, by bucket of the gram and, where it is hot, of the window's hash."""
+    """Digests of the words of these runs' windows, by bucket of the gram and, where it is hot, of the window's hash."""
     count = runs.count[rep]
     ends = np.cumsum(count)
     start = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(runs.first[rep], count)
-    hashes = run_hashes(shard.values(0, int(shard.offsets[-1])), start, start + window)
+    hashes = shard.digests(start, start + window)
     grams, most = np.repeat(gram, count), np.repeat(salts, count)
     salt = np.where(most > 1, 1 + (hashes % np.maximum(most, 1).astype(np.uint64)).astype(np.int64), 0)
     out = []
@@ -247,7 +250,7 @@ def remove_repeated_windows(docs: DataFrame, index: FingerprintIndex | None = No
     ``docs`` are compared with it and with each other. Without one, an index is built in the shared folder:
     each of ``batches`` parts is merge-joined with the parts before it, which removes on both sides, then appended.
     Windows whose anchor is in the index once are unique. Those around an anchor whose surroundings repeat go; others
-    that share an anchor are verified by hashes of all their words. Judged on the input.
+    that share an anchor are verified one by one. What is equal is told by keyed digests of the words themselves, never by the hashes that find anchors. Judged on the input.
     Result: the id, n_words, n_removed, spans (maximal removed runs of words), kept (words joined by one space).
 
     Null text has no words. Ids are integers; rows that repeat one are documents of their own, so

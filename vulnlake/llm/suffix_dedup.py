@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import window_repeats as wr
 from .anchors import Runs, bucket_cuts, pack, unpack
-from .ragged import byte_table, run_hashes
+from .common import hash_base, secret
+from .ragged import byte_table, run_digests, run_hashes
 
 _TABLE = byte_table(11)
 
@@ -85,12 +86,13 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, separator: int = 0) -> np.
     return out
 
 
-def _load(table: pa.Table) -> wr.Shard:
+def _load(key: bytes, base: int, table: pa.Table) -> wr.Shard:
     ids, texts = wr.sorted_rows(table)
     parts = [(t or "").encode() for t in texts]
-    raw = np.frombuffer(b"".join(parts), np.uint8)
+    whole = b"".join(parts)
+    raw = np.frombuffer(whole, np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
-    return wr.Shard(ids, texts, offsets, lambda a, b: _TABLE[raw[a:b]], raw)
+    return wr.Shard(ids, texts, offsets, lambda a, b: _TABLE[raw[a:b]], raw, lambda a, b: run_digests(whole, a, b, key), base)
 
 
 def _meet(window: int, buckets: int, shard: wr.Shard, runs: Runs, rep: np.ndarray, gram: np.ndarray, salts: np.ndarray) -> list[tuple[int, int, int, bytes]]:
@@ -231,7 +233,8 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", id_col: str = "do
     shards = wr.shard_count(docs, text, shard_bytes)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(n, shards)
-    task = wr.Task(_load, window, gram, True, partial(_meet, window, buckets), partial(_settle, window), _finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", most_spans)
+    load = partial(_load, secret(docs.sparkSession), hash_base(docs.sparkSession))
+    task = wr.Task(load, window, gram, True, partial(_meet, window, buckets), partial(_settle, window), _finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", most_spans)
     join = lambda settled: settled.groupBy("bucket", "salt", F.when(F.col("bucket") == 1, F.col("shard")).alias("to")).applyInArrow(lambda table: _merge(window, table), wr.SPARE)
     out = wr.remove_windows(wr.dealt(docs, text, id_col, shards), task, buckets, merge=join)
     return out.withColumnRenamed("doc_id", id_col)
