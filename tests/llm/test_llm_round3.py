@@ -310,3 +310,80 @@ def test_a_secret_changes_no_result(spark):
         assert run() == before
     finally:
         spark.conf.unset("spark.vulnlake.secret")
+
+
+# --- names, sources and ids ---------------------------------------------------------------------------------
+
+
+def test_columns_of_any_name_stay(spark):
+    from vulnlake.llm import langid, licenses, mixing
+    from vulnlake.llm.exact_dedup import exact_dedup
+
+    names = ["text_", "norm", "_norm", "hash", "begin", "hot", "salt", "at", "least", "copies", "whole", "count", "is_null", "name", "key", "bucket", "own", "plan", "found", "before", "part", "time", "__h", "__text", "__null", "__p", "__l"]
+    docs = spark.createDataFrame([(1, "a  b", "s"), (2, "a b", None), (3, None, "s")], "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    right = lambda df: {tuple(r) for r in df.select(*names).distinct().collect()} == {tuple(names)}
+    for with_text in (False, True):
+        out = exact_dedup(docs, with_text=with_text)
+        assert right(out) and {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()} == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True)}
+    out = mixing.mix(docs)
+    assert right(out) and sum(r.taken for r in out.collect()) >= 3
+    assert right(mixing.mixed_documents(docs))
+    assert right(licenses.scan_licenses(docs)) and right(langid.identify(docs, {"en": b"a b c"}))
+
+
+def test_very_many_sources(spark):
+    """100,000 sources: targets add up, none is above its cap, and the order of names decides the weights."""
+    import time
+
+    from vulnlake.llm import mixing
+
+    n = 100_000
+    totals = spark.range(n).select(F.lit(0).alias("is_null"), F.md5(F.col("id").cast("string")).alias("name"), (F.col("id") % 97).alias("source_size"))
+    began = time.time()
+    rows = mixing.source_targets(totals).orderBy("is_null", "name").collect()
+    assert time.time() - began < 60
+    size = [r.source_size for r in rows]
+    weight = [i % 3 + 1 for i in range(n)]
+    # the level by bisection: sum of min(cap, level * weight) = sum of sizes
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * s, level * w) for s, w in zip(size, weight, strict=True)) < sum(size) else (low, level)
+    assert all(abs(r.target - min(3 * s, low * w)) < 1e-6 for r, s, w in zip(rows, size, weight, strict=True))
+
+
+def test_successors_of_scattered_ids(spark):
+    from vulnlake.llm.fingerprints import successors
+
+    rng = random.Random(1)
+    ids = sorted({rng.randrange(-(2**62), 2**62) for _ in range(20_000)} | {-(2**63), 2**63 - 1, 0, 1})
+    df = spark.createDataFrame([(i,) for i in ids] * 1 + [(ids[5],)], "k long")
+    got = dict(map(tuple, successors(df, "k").collect()))
+    assert got == dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    assert successors(df.limit(0), "k").count() == 0 and [tuple(r) for r in successors(df.limit(1), "k").collect()] == [(ids[0], ids[0])]
+
+
+def test_texts_longer_than_a_segment(spark):
+    """One text of 1.2 million words or bytes beside short ones: ways that change behind a segment give the same results."""
+    from vulnlake.llm import fingerprints, mixing, near_dedup, suffix_dedup
+    from vulnlake.llm.exact_dedup import exact_dedup
+    from vulnlake.llm.substring_dedup import remove_repeated_windows
+
+    n = 1_200_000
+    words = [f"{i:x}" for i in range(n)]
+    words[n - 40 : n - 5] = words[999_980:1_000_015]  # a window across the border of a segment, again near the end
+    long = " ".join(words)
+    docs = spark.createDataFrame([(1, long), (2, long[:-4] + "ffff"), (3, "short one"), (4, " ".join(words[999_990:1_000_030]))], "doc_id long, text string").repartition(4).cache()
+    got = {r.doc_id: r.n_removed for r in remove_repeated_windows(docs.where("doc_id in (1, 3, 4)")).collect()}
+    inside = sum(999_990 <= i < 1_000_030 for i in range(999_980, 1_000_030))
+    assert got[1] >= 70 and got[4] == inside and got[3] == 0
+    pair = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dedup.near_duplicates(docs, words=4).select("doc_id", "component_id", "n_shingles").collect()}
+    assert pair[1][0] == pair[2][0] == 1 and pair[3] == (3, 1) and pair[1][1] == len({tuple(words[i : i + 4]) for i in range(n - 3)})
+    cut = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeated_bytes(docs.where("doc_id < 4")).collect()}
+    assert cut[3] == 0 and cut[2] >= len(long) - 300
+    sizes = {r.doc_id: r.size for r in mixing.mix(docs.withColumn("source", F.lit("s"))).collect()}
+    assert sizes[1] == n and sizes[3] == 2
+    assert {r.doc_id: r.kept for r in exact_dedup(docs).collect()} == {i: True for i in range(1, 5)}
+    near = {r.doc_id: r.n_chars for r in fingerprints.neighbour_fingerprints(docs).select("doc_id", "n_chars").collect()}
+    assert near[1] == len(long)

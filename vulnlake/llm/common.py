@@ -6,7 +6,7 @@ import hashlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ragged import PRIME
@@ -68,6 +68,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running_sums(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """``rows`` plus, for each name in ``sums``, the sum of that column over all rows before, in the order of ``order``.
+
+    Rows are cut into ranges, which are staged so that their borders stay; sums run inside each range, and over one row for each range for those before it.
+    """
+    (part,) = free_names(rows, "part")
+    dealt = stage(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    names = free_names(dealt, *(f"before_{n}" for n in sums))
+    totals = dealt.groupBy(part).agg(*(F.sum(c).alias(n) for n, c in zip(names, sums.values(), strict=True)))
+    totals = totals.select(part, *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in names))
+    out = dealt.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items())).join(F.broadcast(totals), part)
+    return out.select(*rows.columns, *((F.col(n) + F.col(b)).alias(n) for n, b in zip(sums, names, strict=True)))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own)

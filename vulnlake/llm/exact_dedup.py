@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 
 def normalised(text: Column) -> Column:
     """Null as empty; every run of ASCII white space as one space.
@@ -31,31 +33,35 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hot
     An empty table gives an empty result; columns named like a result are replaced.
     """
     names = ("keep_id", "group_size", "kept", "text_sha256")
-    rest = [c for c in docs.columns if c != text and c not in names]
-    rows = docs.select(*rest, F.col(text).alias("__text"), normalised(F.col(text)).alias("__norm"))
-    rows = rows.select(*rest, "__text", "__norm", F.xxhash64("__norm").alias("__h"), F.substring("__norm", 1, prefix).alias("__begin"))
+    rest = [c for c in docs.columns if c != text and c.lower() not in names]
+    kept_rest = docs.select(*rest)
+    own = free_names(kept_rest, *names, "text", "norm", "hash", "begin", "hot", "salt", "at", "least", "copies")
+    raw, normal, hashed, begin, is_hot, salted, at, least, copies = own[4:]
+    sha = own[3]
+    rows = docs.select(*rest, F.col(text).alias(raw), normalised(F.col(text)).alias(normal))
+    rows = rows.select(*rest, raw, normal, F.xxhash64(normal).alias(hashed), F.substring(normal, 1, prefix).alias(begin))
     if with_text:  # the normalised text travels beside the text where they differ
-        rows = rows.withColumn("__norm", F.when(F.col("__text").isNull() | (F.col("__norm") != F.col("__text")), F.col("__norm")))
-    norm = F.coalesce("__norm", "__text") if with_text else F.col("__norm")
-    bodies = ["__text", "__norm"] if with_text else ["__norm"]
+        rows = rows.withColumn(normal, F.when(F.col(raw).isNull() | (F.col(normal) != F.col(raw)), F.col(normal)))
+    norm = F.coalesce(normal, raw) if with_text else F.col(normal)
+    bodies = [raw, normal] if with_text else [normal]
     limit = max(hot_rows, docs.count() // hot_share)
-    hot = rows.groupBy("__h").count().where(F.col("count") > limit).select("__h", F.lit(True).alias("__hot"))
-    marked = rows.join(F.broadcast(hot), "__h", "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(id_col), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    keys = ["__begin", "__h", "__salt"]
-    dealt = marked.select(*rest, *bodies, "__hot", "__begin", "__h", salt.alias("__salt")).repartitionByRange(*keys)
+    hot = rows.groupBy(hashed).count().where(F.col("count") > limit).select(hashed, F.lit(True).alias(is_hot))
+    marked = rows.join(F.broadcast(hot), hashed, "left").withColumn(is_hot, F.coalesce(is_hot, F.lit(False)))
+    salt = F.when(F.col(is_hot), F.pmod(F.xxhash64(id_col), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    keys = [begin, hashed, salted]
+    dealt = marked.select(*rest, *bodies, is_hot, begin, hashed, salt.alias(salted)).repartitionByRange(*keys)
     run = Window.partitionBy(*keys, norm).orderBy(F.col(id_col).asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = dealt.select(
-        *rest, *bodies, "__hot", F.sha2(norm, 256).alias("text_sha256"), F.first(id_col).over(whole).alias("keep_id"),
-        F.count(F.lit(1)).over(whole).alias("group_size"), F.row_number().over(run).alias("__at"),
+        *rest, *bodies, is_hot, F.sha2(norm, 256).alias(sha), F.first(id_col).over(whole).alias("keep_id"),
+        F.count(F.lit(1)).over(whole).alias("group_size"), F.row_number().over(run).alias(at),
     )
     # Salted runs of a hot text: one row for each text after pre-aggregation, hot_share of them at most.
     merged = (
-        marked.where("__hot").groupBy(norm.alias("__whole")).agg(F.min(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size"))
-        .select(F.coalesce(F.sha2("__whole", 256), F.lit("")).alias("text_sha256"), "__keep", "__size")
+        marked.where(is_hot).groupBy(norm.alias("whole")).agg(F.min(id_col).alias(least), F.count(F.lit(1)).alias(copies))
+        .select(F.coalesce(F.sha2("whole", 256), F.lit("")).alias(sha), least, copies)
     )
-    out = runs.join(F.broadcast(merged), "text_sha256", "left")
-    keep, size = F.when(F.col("__hot"), F.col("__keep")).otherwise(F.col("keep_id")), F.coalesce("__size", "group_size")
-    first = (F.col("__at") == 1) & F.col(id_col).eqNullSafe(keep)
-    return out.select(*rest, *[F.col("__text").alias(text)] * with_text, keep.alias("keep_id"), size.alias("group_size"), first.alias("kept"), "text_sha256")
+    out = runs.join(F.broadcast(merged), sha, "left")
+    keep, size = F.when(F.col(is_hot), F.col(least)).otherwise(F.col("keep_id")), F.coalesce(copies, "group_size")
+    first = (F.col(at) == 1) & F.col(id_col).eqNullSafe(keep)
+    return out.select(*rest, *[F.col(raw).alias(text)] * with_text, keep.alias("keep_id"), size.alias("group_size"), first.alias("kept"), sha)

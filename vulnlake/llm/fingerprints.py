@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, stage
 
 #: Smallest 64-bit hash, where the uniform scale of hash values starts.
 _LOW = -(2**63)
@@ -81,25 +81,19 @@ def encoded(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.hex(h)), ",")
 
 
-def successors(ids: DataFrame, key: str, width: int = 4096) -> DataFrame:
-    """(key, next_key) for distinct integer keys, in ascending order; after the largest comes the smallest.
+def successors(ids: DataFrame, key: str) -> DataFrame:
+    """(key, next_key) for distinct keys, in ascending order; after the largest comes the smallest.
 
-    Keys are cut into ranges of ``width`` values, so no task sorts more than that many; the smallest
-    key of each range links the ranges through a second level of ranges and so on up.
+    Keys are cut into ranges by sampled splitters, however they are spread, and staged, so that the borders stay. A window inside each range
+    gives the next key; the last of a range goes to the first of the next one, over one row for each range.
     """
-    ids = ids.select(key).distinct()
-    bucket = F.floor(F.col(key) / width)
-    rows = ids.withColumn("__b", bucket)
-    inner = rows.withColumn("__next", F.lead(key).over(Window.partitionBy("__b").orderBy(key)))
-    heads = rows.groupBy("__b").agg(F.min(key).alias("__head"))
-    over = heads.withColumn("__bb", F.floor(F.col("__b") / width))
-    within = over.withColumn("__after", F.lead("__head").over(Window.partitionBy("__bb").orderBy("__b")))
-    # One row for width * width values of the key: 16.7 million ids a row, so few rows in one task whatever the input.
-    tops = over.groupBy("__bb").agg(F.min("__head").alias("__top"))
-    order = Window.orderBy("__bb")
-    tops = tops.select("__bb", F.coalesce(F.lead("__top").over(order), F.first("__top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__far"))
-    links = within.join(tops, "__bb").select("__b", F.coalesce("__after", "__far").alias("__link"))
-    return inner.join(links, "__b").select(key, F.coalesce("__next", "__link").alias("next_key"))
+    dealt = stage(ids.select(F.col(key).alias("k")).distinct().repartitionByRange("k").withColumn("part", F.spark_partition_id()), "keys")
+    inner = dealt.withColumn("next", F.lead("k").over(Window.partitionBy("part").orderBy("k")))
+    heads = dealt.groupBy("part").agg(F.min("k").alias("head"))
+    order = Window.orderBy("part")
+    first = F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select("part", F.coalesce(F.lead("head").over(order), first).alias("link"))
+    return inner.join(F.broadcast(heads), "part").select(F.col("k").alias(key), F.coalesce("next", "link").alias("next_key"))
 
 
 def neighbour_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 128, words: int = 5) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 #: No label: the text is null or has no letter.
 UNDETERMINED = "und"
 
@@ -106,5 +108,6 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
         for batch in batches:
             yield pd.DataFrame([model.predict(t) for t in batch], columns=["lang_pred", "score", "rejected"])
 
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected", "__p")]
-    return docs.withColumn("__p", predict(F.col(text))).select(*rest, "__p.*")
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    (found,) = free_names(docs, "found")
+    return docs.withColumn(found, predict(F.col(text))).select(*rest, f"{found}.*")

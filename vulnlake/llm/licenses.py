@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 #: Phrases and the labels that they give.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -310,5 +312,6 @@ def scan_licenses(docs: DataFrame, text: str = "text", phrases: dict[str, str] |
             out = pd.DataFrame([scanner.scan(t) for t in batch], columns=names)
             yield out.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    rest = [c for c in docs.columns if c not in {c.split()[0] for c in _RESULT.split(", ")} and c != "__l"]
-    return docs.withColumn("__l", scan(F.col(text))).select(*rest, "__l.*")
+    rest = [c for c in docs.columns if c not in {c.split()[0] for c in _RESULT.split(", ")}]
+    (found,) = free_names(docs, "found")
+    return docs.withColumn(found, scan(F.col(text))).select(*rest, f"{found}.*")

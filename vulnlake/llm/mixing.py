@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, free_names, running_sums
 
 
 def word_count(text: Column) -> Column:
@@ -13,28 +13,24 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
-    """Word targets for sources, from (__null, __source, source_size) with one row for each source.
+    """(is_null, name, source_size, target): word targets for sources, from (is_null, name, source_size) with one row for each.
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share the sum of all sizes.
     A target stops at ``max_epochs`` times its source; the excess is shared again by weight. Sources
     reach their cap in ascending order of cap / weight, so the level at which resharing ends follows
-    from running sums over that order. Works on one row for each source.
+    from running sums over that order. Both orders are cut into ranges, so there may be any number of sources.
     """
-    place = Window.orderBy("__null", "__source")
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(place) - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = totals.withColumn("__w", w.cast("long")).withColumn("__cap", F.col("source_size") * max_epochs)
-    by_ratio = Window.orderBy(F.col("__cap") / F.col("__w"), "__null", "__source")
-    every = Window.partitionBy()
-    rows = rows.select(
-        "*", F.sum("source_size").over(every).alias("__all"),
-        (F.sum("__cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__cap")).alias("__capped"),
-        F.sum("__w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)).alias("__left"),
-    )
-    fits = (F.col("__all") - F.col("__capped")) * F.col("__w") <= F.col("__cap") * F.col("__left")
-    level = F.min(F.when(fits, F.struct(F.col("__capped"), F.col("__left")))).over(every)
-    rows = rows.withColumn("__level", level)
-    share = ((F.col("__all") - F.col("__level.__capped")) * F.col("__w")).cast("double") / F.col("__level.__left")
-    return rows.select("__null", "__source", "source_size", F.least(F.col("__cap").cast("double"), share).alias("target"))
+    nth = running_sums(totals.withColumn("one", F.lit(1)), ["is_null", "name"], {"place": "one"})
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    rows = nth.select("is_null", "name", "source_size", w.alias("w"), (F.col("source_size") * max_epochs).alias("cap"))
+    rows = running_sums(rows.withColumn("ratio", F.col("cap") / F.col("w")), ["ratio", "is_null", "name"], {"capped": "cap", "passed": "w"})
+    whole = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    left = F.lit(whole.w) - F.col("passed")
+    fits = (F.lit(whole.size) - F.col("capped")) * F.col("w") <= F.col("cap") * left
+    level = rows.where(fits).agg(F.min(F.struct("capped", left.alias("left"))).alias("level")).first().level
+    at = (level.capped, level.left) if level else (0, 1)
+    share = (F.lit(whole.size - at[0]) * F.col("w")).cast("double") / F.lit(at[1])
+    return rows.select("is_null", "name", "source_size", F.least(F.col("cap").cast("double"), share).alias("target"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", buckets: int = 4096) -> DataFrame:
@@ -47,29 +43,31 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     the source is cut at floor(target): full epochs are taken of all, the rest in key order. The
     document on the cut is taken in part.
 
-    Result: all columns of ``docs`` plus size, source_size, target, taken. Null text has size 0; null
+    Result: all columns of ``docs`` plus size, source_size, target, taken. Null text has size 0, a very long one is counted to its end; null
     is a source of its own; repeated rows are documents of their own (ties by id, then size). An empty
-    table gives an empty result; columns named like a result are replaced.
+    table gives an empty result; columns named like a result are replaced, others are kept whatever their names.
     """
     names = ("size", "source_size", "target", "taken")
     rest = [c for c in docs.columns if c not in names]
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    bucket = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int")
-    base = (
-        docs.select(*rest, word_count(F.col(text)).alias("size"), F.isnull(source).cast("int").alias("__null"), F.coalesce(source, F.lit("")).alias("__source"), key.alias("__key"))
-        .withColumn("__bucket", bucket)
-    )
-    ranges = base.groupBy("__null", "__source", "__bucket").agg(F.sum("size").alias("__words"))
-    targets = source_targets(ranges.groupBy("__null", "__source").agg(F.sum("__words").alias("source_size")), weights, max_epochs)
-    before = Window.partitionBy("__null", "__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("__before", F.coalesce(F.sum("__words").over(before), F.lit(0))).drop("__words").join(targets, ["__null", "__source"])
-    inside = Window.partitionBy("__null", "__source", "__bucket").orderBy("__key", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = base.withColumn("__own", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, ["__null", "__source", "__bucket"])
+    taken = docs.select(*rest)
+    null, name, key, bucket, size, own = free_names(taken, "is_null", "name", "key", "bucket", "size", "own")
+    of = [null, name, bucket]
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    base = docs.select(*rest, word_count(F.col(text)).alias(size), F.isnull(source).cast("int").alias(null), F.coalesce(source, F.lit("")).alias(name), hashed.alias(key))
+    base = base.withColumn(bucket, F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int"))
+    ranges = base.groupBy(F.col(null).alias("is_null"), F.col(name).alias("name"), F.col(bucket).alias("bucket")).agg(F.sum(size).alias("words"))
+    targets = source_targets(ranges.groupBy("is_null", "name").agg(F.sum("words").alias("source_size")), weights, max_epochs)
+    before = Window.partitionBy("is_null", "name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(targets, ["is_null", "name"])
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rows = rows.withColumn("__epochs", epochs).withColumn("__cut", budget - F.col("__epochs") * F.col("source_size"))
-    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("__cut") - F.col("__before") - F.col("__own")))
-    return rows.select(*rest, "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"))
+    plan = F.struct("source_size", "target", "before", epochs.alias("epochs"), (budget - epochs * F.col("source_size")).alias("cut"))
+    inside = Window.partitionBy(*of).orderBy(key, id_col, size).rowsBetween(Window.unboundedPreceding, -1)
+    (p,) = free_names(base.withColumn(own, F.lit(0)), "plan")
+    ranges = ranges.select(F.col("is_null").alias(null), F.col("name").alias(name), F.col("bucket").alias(bucket), plan.alias(p))
+    rows = base.withColumn(own, F.coalesce(F.sum(size).over(inside), F.lit(0))).join(ranges, of)
+    part = F.least(F.col(size), F.greatest(F.lit(0), F.col(p)["cut"] - F.col(p)["before"] - F.col(own)))
+    return rows.select(*rest, F.col(size).alias("size"), F.col(p)["source_size"].alias("source_size"), F.col(p)["target"].alias("target"), (F.col(p)["epochs"] * F.col(size) + part).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -80,4 +78,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     rows = mix(docs, **options).where("taken > 0")
     times = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    return rows.withColumn("__time", F.explode(times)).select(*docs.columns)
+    (time,) = free_names(rows, "time")
+    return rows.withColumn(time, F.explode(times)).select(*docs.columns)
