@@ -44,37 +44,42 @@ def trim(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
 
+_MATCH = "at:int,line:int,column:int,hit:string,arg:string,after:string"
+
+
+def _moved(line: Column, column: Column, text: Column) -> tuple[Column, Column]:
+    """Line and column behind ``text`` that begins at ``line`` and ``column``."""
+    breaks = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+    last = F.char_length(F.substring_index(text, "\n", -1))
+    return line + breaks, F.when(breaks > 0, last + 1).otherwise(column + last)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<at, hit, arg>> of all matches from left to right: 0-based place, the match, one of its groups.
+    """array<struct<at, line, column, hit, arg, after>> of all matches from left to right: 0-based place, 1-based line and column,
+    the match, one of its groups, and what follows up to the next match.
 
-    A place is what the gaps and matches before it add up to, in one fold.
+    Places, lines and columns are what the gaps and matches before add up to: one fold looks at each character of the text a fixed number of times.
     """
     rx = F.lit(ascii_borders(pattern))
     args = [F.regexp_extract_all(text, rx, F.lit(group)).alias("arg")] if group else []
-    parts = F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(0)).alias("hit"), F.split(text, ascii_borders(pattern), -1).alias("gap"), *args)
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,hit:string,arg:string>>").alias("out"))
+    gaps = F.split(text, ascii_borders(pattern), -1)
+    parts = F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(0)).alias("hit"), gaps.alias("gap"), F.slice(gaps, 2, 2**30).alias("after"), *args)
+    start = F.struct(F.lit(0).alias("end"), F.lit(1).alias("line"), F.lit(1).alias("column"), F.array().cast(f"array<struct<{_MATCH}>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        at = s["end"] + F.char_length(x["gap"])
-        found = F.struct(at.alias("at"), x["hit"].alias("hit"), (x["arg"] if group else x["hit"]).alias("arg"))
-        return F.struct((at + F.char_length(x["hit"])).alias("end"), F.array_append(s["out"], found).alias("out"))
+        at, (line, column) = s["end"] + F.char_length(x["gap"]), _moved(s["line"], s["column"], x["gap"])
+        arg = x["arg"] if group else x["hit"]
+        found = F.struct(at.alias("at"), line.alias("line"), column.alias("column"), x["hit"].alias("hit"), arg.alias("arg"), x["after"].alias("after"))
+        below, right = _moved(line, column, x["hit"])
+        return F.struct((at + F.char_length(x["hit"])).alias("end"), below.alias("line"), right.alias("column"), F.array_append(s["out"], found).alias("out"))
 
     return F.aggregate(F.filter(parts, lambda x: x["hit"].isNotNull()), start, step, lambda s: s["out"])
 
 
-def line_of(code: Column, at: Column) -> Column:
-    """1-based line of a 0-based place."""
-    return F.size(F.split(F.substring(code, F.lit(1), at), "\n", -1))
-
-
-def column_of(code: Column, at: Column) -> Column:
-    """1-based column of a 0-based place."""
-    return F.char_length(F.element_at(F.split(F.substring(code, F.lit(1), at), "\n", -1), -1)) + 1
-
-
 def top_level_args(text: Column) -> Column:
     """Arguments between commas outside quotes and brackets, trimmed; an empty last one is dropped."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit("").alias("last"), F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit("").alias("last"), F.lit(1).alias("at"), F.lit(1).alias("begin"), F.array().cast("array<string>").alias("done"))
+    cut_out = lambda s: trim(F.substring(text, s["begin"], s["at"] - s["begin"]))
 
     def step(s: Column, c: Column) -> Column:
         quoting = (s["quote"] == c) & (s["last"] != "\\")
@@ -83,11 +88,11 @@ def top_level_args(text: Column) -> Column:
         depth = s["depth"] + F.when(plain & c.isin("(", "[", "{"), 1).when(plain & c.isin(")", "]", "}"), -1).otherwise(0)
         cut = plain & (c == ",") & (s["depth"] == 0)
         return F.struct(
-            depth.alias("depth"), F.when(quoting, "").when(opening, c).otherwise(s["quote"]).alias("quote"), c.alias("last"),
-            F.when(cut, "").otherwise(F.concat(s["now"], c)).alias("now"), F.when(cut, F.array_append(s["done"], trim(s["now"]))).otherwise(s["done"]).alias("done"),
+            depth.alias("depth"), F.when(quoting, "").when(opening, c).otherwise(s["quote"]).alias("quote"), c.alias("last"), (s["at"] + 1).alias("at"),
+            F.when(cut, s["at"] + 1).otherwise(s["begin"]).alias("begin"), F.when(cut, F.array_append(s["done"], cut_out(s))).otherwise(s["done"]).alias("done"),
         )
 
-    finish = lambda s: F.when(trim(s["now"]) != "", F.array_append(s["done"], trim(s["now"]))).otherwise(s["done"])
+    finish = lambda s: F.when(cut_out(s) != "", F.array_append(s["done"], cut_out(s))).otherwise(s["done"])
     return F.aggregate(F.split(text, ""), start, step, finish)
 
 

@@ -30,8 +30,14 @@ class Pattern:
 
 
 def _plain_argument(code: Column, match: Column, end: Column) -> Column:
-    """The call goes on with a list or with a quoted prefix."""
-    return F.regexp_like(F.substring(code, end + 1, F.lit(2**30)), F.lit(r"""^\s*(\[|["'][^"']*["'])"""))
+    """The call goes on with a list or with a quoted prefix.
+
+    What follows up to the next match tells that nearly always; only a quotation that is still open there needs the rest of the text.
+    """
+    near, rest = match["after"], F.substring(code, end + 1, F.lit(2**30))
+    open_quote = F.regexp_like(near, F.lit(r"""^\s*["'][^"']*$"""))
+    plain = r"""^\s*(\[|["'][^"']*["'])"""
+    return F.regexp_like(near, F.lit(plain)) | (open_quote & F.regexp_like(F.when(open_quote, rest), F.lit(plain)))
 
 
 def _literal_source(code: Column, match: Column, end: Column) -> Column:
@@ -141,7 +147,7 @@ def _kept(code: Column, p: Pattern, order: int) -> Column:
 
     def row(m: Column, i: Column) -> Column:
         safe = p.unless(code, m, m["at"] + F.char_length(m["hit"])) if p.unless else F.lit(False)
-        return F.struct(safe.alias("safe"), _raw(order, p.rule, p.cwe, p.severity, p.message, T.line_of(code, m["at"]), T.column_of(code, m["at"]), m["hit"], i).alias("raw"))
+        return F.struct(safe.alias("safe"), _raw(order, p.rule, p.cwe, p.severity, p.message, m["line"], m["column"], m["hit"], i).alias("raw"))
 
     return F.transform(F.filter(F.transform(T.matches(code, p.regex), row), lambda x: ~x["safe"]), lambda x: x["raw"])
 
@@ -191,13 +197,13 @@ def _sql_calls(order: int, python: bool) -> Column:
     def last(m: Column, args: Column) -> Column:
         """Backward as-of: of the assignments to ``args`` before the call the last, cut where the call begins."""
         own = F.filter("assigns", lambda a: (a["name"] == args) & (a["at"] < m["at"]))
-        cut = F.transform(own, lambda a: F.struct(a["at"].alias("at"), F.substring(a["hit"], F.lit(1), m["at"] - a["at"]).alias("hit")))
+        cut = F.transform(own, lambda a: F.struct(a["at"].alias("at"), a["line"].alias("line"), a["column"].alias("column"), F.substring(a["hit"], F.lit(1), m["at"] - a["at"]).alias("hit")))
         return F.try_element_at(F.filter(cut, lambda a: a["hit"].rlike(r"=\s*" + ("[^\n]" if python else "[^;\n]"))), F.lit(-1))
 
     def paired(m: Column, i: Column) -> Column:
         args = T.trim(m["arg"])
         parts = T.top_level_args(args) if python else F.array().cast("array<string>")
-        return F.struct(m["at"].alias("at"), m["hit"].alias("hit"), i.alias("i"), args.alias("args"), parts.alias("parts"), F.when(T.is_name(args), last(m, args)).alias("last"))
+        return F.struct(m["line"].alias("line"), m["column"].alias("column"), m["hit"].alias("hit"), i.alias("i"), args.alias("args"), parts.alias("parts"), F.when(T.is_name(args), last(m, args)).alias("last"))
 
     def verdict(x: Column) -> Column:
         args, before, value = x["args"], x["last"], F.regexp_extract(x["last"]["hit"], r"=\s*([\s\S]*)$", 1)
@@ -208,9 +214,9 @@ def _sql_calls(order: int, python: bool) -> Column:
         inline = _dangerous_sql(args, python)
         variable = before.isNotNull() & _dangerous_sql(value, python)
         message = F.when(inline, F.lit(INLINE_SQL_MESSAGE)).otherwise(F.format_string(VARIABLE_SQL_MESSAGE, args))
-        at = F.when(inline, x["at"]).otherwise(before["at"])
+        line, column = (F.when(inline, x[c]).otherwise(before[c]) for c in ("line", "column"))
         rule = F.when(inline, F.lit("python-sqli-inline" if python else "java-sqli-inline")).otherwise(F.lit("python-sqli-variable" if python else "java-sqli-variable"))
-        found = _raw(order, rule, "CWE-89", "high", message, T.line_of(F.col("code"), at), T.column_of(F.col("code"), at), F.when(inline, x["hit"]).otherwise(before["hit"]), x["i"])
+        found = _raw(order, rule, "CWE-89", "high", message, line, column, F.when(inline, x["hit"]).otherwise(before["hit"]), x["i"])
         return F.when(~F.coalesce(safe, F.lit(False)) & (inline | variable), found)
 
     return F.transform(F.transform("calls", paired), verdict)
@@ -221,7 +227,7 @@ def sql_injection(corpus: DataFrame, first_order: int) -> DataFrame:
     code, python = F.col("code"), F.col("language") == "python"
     calls = F.when(python, T.matches(code, r"\b[a-zA-Z_][a-zA-Z0-9_]*\.execute\s*\(([\s\S]*?)\)", 1)).otherwise(T.matches(code, r"\b[a-zA-Z_][a-zA-Z0-9_]*\.(?:executeQuery|executeUpdate|execute)\s*\(([\s\S]*?)\)", 1))
     assigns = F.when(python, T.matches(code, r"\b[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*[^\n]+")).otherwise(T.matches(code, r"(?:String\s+)?\b[a-zA-Z_][a-zA-Z0-9_]*\b\s*=\s*[^;\n]+"))
-    named = F.transform(assigns, lambda a: F.struct(a["at"].alias("at"), a["hit"].alias("hit"), F.regexp_extract(a["hit"], r"^(?:String\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\s*=", 1).alias("name")))
+    named = F.transform(assigns, lambda a: F.struct(a["at"].alias("at"), a["line"].alias("line"), a["column"].alias("column"), a["hit"].alias("hit"), F.regexp_extract(a["hit"], r"^(?:String\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\s*=", 1).alias("name")))
     rows = corpus.where(F.col("language").isin("python", "java")).select("file", "code", "language", calls.alias("calls"))
     rows = rows.where(F.size("calls") > 0).select("*", named.alias("assigns"))
     found = F.when(python, _sql_calls(first_order, True)).otherwise(_sql_calls(first_order, False))
@@ -273,11 +279,11 @@ def _python_paths(order: int) -> Column:
 
 
 def _java_paths(order: int) -> Column:
-    calls = F.transform(F.flatten(F.array(*[T.matches(F.col("code"), p, 1) for p in JAVA_PATH_SINKS])), lambda m, i: F.struct(m["at"].alias("at"), m["hit"].alias("hit"), T.trim(m["arg"]).alias("arg"), i.alias("i")))
+    calls = F.transform(F.flatten(F.array(*[T.matches(F.col("code"), p, 1) for p in JAVA_PATH_SINKS])), lambda m, i: F.struct(m["line"].alias("line"), m["column"].alias("column"), m["hit"].alias("hit"), T.trim(m["arg"]).alias("arg"), i.alias("i")))
 
     def judged(m: Column) -> Column:
         safe, bad = _path_verdict(m["arg"], False)
-        found = _raw(order, "path-traversal", "CWE-22", "high", JAVA_PATH_MESSAGE, T.line_of(F.col("code"), m["at"]), T.column_of(F.col("code"), m["at"]), m["hit"], m["i"])
+        found = _raw(order, "path-traversal", "CWE-22", "high", JAVA_PATH_MESSAGE, m["line"], m["column"], m["hit"], m["i"])
         return F.when((m["arg"] != "") & ~safe & bad, found)
 
     return F.transform(calls, judged)

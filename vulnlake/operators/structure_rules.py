@@ -58,7 +58,7 @@ TITLES = {
     "CWE-22": "Path Traversal", "CWE-78": "OS Command Injection", "CWE-89": "SQL Injection", "CWE-190": "Integer Overflow", "CWE-416": "Use After Free", "CWE-787": "Out-of-bounds Write",
     "CWE-327": "Use of Broken Cryptographic Algorithm", "CWE-328": "Use of Weak Hash", "CWE-259": "Use of Hard-coded Password", "CWE-321": "Use of Hard-coded Cryptographic Key",
 }
-_HIT = "array<struct<rule:int,cwe:string,ruleId:string,severity:string,message:string,at:int,evidence:string>>"
+_HIT = "array<struct<rule:int,cwe:string,ruleId:string,severity:string,message:string,at:bigint,evidence:string>>"
 
 
 def _sorted_names(*arrays: Column) -> Column:
@@ -277,11 +277,9 @@ def analyze_structure(corpus: DataFrame, compat: bool = False) -> DataFrame:
     """
     rows = unsafe_queries(tainted(facts(corpus, compat), compat))
     hits = F.when(F.col("grammar") == "python", F.flatten(F.array(*_python()))).when(F.col("grammar") == "java", F.flatten(F.array(*_java()))).otherwise(F.flatten(F.array(*_c(compat))))
-    found = rows.select("file", "code", F.posexplode(hits).alias("n", "h"))
+    found = rows.select("file", F.posexplode(hits).alias("n", "h"))
     title = F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv])[F.col("h.cwe")]
-    title = F.when((F.col("h.cwe") == "CWE-327"), F.lit(TITLES["CWE-327"])).otherwise(title)
     return found.select(
         F.col("h.cwe").alias("cweId"), F.col("h.ruleId").alias("ruleId"), title.alias("vulnerability"), F.col("h.severity").alias("severity"), F.col("h.message").alias("message"), "file",
-        T.line_of(F.col("code"), F.col("h.at")).alias("line"), T.column_of(F.col("code"), F.col("h.at")).alias("column"), F.col("h.evidence").alias("evidence"),
-        F.col("h.rule").alias("rule_order"), F.col("n").alias("match_order"),
+        F.shiftright("h.at", 32).cast("int").alias("line"), F.col("h.at").bitwiseAND(2**32 - 1).cast("int").alias("column"), F.col("h.evidence").alias("evidence"), F.col("h.rule").alias("rule_order"), F.col("n").alias("match_order"),
     )
