@@ -123,6 +123,6 @@ def passed(rows: DataFrame, key: str, found: Column) -> DataFrame:
 
 
 def new_best(rows: DataFrame, score: str, order: str) -> DataFrame:
-    """Marks the rows whose score is above all before; for keeping checkpoints."""
+    """Marks the rows whose score is above all before; for keeping checkpoints. One row for each epoch of a training run, so one task is enough."""
     before = F.max(score).over(Window.partitionBy().orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("best", F.coalesce(F.col(score) > before, F.lit(True)))
