@@ -84,6 +84,11 @@ def running_sums(rows: DataFrame, order: list[str], sums: dict[str, str]) -> Dat
     return out.select(*rows.columns, *((F.col(n) + F.col(b)).alias(n) for n, b in zip(sums, names, strict=True)))
 
 
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A staged ``df`` of narrow rows to be broadcast if it has at most ``most`` of them; else as it is, for Spark to choose a join that shuffles and splits hot keys."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own)

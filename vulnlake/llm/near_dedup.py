@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import bucket_cuts, pack, unpack_all
-from .common import components, drop_staged, hash_base, stage
+from .common import broadcast_if_small, components, drop_staged, hash_base, stage
 from .ragged import BASE, byte_table, chunks, mixed, run_hashes, word_hashes
 
 _U = np.uint64
@@ -258,9 +258,9 @@ def _compared(compare: Callable[[pa.Table, int], pa.Table], percent: int) -> Cal
 
 def _dealt(groups: DataFrame, most: int, salt: int) -> DataFrame:
     """Members of groups in blocks of about ``most`` by a hash of the id: (group, k, x, y, side), y always 0."""
-    large = groups.groupBy("group").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("blocks > 1")
+    large = stage(groups.groupBy("group").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("blocks > 1"), "large")
     block = F.pmod(F.xxhash64("k", F.lit(salt)), F.coalesce("blocks", F.lit(1))).cast("int")
-    return groups.join(F.broadcast(large), "group", "left").select("group", "k", block.alias("x"), F.lit(0).alias("y"), F.lit(2).alias("side"))
+    return groups.join(broadcast_if_small(large), "group", "left").select("group", "k", block.alias("x"), F.lit(0).alias("y"), F.lit(2).alias("side"))
 
 
 def _block_pairs(groups: DataFrame, known: DataFrame, most: int) -> DataFrame:
@@ -273,7 +273,7 @@ def _block_pairs(groups: DataFrame, known: DataFrame, most: int) -> DataFrame:
     large = stage(groups.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > most), "large")
     if large.isEmpty():
         return alone(groups)
-    own = groups.join(F.broadcast(large), "group").join(known.select(F.col("rep").alias("k"), "comp"), "k")
+    own = groups.join(broadcast_if_small(large), "group").join(known.select(F.col("rep").alias("k"), "comp"), "k")
     # At most one in ``most`` memberships makes a large group or a large component of one.
     hot = stage(own.groupBy("group", "comp").agg(F.count("*").alias("n")).where(F.col("n") > most), "hot")
     rest = large.join(hot.groupBy("group").agg(F.sum("n").alias("hot")), "group", "left").select("group", F.ceil((F.col("size") - F.coalesce("hot", F.lit(0))) / most).cast("int").alias("blocks"))
@@ -281,14 +281,14 @@ def _block_pairs(groups: DataFrame, known: DataFrame, most: int) -> DataFrame:
     name = lambda comp, number: F.struct(comp.alias("comp"), number.cast("int").alias("number"))
     none = F.lit(None).cast("long")
     block = F.when(F.col("own").isNotNull(), name(F.col("comp"), F.pmod(F.xxhash64("k"), F.col("own")))).otherwise(name(none, F.pmod(F.xxhash64("comp"), F.greatest("blocks", F.lit(1)))))
-    own = stage(own.join(F.broadcast(hot), ["group", "comp"], "left").join(F.broadcast(rest), "group").select("group", "k", block.alias("block")), "blocks")
+    own = stage(own.join(broadcast_if_small(hot), ["group", "comp"], "left").join(broadcast_if_small(rest), "group").select("group", "k", block.alias("block")), "blocks")
     blocks = own.select("group", "block").distinct()
     pairs = blocks.withColumnRenamed("block", "p").join(blocks.withColumnRenamed("block", "q"), "group").where("p <= q and not (p.comp is not null and q.comp is not null and p.comp = q.comp)")
     # A pair's numbers only tell pairs of a group apart.
     pairs = stage(pairs.withColumn("x", F.xxhash64("p", F.lit(1))).withColumn("y", F.xxhash64("q", F.lit(2))), "block-pairs")
     side = lambda c, s: own.join(pairs.select("group", F.col(c).alias("block"), "x", "y", F.when(F.expr("p = q"), F.lit(2)).otherwise(F.lit(s)).alias("side"), F.expr("p = q").alias("same")), ["group", "block"])
     both = side("p", 0).unionByName(side("q", 1).where("not same")).select("group", "k", "x", "y", "side")
-    return alone(groups.join(F.broadcast(large), "group", "left_anti")).unionByName(both)
+    return alone(groups.join(broadcast_if_small(large), "group", "left_anti")).unionByName(both)
 
 
 def _spread(words: int, buckets: int, base: int):
@@ -316,12 +316,26 @@ def _counted(words: int, base: int):
     return counted
 
 
-def _alone(table: pa.Table) -> pa.Table:
-    """How many shingles of the bucket each document has to itself."""
-    (hashes, owner), _ = unpack_all(table.column("blob").to_pylist(), _U, np.int64)
-    _, at, count = np.unique(hashes, return_index=True, return_counts=True)
-    k, u = np.unique(owner[at[count == 1]], return_counts=True)
-    return pa.Table.from_arrays([pa.array(k), pa.array(u.astype(np.int64))], names=["k", "u"])
+def _alone(parts: int):
+    """How many shingles of the bucket each document has to itself, packed by part of the documents."""
+
+    def alone(table: pa.Table) -> pa.Table:
+        (hashes, owner), _ = unpack_all(table.column("blob").to_pylist(), _U, np.int64)
+        _, at, count = np.unique(hashes, return_index=True, return_counts=True)
+        k, u = np.unique(owner[at[count == 1]], return_counts=True)
+        part = (mixed(k.view(_U)) % _U(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        own, cut = np.unique(part[order], return_index=True)
+        blobs = [pack(k[t], u[t].astype(np.int64)) for t in np.split(order, cut[1:])] if len(own) else []
+        return pa.Table.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    return alone
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    (k, u), _ = unpack_all(table.column("blob").to_pylist(), np.int64, np.int64)
+    k, of = np.unique(k, return_inverse=True)
+    return pa.Table.from_arrays([pa.array(k), pa.array(np.bincount(of, u, len(k)).astype(np.int64))], names=["k", "u"])
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -392,7 +406,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     ``percent`` under 80 is an error: MAX_DISTANCE would miss links.
 
-    Null, empty and wordless texts have no shingles and are linked with nothing. Ids are integers; a null id
+    Null, empty and wordless texts have no shingles and are linked with nothing. A very long text is one document whose words are hashed segment by segment. Ids are integers; a null id
     counts as the smallest. Rows that share an id share a fate: they are taken as linked. An empty table gives
     an empty result; other columns are left out.
     """
@@ -424,7 +438,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         members = known.withColumnRenamed("rep", "k")
         if final:
             left = texts.hint("merge").join(groups.select("k").distinct(), "k", "left_semi")
-            alone = left.mapInArrow(_spread(words, buckets, base), "bucket int, blob binary").groupBy("bucket").applyInArrow(_alone, "k long, u long").groupBy("k").agg(F.sum("u").alias("u"))
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            alone = left.mapInArrow(_spread(words, buckets, base), "bucket int, blob binary").groupBy("bucket").applyInArrow(_alone(parts), "part int, blob binary").groupBy("part").applyInArrow(_summed, "k long, u long")
             members = members.join(alone, "k", "left").withColumn("shared", F.col("n") - F.coalesce("u", F.lit(0))).where(F.col("shared") * 100 >= F.col("n") * percent).drop("u")
             members = stage(members.join(groups.select("k").distinct(), "k", "left_semi"), "members")
             used.append(members)
