@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .ragged import BASE, mixed, run_hashes
+from .ragged import gram_hashes, mixed
 
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -37,7 +37,7 @@ class Runs:
     span: np.ndarray
 
 
-def anchor_runs(values: Callable[[int, int], np.ndarray], offsets: np.ndarray, window: int, gram: int, digests: Callable[[np.ndarray, np.ndarray], np.ndarray], segment: int = 1_000_000, base: int = BASE) -> Runs:
+def anchor_runs(values: Callable[[int, int], np.ndarray], offsets: np.ndarray, window: int, gram: int, digests: Callable[[np.ndarray, np.ndarray], np.ndarray], segment: int = 1_000_000) -> Runs:
     """Runs of all windows of the documents with these ``offsets`` in one row of units.
 
     ``values(a, b)`` gives 64-bit values of units [a, b), by which anchors are found; ``digests(starts, ends)`` those of what
@@ -54,9 +54,8 @@ def anchor_runs(values: Callable[[int, int], np.ndarray], offsets: np.ndarray, w
         if hi - lo < window:
             break
         v = values(lo, hi)
-        at = np.arange(len(v) - gram + 1)
-        grams = run_hashes(v, at, at + gram, base)
-        low = sliding_min((grams & ~_PLACE) | at.astype(np.uint64), window - gram + 1)
+        grams = gram_hashes(v, gram)
+        low = sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), window - gram + 1)
         edge = np.zeros(len(low) + 1, np.int32)
         a, b = np.clip(begin - lo, 0, len(low)), np.clip(end - lo, 0, len(low))
         np.add.at(edge, a, 1)

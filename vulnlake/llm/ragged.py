@@ -97,6 +97,25 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return out
 
 
+_FAST = _U(0x9E3779B97F4A7C15)
+_FAST_INVERSE = _U(pow(int(_FAST), -1, 2**64))
+_fast: list[np.ndarray] = []
+
+
+def gram_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` values, modulo 2**64: cheap, and good enough to tell where to look.
+
+    Equal runs have equal hashes; nothing is ever decided by these alone.
+    """
+    n = len(values)
+    if not _fast or len(_fast[0]) < n + 1:
+        size = max(n + 1, 1 << 16)
+        _fast[:] = [np.multiply.accumulate(np.concatenate([[_U(1)], np.full(size - 1, b)])) for b in (_FAST, _FAST_INVERSE)]
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(values * _fast[0][:n], out=sums[1:])
+    return mixed((sums[width:] - sums[:-width]) * _fast[1][: n - width + 1])
+
+
 def run_digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
     """Keyed 64-bit BLAKE2 digests of raw[start:end]: what decides that runs are equal."""
     view, make = memoryview(raw), hashlib.blake2b

@@ -35,7 +35,7 @@ def _words(parts: list[bytes], base: int = BASE) -> tuple[bytes, np.ndarray, np.
 def _load(key: bytes, base: int, table: pa.Table) -> wr.Shard:
     ids, texts = wr.sorted_rows(table)
     raw, begin, end, hashes, offsets = _words([(t or "").encode() for t in texts], base)
-    return wr.Shard(ids, texts, offsets, lambda a, b: hashes[a:b], raw, lambda a, b: run_digests(raw, begin[a], end[b - 1], key), base)
+    return wr.Shard(ids, texts, offsets, lambda a, b: hashes[a:b], raw, lambda a, b: run_digests(raw, begin[a], end[b - 1], key))
 
 
 def _entries(load: Callable[[pa.Table], wr.Shard], window: int, gram: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
@@ -43,7 +43,7 @@ def _entries(load: Callable[[pa.Table], wr.Shard], window: int, gram: int, bucke
 
     def entries(table: pa.Table) -> pa.Table:
         shard = load(table)
-        e = wr.Entries.of(anchor_runs(shard.values, shard.offsets, window, gram, shard.digests, base=shard.base))
+        e = wr.Entries.of(anchor_runs(shard.values, shard.offsets, window, gram, shard.digests))
         own, cut = bucket_cuts(e.gram, buckets)
         number = np.full(len(e.gram), table.column("shard")[0].as_py(), np.uint32)
         columns = (e.gram, e.span, e.size.astype(np.uint32), number, np.arange(len(e.gram), dtype=np.uint32))
@@ -254,7 +254,7 @@ def remove_repeated_windows(docs: DataFrame, index: FingerprintIndex | None = No
     Result: the id, n_words, n_removed, spans (maximal removed runs of words), kept (words joined by one space).
 
     Null text has no words. Ids are integers; rows that repeat one are documents of their own, so
-    repeated rows lose all their windows. Texts under ``window`` words lose nothing. An empty table
+    repeated rows lose all their windows. Texts under ``window`` words lose nothing; very long ones go segment by segment to their end. An empty table
     gives an empty result; other columns are left out.
     """
     spark = docs.sparkSession

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import window_repeats as wr
 from .anchors import Runs, bucket_cuts, pack, unpack
-from .common import hash_base, secret
+from .common import secret
 from .ragged import byte_table, run_digests, run_hashes
 
 _TABLE = byte_table(11)
@@ -86,13 +86,13 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, separator: int = 0) -> np.
     return out
 
 
-def _load(key: bytes, base: int, table: pa.Table) -> wr.Shard:
+def _load(key: bytes, table: pa.Table) -> wr.Shard:
     ids, texts = wr.sorted_rows(table)
     parts = [(t or "").encode() for t in texts]
     whole = b"".join(parts)
     raw = np.frombuffer(whole, np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
-    return wr.Shard(ids, texts, offsets, lambda a, b: _TABLE[raw[a:b]], raw, lambda a, b: run_digests(whole, a, b, key), base)
+    return wr.Shard(ids, texts, offsets, lambda a, b: _TABLE[raw[a:b]], raw, lambda a, b: run_digests(whole, a, b, key))
 
 
 def _meet(window: int, buckets: int, shard: wr.Shard, runs: Runs, rep: np.ndarray, gram: np.ndarray, salts: np.ndarray) -> list[tuple[int, int, int, bytes]]:
@@ -104,12 +104,13 @@ def _meet(window: int, buckets: int, shard: wr.Shard, runs: Runs, rep: np.ndarra
     out = []
     own, cut = bucket_cuts(gram, buckets)
     for b, lo, hi in zip(own, cut[:-1], cut[1:], strict=True):
-        for s in np.unique(salt[lo:hi]):
-            t = lo + np.flatnonzero(salt[lo:hi] == s)
+        # Runs of one message share their gram's number of meetings, so equal windows agree on it wherever they meet.
+        for s, most in np.unique(np.stack([salt[lo:hi], np.where(salt[lo:hi] > 0, salts[lo:hi], 0)], 1), axis=0).tolist():
+            t = lo + np.flatnonzero((salt[lo:hi] == s) & ((salts[lo:hi] == most) | (s == 0)))
             covers = count[t] + window - 1
             ends = np.cumsum(covers)
             index = np.arange(ends[-1]) - np.repeat(ends - covers, covers) + np.repeat(first[t], covers)
-            out.append((int(b), int(s), int(salts[t].max()), pack(owner[t], first[t].astype(np.uint32), count[t].astype(np.uint32)) + shard.raw[index].tobytes()))
+            out.append((int(b), s, most, pack(owner[t], first[t].astype(np.uint32), count[t].astype(np.uint32)) + shard.raw[index].tobytes()))
     return out
 
 
@@ -120,11 +121,11 @@ def _settle(window: int, table: pa.Table) -> list[tuple[int, int, int, int, byte
     """
     shards, blobs = table.column("shard").to_pylist(), table.column("blob").to_pylist()
     parts, texts = [], []
-    for number, blob in zip(shards, blobs, strict=True):
+    for number, most, blob in zip(shards, table.column("at").to_pylist(), blobs, strict=True):
         owner, first, count = unpack(blob, np.int64, np.uint32, np.uint32)
-        parts.append((np.full(len(owner), number, np.int64), owner, first.astype(np.int64), count.astype(np.int64)))
+        parts.append((np.full(len(owner), number, np.int64), np.full(len(owner), most, np.int64), owner, first.astype(np.int64), count.astype(np.int64)))
         texts.append(np.frombuffer(blob, np.uint8, offset=4 + 16 * len(owner)))
-    number, owner, first, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    number, fans, owner, first, count = (np.concatenate([p[i] for p in parts]) for i in range(5))
     covers = count + window - 1
     begin = np.concatenate([[0], np.cumsum(covers + 1)[:-1]])
     text = np.zeros(int((covers + 1).sum()), np.int16)
@@ -146,12 +147,11 @@ def _settle(window: int, table: pa.Table) -> list[tuple[int, int, int, int, byte
     salt = table.column("salt")[0].as_py()
     if salt:
         kept = order[~later]
-        fans = max(table.column("at").to_pylist())
         at = at[kept]
         strings = (text[at[:, None] + np.arange(window)] - 1).astype(np.uint8)
         fan = np.zeros(len(at), np.int64)
         if len(at):
-            fan = (run_hashes(_TABLE[strings].reshape(-1), np.arange(len(at)) * window, (np.arange(len(at)) + 1) * window) % np.uint64(fans)).astype(np.int64)
+            fan = (run_hashes(_TABLE[strings].reshape(-1), np.arange(len(at)) * window, (np.arange(len(at)) + 1) * window) % fans[span[at]].astype(np.uint64)).astype(np.int64)
         for f in np.unique(fan):
             k = np.flatnonzero(fan == f)
             out.append((2 + table.column("bucket")[0].as_py(), int(f), salt, 0, pack(own[kept[k]], who[kept[k]].astype(np.uint32), place[kept[k]].astype(np.uint32)) + strings[k].tobytes()))
@@ -228,12 +228,12 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", id_col: str = "do
     meetings, each with a suffix array of its own, merged by binary search.
 
     Null text is empty. Ids are integers; rows that share one are ordered by text, null ids come first.
-    Texts shorter than ``window`` lose nothing. An empty table gives an empty result; other columns are left out.
+    Texts shorter than ``window`` lose nothing; very long ones go segment by segment to their end. An empty table gives an empty result; other columns are left out.
     """
     shards = wr.shard_count(docs, text, shard_bytes)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(n, shards)
-    load = partial(_load, secret(docs.sparkSession), hash_base(docs.sparkSession))
+    load = partial(_load, secret(docs.sparkSession))
     task = wr.Task(load, window, gram, True, partial(_meet, window, buckets), partial(_settle, window), _finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", most_spans)
     join = lambda settled: settled.groupBy("bucket", "salt", F.when(F.col("bucket") == 1, F.col("shard")).alias("to")).applyInArrow(lambda table: _merge(window, table), wr.SPARE)
     out = wr.remove_windows(wr.dealt(docs, text, id_col, shards), task, buckets, merge=join)

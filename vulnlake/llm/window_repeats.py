@@ -38,7 +38,6 @@ class Shard:
     values: Callable[[int, int], np.ndarray]
     raw: object
     digests: Callable[[np.ndarray, np.ndarray], np.ndarray]
-    base: int
 
     def owner(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, places, "right") - 1
@@ -92,7 +91,7 @@ def dealt(docs: DataFrame, text: str, id_col: str, shards: int) -> DataFrame:
 def _send(task: Task, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def send(table: pa.Table) -> pa.Table:
         shard = task.load(table)
-        runs = anchor_runs(shard.values, shard.offsets, task.window, task.gram, shard.digests, base=shard.base)
+        runs = anchor_runs(shard.values, shard.offsets, task.window, task.gram, shard.digests)
         e = Entries.of(runs)
         ids = np.array([-(2**63) if i is None else i for i in shard.ids], np.int64)
         owner = ids[shard.owner(runs.first[e.rep])] if len(e.rep) else np.zeros(0, np.int64)
@@ -144,7 +143,7 @@ def _answer(task: Task) -> Callable[[pa.Table], pa.Table]:
 
 def _read(task: Task, table: pa.Table, answers: pa.Table) -> tuple[Shard, Runs, Entries, np.ndarray, np.ndarray, np.ndarray]:
     shard = task.load(table)
-    runs = anchor_runs(shard.values, shard.offsets, task.window, task.gram, shard.digests, base=shard.base)
+    runs = anchor_runs(shard.values, shard.offsets, task.window, task.gram, shard.digests)
     (place, flag, salt), _ = unpack_all(answers.column("blob").to_pylist(), np.uint32, np.uint8, np.uint32)
     return shard, runs, Entries.of(runs), place.astype(np.int64), flag, salt
 
