@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +109,44 @@ def drop_staged(*frames: DataFrame) -> None:
             delete_path(df.sparkSession, folder)
 
 
+_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the smallest node of its component among these edges."""
+    nodes, of = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = of[: len(u)], of[len(u) :]
+    top = np.arange(len(nodes))
+    while True:
+        x, y = top[a], top[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(top, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (top[top] != top).any():
+            top = top[top]
+    below = np.flatnonzero(top != np.arange(len(nodes)))
+    return nodes[below], nodes[top[below]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Edges of a task, up to ``most`` at a time, as stars: what a task can join by itself needs no round of joins."""
+    held, size = [], 0
+
+    def star() -> pa.RecordBatch:
+        u, v = contracted(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=_EDGE)
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= most:
+            yield star()
+            held, size = [], 0
+    if held:
+        yield star()
+
+
 def _tally(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.max("u").alias("m")).first()
     return row.n, row.x, row.m
@@ -114,8 +155,9 @@ def _tally(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an edge list, as (node, component) with the smallest node as name.
 
-    Alternates large-star and small-star steps until the edges stop changing; each round is two
-    aggregations and two joins on nodes, so hubs are pre-aggregated and a skewed node can be split.
+    Alternates large-star and small-star steps until the edges stop changing; before each round the tasks contract the edges that they
+    read to stars, so that few rounds are left. A round is two aggregations and two joins on nodes, so hubs are pre-aggregated and a
+    skewed node can be split.
     Nodes without an edge don't occur in the result. Self-loops and repeated edges are ignored.
     """
     spark = edges.sparkSession
@@ -123,7 +165,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = stage(e, "edges")
     seen = _tally(e)
     while seen[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        stars = e.mapInArrow(_contract, "u bigint, v bigint")
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
