@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,3 +388,49 @@ def test_texts_longer_than_a_segment(spark):
     assert {r.doc_id: r.kept for r in exact_dedup(docs).collect()} == {i: True for i in range(1, 5)}
     near = {r.doc_id: r.n_chars for r in fingerprints.neighbour_fingerprints(docs).select("doc_id", "n_chars").collect()}
     assert near[1] == len(long)
+
+
+def test_hot_anchors_of_one_bucket_merge(spark):
+    """Anchors with different numbers of meetings share a bucket; equal strings that meet apart are still found."""
+    from vulnlake.llm import suffix_dedup
+
+    rng = random.Random(5)
+    cores = ["".join(rng.choices("abcdefgh", k=110)) for _ in range(12)]
+    texts = [(i, "".join(rng.choices("xyz", k=rng.randint(0, 80))) + rng.choice(cores) + "".join(rng.choices("uvw", k=rng.randint(0, 80)))) for i in range(120)]
+    seen, want = set(), {}
+    for i, t in texts:
+        gone = set()
+        for at in range(len(t) - 99):
+            if t[at : at + 100] in seen:
+                gone.update(range(at, at + 100))
+            seen.add(t[at : at + 100])
+        want[i] = "".join(c for k, c in enumerate(t) if k not in gone)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for most in (20_000, 3, 2, 1):
+        got = suffix_dedup.remove_repeated_bytes(df, shard_bytes=2000, most_spans=most)
+        assert {r.doc_id: bytes(r.kept).decode() for r in got.collect()} == want
+
+
+def test_components_by_contraction(spark):
+    from vulnlake.llm import common
+
+    rng = random.Random(1)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1500)] + [(5000 + i, 5001 + i) for i in range(500)] + [(-7, 9), (4, 4)]
+    rng.shuffle(edges)
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    got = common.components(spark.createDataFrame(edges, "a long, b long").repartition(6), "a", "b").collect()
+    assert len(got) == len(top) and dict(map(tuple, got)) == {x: find(x) for x in top}
+    u, v = common.contracted(np.array([5, 4, 9, 3]), np.array([4, 3, 8, 1]))
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {3: 1, 4: 1, 5: 1, 9: 8}
+    small = [b for most in (1, 2) for b in common._contract(iter([pa.record_batch({"u": [2, 3], "v": [1, 2]}), pa.record_batch({"u": [4], "v": [3]})]), most)]
+    assert sum(b.num_rows for b in small) == 6

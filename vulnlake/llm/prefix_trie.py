@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,31 +99,34 @@ def _whole(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks.select("c", "start", "codes", "sizes"), chunks.groupBy("c").agg(F.sum("n").alias("total"))
 
 
+def _powers_at(base: int, places: np.ndarray, prime: int) -> np.ndarray:
+    """base**place for each place: powers inside a block of places, times those of the blocks that occur."""
+    blocks, of = np.unique(places // _BLOCK, return_inverse=True)
+    high = np.array([pow(base, int(b) * _BLOCK, prime) for b in blocks], np.uint64)
+    return product_mod(powers_mod(base, 0, _BLOCK, prime)[places % _BLOCK], high[of], prime)
+
+
 def _scan(prime: int, base: int, last: bool):
-    """Sums of code * base**place of whole pieces; with ``last``, all prefixes of each piece, given the sum before it."""
+    """Sums of code * base**place of whole pieces; with ``last``, all prefixes of each piece, given the sum before it. All pieces of a batch at once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                codes = batch.column("codes")[i].values.to_numpy().astype(np.uint64)
-                start = batch.column("start")[i].as_py()
-                terms = product_mod(codes, powers_mod(base, start, len(codes), prime), prime)
-                out.append(sums_mod(terms, prime, batch.column("before")[i].as_py() if last else 0))
-            if not last:
-                sums = np.array([int(s[-1]) if len(s) else 0 for s in out], np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums)], names=[*batch.schema.names, "piece"])
-                continue
-            sizes = np.array([len(s) for s in out], np.int64)
-            index = pa.array(np.repeat(np.arange(len(out)), sizes))
-            flat = np.concatenate([np.zeros(0, np.uint64), *out]).astype(np.int64)
+            sizes = pc.list_value_length(batch.column("codes")).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(sizes)
             begin = ends - sizes
-            before = np.concatenate([[0], flat[:-1]])[: len(flat)]
-            before[begin[sizes > 0]] = batch.column("before").to_numpy()[sizes > 0]
-            depth = np.arange(len(flat)) - np.repeat(begin, sizes) + np.repeat(batch.column("start").to_numpy(), sizes) + 1
+            codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            places = np.arange(len(codes)) - np.repeat(begin, sizes) + np.repeat(batch.column("start").to_numpy(), sizes)
+            running = np.concatenate([np.zeros(1, np.uint64), sums_mod(product_mod(codes % np.uint64(prime), _powers_at(base, places, prime), prime), prime)])
+            minus = lambda x, y: (x + (np.uint64(prime) - y)) % np.uint64(prime)
+            if not last:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(minus(running[ends], running[begin]).astype(np.int64))], names=[*batch.schema.names, "piece"])
+                continue
+            # What lies before a piece takes the place of what the batch has summed up to it.
+            shift = np.repeat(minus(batch.column("before").to_numpy().astype(np.uint64), running[begin]), sizes)
+            own, up = ((x + shift) % np.uint64(prime) for x in (running[1:], running[:-1]))
+            index = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
             rest = [n for n in batch.schema.names if n not in ("codes", "sizes", "start", "before", "piece")]
-            columns = [pa.array(depth), pa.array(flat), pa.array(before), batch.column("codes").flatten(), batch.column("sizes").flatten(), *(batch.column(n).take(index) for n in rest)]
+            columns = [pa.array(places + 1), pa.array(own.astype(np.int64)), pa.array(up.astype(np.int64)), batch.column("codes").flatten(), batch.column("sizes").flatten(), *(batch.column(n).take(index) for n in rest)]
             yield pa.RecordBatch.from_arrays(columns, names=["depth", "print", "parent", "code", "size", *rest])
 
     return scan
