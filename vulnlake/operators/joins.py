@@ -71,7 +71,8 @@ def containing(points: DataFrame, spans: DataFrame, on: Sequence[str], at: str,
 
     Places are integers. Intervals are dealt to bins as wide as they are long, by powers of two, so each lies in two bins at most however
     long it is; a point looks into one bin of each width that occurs (64 at most, which the driver asks for). The join is on equal key, width and
-    bin, so only intervals within two lengths of a point are compared with it, and nothing joins on a condition alone.
+    bin, so only intervals within two lengths of a point are compared with it, and nothing joins on a condition alone. It is a sort-merge join whatever
+    size Spark expects: points repeated for each width are many times the file they come from, which would be broadcast through the driver.
 
     ``how``: inner, left (a point outside all intervals comes once, with nulls), semi or anti. Of equally short intervals the one with the smaller
     start, then the smaller columns, is the innermost. Result: columns of ``points``, then those of ``spans`` but the key; a name that both have is an
@@ -95,7 +96,7 @@ def containing(points: DataFrame, spans: DataFrame, on: Sequence[str], at: str,
         points = stage(points.withColumn(row, F.monotonically_increasing_id()), "points")
     own = [c for c in points.columns if c != row]
     probes = points.withColumn(width, F.explode(F.array(*[F.lit(w) for w in widths]).cast("array<int>"))).withColumn(bucket, shifted(whole(at)))
-    hit = probes.alias("p").join(binned.alias("s"), [*on, width, bucket]).where(F.expr(f"CAST(p.`{at}` AS BIGINT) >= s.lo AND CAST(p.`{at}` AS BIGINT) < s.hi"))
+    hit = probes.alias("p").join(binned.hint("merge").alias("s"), [*on, width, bucket]).where(F.expr(f"CAST(p.`{at}` AS BIGINT) >= s.lo AND CAST(p.`{at}` AS BIGINT) < s.hi"))
     shown = lambda df: df.select(*own, *[F.col(span)[c].alias(c) for c in gives])
     if how == "inner" and not innermost:
         return shown(hit)
