@@ -2,6 +2,13 @@
 
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
+
+from vulnlake import samples
+from vulnlake.operators import facts, rules
 from vulnlake.operators.joins import containing
 
 
@@ -15,3 +22,35 @@ def test_containing_broadcasts_no_points(spark, tmp_path):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"Broadcast\w+ \[\w+#\d+L?, width#", plan) and "SortMergeJoin [k#" in plan, options
     assert out.count() == 2000
+
+
+def test_files_are_dealt_by_their_number(spark, tmp_path):
+    spark.range(5000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    corpus = samples.code_corpus(spark, str(tmp_path))
+    sizes = [n for n, in corpus.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 5000 and len(sizes) >= 3 and max(sizes) < 2 * samples.FILES_A_TASK
+    assert corpus.select("file").distinct().count() == 5000
+
+
+def test_sorting_runs_the_rules_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def line(i):
+        seen.add(1)
+        return i
+
+    rows = spark.range(3000, numPartitions=3).select(*[F.lit("high" if c == "severity" else "a").alias(c) for c in ("cweId", "ruleId", "vulnerability", "severity", "message", "file", "evidence")], line(F.col("id").cast("int")).alias("line"), F.lit(1).alias("column"))
+    out = rules.ordered(rows).select("line").collect()
+    assert [r[0] for r in out] == list(range(3000)) and seen.value == 3000
+
+
+def test_facts_of_a_batch():
+    kind = to_arrow_type(StructType.fromDDL(facts.SCHEMA))
+    texts = [t.replace("{k}", str(i)) for i, (_, t) in enumerate(samples.SNIPPETS)] + ["", None]
+    languages = [{".py": "python", ".java": "java", ".c": "c"}.get(s, "none") for s, _ in samples.SNIPPETS] + ["c", "c"]
+    found = facts._facts(pa.array(texts), pa.array(languages), kind, at_once=5)
+    assert found.type == kind and len(found) == len(texts) and facts._facts(pa.array([], pa.string()), pa.array([], pa.string()), kind).type == kind
+    for text, language, row in zip(texts, languages, found.to_pylist(), strict=True):
+        want = facts._placed(facts.extract(text, language), text) if text and language != "none" else [[]] * 9
+        assert [row[c] for c in facts._FIELDS] == want

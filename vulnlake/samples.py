@@ -40,9 +40,16 @@ TRUE_CWE = {0: "CWE-327", 1: "CWE-327", 2: "CWE-78", 3: "CWE-78", 4: "CWE-89", 5
              15: "CWE-787", 16: "CWE-78", 17: "CWE-416", 18: "CWE-190", 19: "CWE-787", 20: "CWE-190", 21: "CWE-22", 22: "CWE-190", 23: "CWE-89", 24: "CWE-787"}
 
 
+#: Files a task. Keys are small, what is made of them is not: by its bytes, a table of a million keys would be one or two tasks.
+FILES_A_TASK = 2000
+
+
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, code, part_key, kind) for every part."""
+    """(file, code, part_key, kind) for every part, dealt to tasks by the number of files."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("part_key"))
+    tasks = -(-part.count() // FILES_A_TASK)
+    if tasks > 1:
+        part = part.repartition(tasks, "part_key")
     kind = F.pmod("part_key", F.lit(len(SNIPPETS))).cast("int")
     suffix, code = (F.get(F.array(*[F.lit(s[i]) for s in SNIPPETS]), kind) for i in (0, 1))
     code = F.replace(code, F.lit("{k}"), F.col("part_key").cast("string"))
