@@ -1,5 +1,6 @@
 """Plans that hold at size: what may be broadcast, how rows are dealt, how often expressions run."""
 
+import random
 import re
 
 import pyarrow as pa
@@ -8,7 +9,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from vulnlake import samples
-from vulnlake.operators import facts, rules
+from vulnlake.functions import text as T
+from vulnlake.operators import facts, rules, structure_rules
 from vulnlake.operators.joins import containing
 
 
@@ -54,3 +56,29 @@ def test_facts_of_a_batch():
     for text, language, row in zip(texts, languages, found.to_pylist(), strict=True):
         want = facts._placed(facts.extract(text, language), text) if text and language != "none" else [[]] * 9
         assert [row[c] for c in facts._FIELDS] == want
+
+
+def test_rules_run_behind_the_deal(spark):
+    corpus = spark.createDataFrame([("a.py", "cur.execute('select ' + x)\n"), ("b.py", "x = 1\n")], "file string, code string").repartition(3, "file")
+    plan = rules.analyze(corpus)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_extract_all(code" in x]
+    assert [(r.ruleId, r.file, r.line) for r in rules.analyze(corpus).collect()] == [("python-sqli-inline", "a.py", 1)]
+
+
+def test_texts_without_a_match_are_looked_at_once(spark):
+    rows = spark.createDataFrame([("a system(x)",), ("nothing",), (None,)], "t string")
+    found = rows.select(T.matches(F.col("t"), r"\bsystem\s*\(").alias("m"))
+    assert [r.m and [x.at for x in r.m] for r in found.collect()] == [[2], [], None]
+    assert "CASE WHEN RLIKE(t" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cheap_borders_mean_the_same():
+    words, rng = "os system foo é _x 7 . ( ) = ; \n \r + ab a b c select".split(" "), random.Random(5)
+    texts = ["".join(rng.choice(words) for _ in range(60)) for _ in range(80)]
+    patterns = [p.regex for p in rules.PATTERNS + rules.BOUNDS + rules.CREDENTIALS] + [*rules.USER_INPUT.values(), *structure_rules.SOURCES.values(), rules.RISKY_LINE, rules.SQL_VERBS]
+    patterns += [r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*=", r"\b[a-zA-Z_]\w*\.", r"\b(a|b)?c", r"\ba?\.", r"\b(a|)\.", r"\b([a-zA-Z_])?\.", r"\b([a-zA-Z_]|\.)", r"\b(?:ab|b(a)|c)", r"b\b", r"\b(os|foo)\.", r"(?i)\bSYSTEM\("]
+    for p in patterns:
+        old, new = re.compile(p.replace(r"\b", T._BORDER), re.ASCII), re.compile(T.ascii_borders(p), re.ASCII)
+        for t in texts:
+            assert [(m.span(), m.groups()) for m in old.finditer(t)] == [(m.span(), m.groups()) for m in new.finditer(t)], p
+    assert T._BORDER not in T.ascii_borders(r"\bsystem\(") + T.ascii_borders(r"\b(md5|sha1)\(") and T._BORDER in T.ascii_borders(r"\ba?\.")

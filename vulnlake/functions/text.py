@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,9 +18,21 @@ WHITE = " \t\r\n\f\x0b"
 _BORDER = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+#: A border before a letter or _, before a class of such, or before a group of choices that begin with such: nothing of a word before it is enough.
+_FIRST = r"[A-Za-z_](?![?*{])"
+_CHOICE = rf"{_FIRST}(?:\\.|\[[^\]]*\]|[^\\|()\[\]])*"
+_BEFORE = re.compile(rf"\\b(?=(?P<letter>{_FIRST})|(?P<class>\[a-zA-Z_\](?![?*{{])|\(\[a-zA-Z_\]\[a-zA-Z0-9_\]\*\)(?![?*{{]))|\((?:\?:)?(?P<choices>{_CHOICE}(?:\|{_CHOICE})*)\)(?![?*{{]))")
+
+
+def _before(m: re.Match) -> str:
+    """A border that begins a word. Looking at the letter first is cheap and fails nearly everywhere."""
+    first = m["letter"] or "".join(dict.fromkeys(c[0] for c in re.findall(_CHOICE, m["choices"] or "")))
+    return f"(?=[{first}])(?<![A-Za-z0-9_])" if first else "(?<![A-Za-z0-9_])"
+
+
 def ascii_borders(pattern: str) -> str:
     r"""``\b`` of Java takes all letters of Unicode for words; here it stays between ASCII ones."""
-    return pattern.replace(r"\b", _BORDER)
+    return _BEFORE.sub(_before, pattern).replace(r"\b", _BORDER)
 
 
 def has(text: Column, pattern: str) -> Column:
@@ -59,6 +72,7 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     the match, one of its groups, and what follows up to the next match.
 
     Places, lines and columns are what the gaps and matches before add up to: one fold looks at each character of the text a fixed number of times.
+    A text without a match is looked at once.
     """
     rx = F.lit(ascii_borders(pattern))
     args = [F.regexp_extract_all(text, rx, F.lit(group)).alias("arg")] if group else []
@@ -73,7 +87,8 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
         below, right = _moved(line, column, x["hit"])
         return F.struct((at + F.char_length(x["hit"])).alias("end"), below.alias("line"), right.alias("column"), F.array_append(s["out"], found).alias("out"))
 
-    return F.aggregate(F.filter(parts, lambda x: x["hit"].isNotNull()), start, step, lambda s: s["out"])
+    found = F.aggregate(F.filter(parts, lambda x: x["hit"].isNotNull()), start, step, lambda s: s["out"])
+    return F.when(has(text, pattern), found).when(text.isNotNull(), F.array().cast(f"array<struct<{_MATCH}>>"))
 
 
 def top_level_args(text: Column) -> Column:

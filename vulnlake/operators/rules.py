@@ -161,8 +161,7 @@ def match_patterns(corpus: DataFrame, patterns: list[Pattern], first_order: int
         for k, p in enumerate(patterns):
             if p.language != language:
                 continue
-            kept = _kept(code, p, first_order + k)
-            found.append(F.when(T.has(code, p.regex), kept).otherwise(F.array().cast(f"array<struct<{_RAW.replace(', ', ',').replace(' ', ':')}>>")))
+            found.append(_kept(code, p, first_order + k))
         by_language[language] = F.flatten(F.array(*found))
     chosen = reduce(lambda acc, kv: acc.when(F.col("language") == kv[0], kv[1]), list(by_language.items())[1:], F.when(F.col("language") == next(iter(by_language)), next(iter(by_language.values()))))
     return _exploded(corpus.where(F.col("language").isin(*by_language)), chosen)
@@ -229,7 +228,8 @@ def sql_injection(corpus: DataFrame, first_order: int) -> DataFrame:
     assigns = F.when(python, T.matches(code, r"\b[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*[^\n]+")).otherwise(T.matches(code, r"(?:String\s+)?\b[a-zA-Z_][a-zA-Z0-9_]*\b\s*=\s*[^;\n]+"))
     named = F.transform(assigns, lambda a: F.struct(a["at"].alias("at"), a["line"].alias("line"), a["column"].alias("column"), a["hit"].alias("hit"), F.regexp_extract(a["hit"], r"^(?:String\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\s*=", 1).alias("name")))
     rows = corpus.where(F.col("language").isin("python", "java")).select("file", "code", "language", calls.alias("calls"))
-    rows = rows.where(F.size("calls") > 0).select("*", named.alias("assigns"))
+    # Not a filter: that would go below whatever deals the files to tasks, and look for the calls twice.
+    rows = rows.select("*", F.when(F.size("calls") > 0, named).alias("assigns"))
     found = F.when(python, _sql_calls(first_order, True)).otherwise(_sql_calls(first_order, False))
     return _exploded(rows, F.filter(found, lambda x: x.isNotNull()))
 
